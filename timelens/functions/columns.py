@@ -39,11 +39,15 @@ def level(pct: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Binary units with two decimals; below 1024 (and negative) plain bytes."""
+    """Binary units with two decimals; below 1024 (and negative) plain bytes.
+
+    Exact halves go to the even digit, which the formatter alone would not do.
+    """
     text = F.format_string("%d B", n)
     for power, unit in enumerate(BYTE_UNITS, start=1):
         size = 1024**power
-        text = F.when(n >= size, F.format_string(f"%.2f {unit}", n / F.lit(float(size)))).otherwise(text)
+        rounded = F.bround(n / F.lit(float(size)), 2)
+        text = F.when(n >= size, F.format_string(f"%.2f {unit}", rounded)).otherwise(text)
     return text
 
 

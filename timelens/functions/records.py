@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Integer texts, blank texts, how many nested arrays are opened.
+# Integer texts, the white space characters of Unicode, how many
+# nested arrays are opened.
 INTEGER = r"^[+-]?[0-9]+$"
-BLANK = r"(?U)^\s*$"
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 ARRAY_DEPTH = 3
 
 # Closes the array a line is wrapped in. A line with anything after its own
@@ -32,34 +36,35 @@ def is_record(line: Column, document: Column) -> Column:
 
 def plain_number(value: Column) -> Column:
     """A JSON number as plain decimal text, never with an exponent."""
-    text = value.try_cast("double").try_cast("decimal(38,18)").cast("string")
-    return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), F.lit(""))
-
-
-def field(document: Column, name: str) -> Column:
-    """A field as text: strings as they are, numbers in plain decimal, arrays
-    by their first element, anything else empty."""
-    text = F.lit("")
-    for depth in reversed(range(ARRAY_DEPTH + 1)):
-        path = f"$[0]['{name}']" + "[0]" * depth
-        value = F.try_variant_get(document, path, "variant")
-        kind = F.schema_of_variant(value)
-        text = (
-            F.when(value.isNull(), "")
-            .when(kind == "STRING", F.try_variant_get(document, path, "string"))
-            .when(
-                (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
-                plain_number(F.try_variant_get(document, path, "string")),
-            )
-            .when(kind.startswith("ARRAY"), text)
-            .otherwise("")
-        )
-    return text
+    number = value.try_cast("double")
+    text = number.try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(
+        F.regexp_replace(text, r"\.?0+$", ""), number.try_cast("decimal(38,0)").cast("string"), F.lit("")
+    )
+
+
+def fields(document: Column, names: list[str]) -> Column:
+    """Array of the named fields as texts: strings as they are, numbers in plain
+    decimal, arrays by their first element, anything else empty."""
+    values = [F.try_variant_get(document, f"$[0]['{name}']", "variant") for name in names]
+    return F.transform(F.array(*values), lambda value: text_of(value))
+
+
+def text_of(value: Column, depth: int = ARRAY_DEPTH) -> Column:
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    cases = F.when(kind == "STRING", text).when(
+        (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), plain_number(text)
+    )
+    if depth:
+        first = F.try_variant_get(value, "$[0]", "variant")
+        cases = cases.when(kind.startswith("ARRAY"), text_of(first, depth - 1))
+    return F.coalesce(cases, F.lit(""))
 
 
 def first_filled(*texts: Column) -> Column:
     """The first text that is more than white space, untrimmed; else empty."""
-    return F.coalesce(*[F.when(~t.rlike(BLANK), t) for t in texts], F.lit(""))
+    return F.coalesce(*[F.when(F.trim(t, F.lit(WHITE_SPACE)) != "", t) for t in texts], F.lit(""))
 
 
 def integer(text: Column, kind: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 
 def _squares(v: Column) -> Column:
@@ -41,7 +42,7 @@ def literal_vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)).cast("float") for v in values]).cast("array<float>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array; NULL if empty or cut short."""
     return blobs.map(
@@ -49,7 +50,7 @@ def unpack_vector(blobs: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_vector(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 

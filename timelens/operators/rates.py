@@ -167,15 +167,19 @@ def trends(
         .drop("_n")
     )
     none = F.lit(None).cast("double")
+
+    def entry(series: str, value: Column, peak: Column) -> Column:
+        return F.struct(F.lit(series).alias("series"), value.alias("value"), peak.alias("peak"))
+
     return (
         rows.join(peaks, [*by, end])
         .select(
             *by, end, "ts",
             F.inline(F.array(
-                F.struct(F.lit("cpu").alias("series"), F.col("cpu").alias("value"), none.alias("peak")),
-                F.struct(F.lit("mem"), F.col("mem"), none),
-                F.struct(F.lit("disk"), scaled(F.col("disk"), F.col("_disk")), F.col("_disk")),
-                F.struct(F.lit("net"), scaled(F.col("net"), F.col("_net")), F.col("_net")),
+                entry("cpu", F.col("cpu"), none),
+                entry("mem", F.col("mem"), none),
+                entry("disk", scaled(F.col("disk"), F.col("_disk")), F.col("_disk")),
+                entry("net", scaled(F.col("net"), F.col("_net")), F.col("_net")),
             )),
         )
     )

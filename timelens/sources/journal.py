@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from timelens.functions.records import field, first_filled, integer, is_record, parsed
+from timelens.functions.records import fields, first_filled, integer, is_record, parsed
 from timelens.session import configure
 
 # The record fields an event is made of.
@@ -32,17 +32,34 @@ def typed_lines(lines: DataFrame, arrived: Column | None = None) -> DataFrame:
     """
     configure(lines.sparkSession)
     arrived = F.col("arrived") if arrived is None else arrived
-    documents = lines.withColumn("_document", parsed(F.col("value")))
+    names = [MESSAGE, PRIORITY, *UNIT_FIELDS, *SOURCE_FIELDS, *PID_FIELDS, TIME]
     document = F.col("_document")
+    documents = lines.withColumn("_document", parsed(F.col("value"))).select(
+        *lines.columns,
+        is_record(F.col("value"), document).alias("_is_record"),
+        fields(document, names).alias("_fields"),
+    )
+    # A generator of one row: filters on what was read stay above it, so that
+    # a line is read once and not again for each filter.
+    documents = documents.select(
+        *lines.columns,
+        F.inline(F.array(F.struct(
+            F.col("_is_record").alias("_record"), F.col("_fields").alias("_texts")
+        ))),
+    )
+
+    def text(name: str) -> Column:
+        return F.col("_texts")[names.index(name)]
+
     texts = documents.select(
         *lines.columns,
-        is_record(F.col("value"), document).alias("_record"),
-        field(document, MESSAGE).alias("message"),
-        field(document, PRIORITY).alias("_priority"),
-        first_filled(*[field(document, f) for f in UNIT_FIELDS]).alias("unit"),
-        first_filled(*[field(document, f) for f in SOURCE_FIELDS]).alias("source"),
-        first_filled(*[field(document, f) for f in PID_FIELDS]).alias("_pid"),
-        field(document, TIME).alias("_time"),
+        "_record",
+        text(MESSAGE).alias("message"),
+        text(PRIORITY).alias("_priority"),
+        first_filled(*[text(f) for f in UNIT_FIELDS]).alias("unit"),
+        first_filled(*[text(f) for f in SOURCE_FIELDS]).alias("source"),
+        first_filled(*[text(f) for f in PID_FIELDS]).alias("_pid"),
+        text(TIME).alias("_time"),
     )
     zero = F.lit(0)
     return texts.select(

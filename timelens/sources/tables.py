@@ -18,15 +18,20 @@ LOAD = "load_id"
 LOAD_BITS, TASK_BITS, ROW_BITS = 25, 14, 24
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table in the given schema, whatever columns its files had."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType, days: bool = True) -> DataFrame:
+    """A stored table in the given schema, with its ``date`` where it is kept by ``days``.
+
+    Columns that older files lack come back as NULL. The schema is given to
+    the reader, so no file is opened to find it. A table not yet written is
+    empty.
+    """
+    full = T.StructType([*schema.fields, T.StructField(DAY, T.DateType())]) if days else schema
     try:
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.schema(full).parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return conform(stored, schema).withColumn(DAY, stored[DAY])
+        return spark.createDataFrame([], full)
 
 
 def row_number_in_load(load_id: int) -> Column:
@@ -87,16 +92,6 @@ def append_first_wins(
     days = [r[0] for r in rows.select(F.to_date("ts")).distinct().collect()]
     if not days:
         return
-    stored = read_table(spark, path, target).filter(F.col(DAY).isin(days)) if _exists(spark, path) else None
+    stored = read_table(spark, path, target).filter(F.col(DAY).isin(days))
     new = first_wins(rows, full_key, arrival, stored)
     _by_day(conform(new, schema), full_key).write.mode("append").partitionBy(DAY).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False

@@ -18,7 +18,7 @@ SIDE_TABLE = T.StructType([
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, SIDE_TABLE).select("event_id", "embedding")
+    return read_table(spark, path, SIDE_TABLE, days=False)
 
 
 def append_embeddings(embeddings: DataFrame, path: str) -> None:

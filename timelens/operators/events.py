@@ -28,25 +28,24 @@ def latest_events(events: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def search_events(
-    events: DataFrame, query: str, start: datetime, limit: int = 20, wildcards: bool = False
+    events: DataFrame, query: str, start: datetime, limit: int | None = 20, wildcards: bool = False
 ) -> DataFrame:
     """Events from ``start`` on whose message or unit contains ``query``, newest first.
 
     Case does not matter. The query is plain text; with ``wildcards`` a ``%``
-    in it stands for any text and a ``_`` for any character.
+    in it stands for any text and a ``_`` for any character. Without a limit
+    all hits come back, in no order.
     """
-    check_limit(limit)
     wanted = F.lower(F.lit(query))
     if wildcards:
         pattern = f"%{query}%".lower().replace("\\", "\\\\")
         hit = F.lower("message").like(pattern) | F.lower("unit").like(pattern)
     else:
         hit = F.contains(F.lower("message"), wanted) | F.contains(F.lower("unit"), wanted)
-    return (
-        shown(since(events, start).filter(hit))
-        .orderBy(F.desc("ts"), F.asc("event_id"))
-        .limit(limit)
-    )
+    hits = shown(since(events, start).filter(hit))
+    if limit is None:
+        return hits
+    return hits.orderBy(F.desc("ts"), F.asc("event_id")).limit(check_limit(limit))
 
 
 def events_near(events: DataFrame, at: datetime, width: Duration = 60, limit: int = 50) -> DataFrame:

@@ -38,6 +38,16 @@ def before_buckets(
     return totals.select(*by, "_bucket", fn(total).over(earlier).alias("_before"))
 
 
+def join_buckets(rows: DataFrame, per_bucket: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the one row of their bucket.
+
+    The rows are already spread by bucket and stay there, as the hash tables
+    are built from the few bucket rows. Left alone, Spark may broadcast the
+    rows to the bucket side, which for a series without key is one task.
+    """
+    return rows.join(per_bucket.hint("shuffle_hash"), [*by, "_bucket"])
+
+
 def inside_buckets(by: Sequence[str], order: Sequence[str]) -> Window:
     return (
         Window.partitionBy(*by, "_bucket")
@@ -60,7 +70,7 @@ def running_sum(
     totals = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_total"))
     inside = rows.withColumn("_inside", F.sum(value).over(inside_buckets(by, [ts, *order])))
     return (
-        inside.join(before_buckets(totals, by, "_total", F.sum), [*by, "_bucket"])
+        join_buckets(inside, before_buckets(totals, by, "_total", F.sum), by)
         .withColumn(into, F.col("_inside") + F.coalesce("_before", F.lit(0)))
         .drop("_bucket", "_inside", "_before")
     )
@@ -86,7 +96,7 @@ def with_previous(
         *by, "_bucket", *[F.lag(c).over(buckets).alias(f"_carry_{c}") for c in wanted]
     )
     starts_bucket = F.col(f"_lag_{ts}").isNull()
-    return lagged.join(carried, [*by, "_bucket"]).select(
+    return join_buckets(lagged, carried, by).select(
         *df.columns,
         *[
             F.when(starts_bucket, F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from timelens.functions.timing import (
     Duration, bucket_start, buckets_between, elapsed_seconds, shifted, to_micros,
 )
-from timelens.operators.running import WIDTH, before_buckets, bucketed, inside_buckets
+from timelens.operators.running import WIDTH, before_buckets, bucketed, inside_buckets, join_buckets
 from timelens.operators.topk import check_limit, top_per_group
 
 # Band joins count events per microsecond, so a bucket of a minute holds at
@@ -62,8 +62,7 @@ def as_of_times(
     )
     before = before_buckets(totals, by, "_total", F.max).join(asked, keys, "left_semi")
     return (
-        inside.filter("_point")
-        .join(before, keys)
+        join_buckets(inside.filter("_point"), before, by)
         .select(*by, F.col("_t").alias(at), F.coalesce("_inside", "_before").alias(into))
     )
 
@@ -195,9 +194,10 @@ def band_join(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = (
-        marks.withColumn("_inside", F.sum("_n").over(earlier))
-        .join(before_buckets(totals, by, "_total", F.sum), [*by, "_bucket"])
-        .select(
+        join_buckets(
+            marks.withColumn("_inside", F.sum("_n").over(earlier)),
+            before_buckets(totals, by, "_total", F.sum), by,
+        ).select(
             *by, "_t", "_point",
             (F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias("_base"),
         )

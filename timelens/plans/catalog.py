@@ -71,7 +71,7 @@ def events_search_wildcards(spark, d):
 def events_search_text(spark, d):
     """All documents that contain the word, whatever its case and accents."""
     docs = ad.text_events(spark, d)
-    found = ev.search_events(docs, "FÜR", datetime(1970, 1, 1), 1_000_000_000)
+    found = ev.search_events(docs, "FÜR", datetime(1970, 1, 1), limit=None)
     return found.select("event_id", "unit", "source", F.length("message").alias("chars"))
 
 

@@ -49,8 +49,6 @@ def sample_views(
     rows = window_rows(points, rates(near, by), by, "as_of", reach)
 
     at, ts = F.col("as_of"), F.col("ts")
-    own = ts == at
-    in_history = ts >= shifted(at, -to_micros(history_seconds) / 1e6)
     trend_start = shifted(at, -to_micros(trend_seconds) / 1e6)
     in_trend = ts >= trend_start
     restarted = F.coalesce(F.col("prev_ts") >= trend_start, F.lit(False))
@@ -61,26 +59,35 @@ def sample_views(
     def own_rate(name: str) -> Column:
         return F.col(name) if max_gap is None else within_gap(name, max_gap)
 
-    collected = rows.groupBy(*by, "as_of").agg(
-        *[F.max(F.when(own, F.col(c))).alias(c) for c in own_columns],
-        *[F.max(F.when(own, own_rate(c))).alias(c) for c in RATE_NAMES],
-        F.sort_array(F.collect_list(F.when(in_history, F.struct("ts", "cpu_pct")))).alias("_history"),
-        F.sort_array(
-            F.collect_list(F.when(in_trend, F.struct(
-                "ts", F.col("cpu_pct").alias("cpu"),
-                mem_pct(F.col("mem_used"), F.col("mem_total")).alias("mem"),
-                disk.alias("disk"), net.alias("net"),
-            )))
-        ).alias("_trend"),
-        peak_of(F.when(in_trend, disk)).alias("_disk_peak"),
-        peak_of(F.when(in_trend, net)).alias("_net_peak"),
+    own = F.when(
+        ts == at, F.struct(*[F.col(c) for c in own_columns], *[own_rate(c).alias(c) for c in RATE_NAMES])
+    )
+    point = F.struct(
+        "ts", F.col("cpu_pct").alias("cpu"), mem_pct(F.col("mem_used"), F.col("mem_total")).alias("mem"),
+        disk.alias("disk"), net.alias("net"),
+    )
+    collected = (
+        rows.select(*by, "as_of", own.alias("_own"), point.alias("_point"), in_trend.alias("_in_trend"))
+        .groupBy(*by, "as_of")
+        .agg(
+            F.first("_own", ignorenulls=True).alias("_own"),
+            F.sort_array(F.collect_list("_point")).alias("_points"),
+            peak_of(F.when(F.col("_in_trend"), F.col("_point.disk"))).alias("_disk_peak"),
+            peak_of(F.when(F.col("_in_trend"), F.col("_point.net"))).alias("_net_peak"),
+        )
+    )
+    history_start = shifted(at, -to_micros(history_seconds) / 1e6)
+    windows = collected.select(
+        *by, "as_of", "_own.*", "_disk_peak", "_net_peak",
+        F.filter("_points", lambda p: p["ts"] >= history_start).alias("_history"),
+        F.filter("_points", lambda p: p["ts"] >= trend_start).alias("_trend"),
     )
     enough = F.size("_trend") >= 2
-    return collected.select(
+    return windows.select(
         *by, "as_of", *own_columns, *RATE_NAMES,
         mem_pct(F.col("mem_used"), F.col("mem_total")).alias("mem_pct"),
         percent_band(F.col("cpu_pct")).alias("cpu_band"),
-        F.transform("_history", lambda p: p["cpu_pct"]).alias("history"),
+        F.transform("_history", lambda p: p["cpu"]).alias("history"),
         F.transform(
             F.when(enough, F.col("_trend")).otherwise(F.slice("_trend", 1, 0)),
             lambda p: F.struct(

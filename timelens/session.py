@@ -23,6 +23,11 @@ SPEED_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Windows and joins here turn few shuffled bytes into many rows; do not pack
+    # small shuffles into fewer tasks than there are cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # A task keeps the rows of ORDER BY ... LIMIT n in memory only up to this n.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 

@@ -18,6 +18,7 @@ from timelens.operators.system import metric_order
 from timelens.operators.temporal_joins import as_of_times
 from timelens.operators.topk import top_per_group
 from timelens.schemas import COUNTERS
+from timelens.session import settled
 
 TOP_SHOWN = 5
 EVENTS_SHOWN = 10
@@ -129,23 +130,20 @@ def state_at(
 
     Cursors are reduced to distinct moments, those to distinct samples and
     distinct process batches; windows, trends and tops are made once for each
-    of these, and joined back last.
+    of these, and joined back last. Which sample and batch a moment falls on
+    is computed when this is called, and kept.
     """
     points = cursors.select(*by, at).distinct()
     on_sample = as_of_times(points, samples, by, at).filter(F.col("as_of").isNotNull())
-    on_batch = (
-        as_of_times(points, processes, by, at)
-        .withColumnRenamed("as_of", "batch_ts")
-        .filter(F.col("batch_ts").isNotNull())
-    )
+    on_batch = as_of_times(points, processes, by, at, into="batch_ts")
+    moments = settled(on_sample.join(on_batch, [*by, at]))
     sampled = sample_views(
-        on_sample.select(*by, "as_of").distinct(), samples, by, max_gap, history_seconds, trend_seconds
+        moments.select(*by, "as_of").distinct(), samples, by, max_gap, history_seconds, trend_seconds
     )
-    topped = batch_views(on_batch, processes, by, top)
+    topped = batch_views(moments.filter(F.col("batch_ts").isNotNull()), processes, by, top)
     return (
-        cursors.join(on_sample, [*by, at])
+        cursors.join(moments, [*by, at])
         .join(sampled, [*by, "as_of"])
-        .join(on_batch, [*by, at], "left")
         .join(topped, [*by, "batch_ts"], "left")
         .withColumnRenamed("as_of", "sample_ts")
     )

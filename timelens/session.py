@@ -6,7 +6,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results. They are runtime settings, so `configure` can
 # apply them to a session somebody else built.
@@ -25,7 +25,7 @@ SPEED_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Windows and joins here turn few shuffled bytes into many rows; do not pack
     # small shuffles into fewer tasks than there are cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     # A task keeps the rows of ORDER BY ... LIMIT n in memory only up to this n.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
@@ -64,3 +64,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="timelens-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The result computed once and kept in the shared folder.
+
+    For small results that a plan uses several times; what follows reads the
+    kept rows, also after the loss of executors.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -53,16 +53,12 @@ def events_near(events: DataFrame, at: datetime, width: Duration = 60, limit: in
     check_limit(limit)
     middle = moment(events, "ts", at)
     return (
-        shown(events.filter(F.col("ts").between(shifted(middle, _minus(width)), shifted(middle, width))))
+        shown(events.filter(F.col("ts").between(shifted(middle, -width), shifted(middle, width))))
         .orderBy("ts", "event_id")
         .limit(limit)
     )
 
 
-def _minus(width: Duration) -> Duration:
-    return -width
-
-
 def pending_events(
     events: DataFrame, embeddings: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:

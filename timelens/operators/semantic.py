@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from timelens.operators.events import shown, since
 from timelens.operators.topk import check_limit
@@ -85,7 +86,7 @@ def _candidates(
     ])
     matrix = np.array([v for _, v in queries], dtype=np.float32).astype(np.float64)
     ids = [i for i, _ in queries]
-    arrow = _arrow_schema(out)
+    arrow = to_arrow_schema(out)
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _local_best(batches, matrix, ids, k, arrow)
@@ -93,12 +94,6 @@ def _candidates(
     return usable.mapInArrow(best_of_task, out)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def semantic_search(
     events: DataFrame, query: Sequence[float], start: datetime | None = None, limit: int = 10
 ) -> DataFrame:

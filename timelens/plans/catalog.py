@@ -7,6 +7,7 @@ defaults, as the tables' events lie minutes apart.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -90,7 +91,7 @@ def events_at_live(spark, d):
     return state.events_at(ad.journal_events(spark, d))
 
 
-def _incidents(spark, d, fleet=False):
+def _incidents(spark, d):
     """Every error event as a cursor, 45 seconds after it."""
     errors = ad.journal_events(spark, d).filter(F.col("unit") == "error")
     return errors.select(F.col("event_id").alias("cursor_id"), ft.shifted(F.col("ts"), 45).alias("at"))
@@ -312,7 +313,6 @@ def system_cpu_history(spark, d):
 
 def _flat(view: DataFrame, *keys: str) -> DataFrame:
     """A state view without arrays: sizes, ends and the leading process."""
-    last = F.element_at("trends", -1)
     return view.select(
         *keys, "sample_ts", "cpu_pct", "mem_pct", "cpu_band", *state.RATE_NAMES,
         F.size("history").alias("history_n"), F.col("history")[0].alias("history_first"),
@@ -470,8 +470,6 @@ def _stream(spark, d, name: str = "events") -> DataFrame:
 
 
 def _folder(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate
+from timelens.llm import decontaminate, pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.digest_pieces(
+        pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op6_pack": op6_pack,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

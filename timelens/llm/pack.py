@@ -19,9 +19,13 @@ packed as often as they come. No documents give no pieces.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ GROUP_WINDOWS = 24
 SPARE = 8
 """Ids per window that a group leaves free, room for the parts' unequal sizes."""
 
-CACHED_UNITS, KEPT_UNIT = 300_000, 64
-"""Units a task keeps at once, and the characters of the longest of them."""
+CACHED_UNITS, KEPT_UNIT = 500_000, 64
+"""Units a worker keeps at once, and the characters of the longest of them."""
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -49,55 +53,75 @@ PIECES = T.StructType([
     T.StructField("offset", T.LongType()),
 ])
 
-# A space between two characters that are no space begins a pre-token of the
-# byte-level tokenizer, whatever stands around it.
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|[^\S ]")
+# A single space or line end between two characters that are none begins a
+# pre-token, whatever stands around it; other texts are encoded whole.
+_UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 
-class UnitEncoder:
-    """Token ids as little-endian 32-bit bytes; the ids of space-separated units are kept for reuse."""
+# Fixed value: how the byte-level tokenizer cuts a text into pre-tokens.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes are their own."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+class UnitEncoder(dict):
+    """Token ids, as little-endian 32-bit bytes, of a space-separated unit of text; kept for reuse.
+
+    Reads the vocabulary of a byte-level BPE file whose ids follow its merges, as
+    ranks for the faster of the two libraries. The ids are those of the file's own.
+    """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        known = self.known
-        plans = [self._units(t) for t in texts]
-        new = list({u for units in plans for u in units if u not in known})
-        for k in range(0, len(new), 1024):
-            part = new[k:k + 1024]
-            known.update(zip(part, self._encode(part), strict=True))
-        out = [b"".join([known[u] for u in units]) for units in plans]
-        for unit in new:
-            if len(unit) > KEPT_UNIT:
-                del known[unit]
-        return out
-
-    @staticmethod
-    def _units(text: str) -> list[str]:
-        if not text:
-            return []
-        out: list[str] = []
-        # lines are split only where a letter or sign stands on both sides of the line end
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            if _UNSAFE.search(line) or not line:
-                return [text]
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        super().__init__()
+        import tiktoken
+
+        model = json.loads(Path(tokenizer_path).read_text())["model"]
+        vocabulary, letters = model["vocab"], byte_letters()
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
+            raise ValueError("the ids of this vocabulary do not follow its merges")
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(pairs)}
+        self.encode_ordinary = tiktoken.Encoding(
+            "file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = array("I", self.encode_ordinary(unit)).tobytes()
+        if len(unit) <= KEPT_UNIT:
+            if len(self) >= CACHED_UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join([self[u] for u in text_units(text)])
+
+
+@lru_cache(1)
+def unit_encoder(tokenizer_path: str) -> UnitEncoder:
+    return UnitEncoder(tokenizer_path)
+
+
+def text_units(text: str) -> list[str]:
+    """Parts of a text that can be encoded each by itself."""
+    if not text:
+        return []
+    if _UNSAFE.search(text):
+        return [text]
+    first, *rest = text.replace("\n", " \n ").split(" ")
+    out, joined = [first], False
+    for word in rest:
+        if word == "\n":
+            out.append(word)
+            joined = True
+        else:
+            out.append(word if joined else " " + word)
+            joined = False
+    return out
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -157,7 +181,7 @@ def _windows(parts: list[tuple], capacity: int) -> Iterator[list[tuple]]:
 
 def _pack(path: str, end_id: int, capacity: int, grain: int, group_windows: int,
           batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = UnitEncoder(path)
+    encoder = unit_encoder(path)
     end = np.asarray([end_id], "<u4").tobytes()
     schema = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in PIECES])
     sequence = TaskContext.get().partitionId() << 33
@@ -197,9 +221,8 @@ def _pack(path: str, end_id: int, capacity: int, grain: int, group_windows: int,
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for low in range(0, len(texts), 256):
-            some = [t or "" for t in texts.slice(low, 256).to_pylist()]
-            for doc_id, ids in zip(doc_ids[low:low + 256], encoder.encode(some), strict=True):
-                ids += end
+            for doc_id, text in zip(doc_ids[low:low + 256], texts.slice(low, 256).to_pylist(), strict=True):
+                ids = encoder.encode(text or "") + end
                 total, number = len(ids) // 4, number + 1
                 full = total // capacity * capacity
                 for start in range(0, full, capacity):

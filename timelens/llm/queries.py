@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, pack
+from timelens.llm import decontaminate, pack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,18 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents, model).select(
+        "doc_id", toxicity.in_fold("doc_id", 5).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "n_windows", "top_word")
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
+    "op8_toxicity": op8_toxicity,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

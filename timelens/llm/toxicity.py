@@ -274,7 +274,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 8) -> Model:
     weights = _start_weights(len(both[2][0].priors), len(both[2][1].priors), seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
     rng, step = np.random.default_rng(seed), 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))
+    for epoch in range(epochs):
+        early = epoch < epochs // 3
         chosen = []  # the highest window of every row: slice, first word, row
         for s, (low, t, n) in enumerate(slices):
             of, first = _windows(t.rows, n)
@@ -300,13 +302,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 8) -> Model:
             used = used[used < len(t.hashes)]
             part, ids = _some(t, used), np.where(ids < len(t.hashes), np.searchsorted(used, ids), len(used))
             inputs = _inputs(part, words, grams, weights)
+            if early:  # by the priors alone, which new documents share
+                inputs[:, :2 * VECTOR] = 0
             g, d_inputs = _gradients(inputs, ids, mask, labels[[r[1] for r in rows]], weights)
             word_ids, gram_ids = words.find(part.hashes), grams.find(part.grams)
-            g["words"], g["grams"] = np.zeros_like(weights["words"]), np.zeros_like(weights["grams"])
-            np.add.at(g["words"], word_ids, d_inputs[:-1, :VECTOR])
-            counts = np.bincount(part.gram_words, minlength=len(used))
-            np.add.at(g["grams"], gram_ids, d_inputs[part.gram_words, VECTOR:2 * VECTOR] / counts[part.gram_words, None])
-            g["words"][0] = g["grams"][0] = 0
+            if not early:
+                g["words"], g["grams"] = np.zeros_like(weights["words"]), np.zeros_like(weights["grams"])
+                np.add.at(g["words"], word_ids, d_inputs[:-1, :VECTOR])
+                counts = np.bincount(part.gram_words, minlength=len(used))
+                np.add.at(g["grams"], gram_ids, d_inputs[part.gram_words, VECTOR:2 * VECTOR] / counts[part.gram_words, None])
+                g["words"][0] = g["grams"][0] = 0
             step += 1
             for k, grad in g.items():
                 grad = np.clip(grad, -1, 1)
@@ -314,7 +319,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 8) -> Model:
                 m = 0.9 * m + 0.1 * grad
                 v = 0.99 * v + 0.01 * grad * grad
                 moments[k] = (m, v)
-                weights[k] = (weights[k] - RATE * (m / (1 - 0.9 ** step)) /
+                weights[k] = (weights[k] - RATE * (1 - epoch / epochs) * (m / (1 - 0.9 ** step)) /
                               (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
     return Model(both[2][0], both[2][1], weights, rate)
 

@@ -57,6 +57,7 @@ PIECES = T.StructType([
 # pre-token, whatever stands around it; other texts are encoded whole.
 _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
+_UNIT = re.compile(r" ?[^ \n]+|\n")
 
 # Fixed value: how the byte-level tokenizer cuts a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,16 +113,7 @@ def text_units(text: str) -> list[str]:
         return []
     if _UNSAFE.search(text):
         return [text]
-    first, *rest = text.replace("\n", " \n ").split(" ")
-    out, joined = [first], False
-    for word in rest:
-        if word == "\n":
-            out.append(word)
-            joined = True
-        else:
-            out.append(word if joined else " " + word)
-            joined = False
-    return out
+    return _UNIT.findall(text)
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:

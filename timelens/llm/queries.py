@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, pack, toxicity
+from timelens.llm import decontaminate, fingerprint, pack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "n_windows", "top_word")
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint.with_neighbours(documents, fingerprint.build_lexicon(documents))
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
     "op8_toxicity": op8_toxicity,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

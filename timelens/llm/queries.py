@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, fingerprint, pack, toxicity
+from timelens.llm import decontaminate, fingerprint, ngrams, pack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", toxicity.in_fold("doc_id", 10).alias("held_out"))
+    return ngrams.score_documents(documents, ngrams.build_model(documents.where("NOT held_out")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -46,6 +51,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
     "op8_toxicity": op8_toxicity,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, fingerprint, ngrams, pack, toxicity
+from timelens.llm import chat, decontaminate, fingerprint, ngrams, pack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(tricky)
+    return chat.read_back(chat.format_conversations(rows))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on(documents, table(spark, sf_dir, "labels"))
@@ -54,6 +62,7 @@ QUERIES = {
     "op1_language_model": op1_language_model,
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
+    "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
@@ -79,4 +88,20 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id,
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op7_chat": f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+        length(text) + length(text) - length(replace(text, chr(92), ''))
+        + len(regexp_extract_all(text, '<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<<END>>')) AS body
+        FROM c)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(body + CASE role WHEN 'system' THEN 20 WHEN 'user' THEN 18 ELSE 5 END) AS BIGINT) AS formatted_chars,
+    bool_and(CASE role WHEN 'system' THEN before IS NULL
+        WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') ELSE coalesce(before = 'user', false) END) AS valid
+FROM t GROUP BY conv_id""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, decontaminate, fingerprint, ngrams, pack, toxicity
+from timelens.llm import chat, credentials, decontaminate, fingerprint, ngrams, pack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select(
+        F.col("repository").alias("doc_id"), of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(credentials.as_text(F.col("base")), 256).alias("base_sha256"), credentials.as_text(F.col("spans")).alias("spans"),
+        "n_live", "n_copied")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -61,6 +70,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op3_decontaminate": op3_decontaminate,
+    "op5_credentials": op5_credentials,
     "op6_pack": op6_pack,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
@@ -69,6 +79,20 @@ QUERIES = {
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _found(kind: str, rank: int, pattern: str, kept: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, doc_id, source, '{kind}' AS kind, {rank} AS rank, m AS value, start, start + length(m) AS "end" FROM (
+        SELECT r, doc_id, source, ms[i] AS m, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+        FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+            SELECT r, doc_id, source, regexp_extract_all(t, '{quoted}') AS ms, regexp_split_to_array(t, '{quoted}') AS ps FROM d)))
+    WHERE {kept}"""
+
+
+_ASSIGN = credentials.ASSIGN.replace("'", "''")
+
 SQL = {
     "op3_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
@@ -104,4 +128,23 @@ SELECT conv_id, count(*) AS n_turns,
     bool_and(CASE role WHEN 'system' THEN before IS NULL
         WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') ELSE coalesce(before = 'user', false) END) AS valid
 FROM t GROUP BY conv_id""",
+    "op5_credentials": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+    base AS ({_found("assign", 0, credentials.ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
+        UNION ALL {_found("access", 1, credentials.ACCESS, "true")}
+        UNION ALL {_found("hex", 2, credentials.HEX, "true")}),
+    runs AS (SELECT * FROM ({_found("owned", 3, credentials.RUN, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}) a
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.start < a."end" AND a.start < b."end")),
+    both_ AS (SELECT *, CASE rank WHEN 0 THEN regexp_extract(value, '{_ASSIGN}', 2) ELSE value END AS secret
+        FROM (SELECT * FROM base UNION ALL SELECT * FROM runs)),
+    owners AS (SELECT secret, count(DISTINCT coalesce(source, '')) AS n FROM both_ GROUP BY secret),
+    judged AS (SELECT both_.*, n >= 2 AS copied FROM both_ JOIN owners USING (secret) WHERE rank < 3 OR n < 2),
+    per AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+        count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied) AS n_live,
+        string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+        string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY start, rank) AS spans FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+    coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per USING (r)""",
 }

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, credentials, decontaminate, fingerprint, ngrams, pack, toxicity
+from timelens.llm import chat, credentials, decontaminate, fingerprint, ngrams, pack, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", toxicity.in_fold("doc_id", 10).alias("held_out"))
     return ngrams.score_documents(documents, ngrams.build_model(documents.where("NOT held_out")))
@@ -26,6 +32,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
 def op5_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
@@ -35,12 +46,6 @@ def op5_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_live", "n_copied")
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.digest_pieces(
         pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
@@ -70,6 +75,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op3_decontaminate": op3_decontaminate,
+    "op4_token_counts": op4_token_counts,
     "op5_credentials": op5_credentials,
     "op6_pack": op6_pack,
     "op7_chat": op7_chat,

@@ -77,6 +77,15 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         low = high
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes."""
+    power, inverse = _power(len(data) + 1)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * power[:len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     """The maximal runs of bytes of `inside` in each row, in order, lowered and hashed."""
     n = len(data)
@@ -95,12 +104,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
     before[-1] = False
     np.logical_and(word[1:], ~edge[1:n], out=before[:-1])
     ends = np.flatnonzero(word & ~before) + 1
-    power, inverse = _power(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[low] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return Words(np.searchsorted(offsets, starts, "right") - 1, starts, ends, hashes)
+    return Words(np.searchsorted(offsets, starts, "right") - 1, starts, ends, hash_ranges(low, starts, ends))
 
 
 _PLACE = mix(np.arange(1000, 1064, dtype=np.uint64) * _BASE) | np.uint64(1)

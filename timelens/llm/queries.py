@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, credentials, decontaminate, fingerprint, ngrams, pack, token_counts, toxicity
+from timelens.llm import chat, credentials, decontaminate, fingerprint, near_duplicates, ngrams, pack, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "n_windows", "top_word")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprint.with_neighbours(documents, fingerprint.build_lexicon(documents))
@@ -80,6 +84,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprint": op10_fingerprint,
 }
 

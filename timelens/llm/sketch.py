@@ -30,31 +30,40 @@ def _partial(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits:
     size = min(PART, 1 << bits)
     for k in range(0, 1 << bits, size):
         if counts[k:k + size].any():
+            part = counts[k:k + size]
+            kind = np.min_scalar_type(part.max())
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([k // size], pa.int32()), "counts": pa.array([counts[k:k + size].tobytes()], pa.binary())})
+                "part": pa.array([k // size], pa.int32()), "counts": pa.array([part.astype(kind).tobytes()], pa.binary())})
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(counts: pa.Scalar, size: int) -> np.ndarray:
+    """Counters travel in as few bytes as their largest needs."""
+    held = counts.as_buffer()
+    return np.frombuffer(held, f"u{held.size // size}")
+
+
+def _total(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            new = np.frombuffer(counts.as_buffer(), np.uint32)
+            new = _read(counts, size)
             held[part] = held[part] + new if part in held else new.astype(np.uint64)
     for part, counts in held.items():
+        kind = np.min_scalar_type(counts.max())
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            "part": pa.array([part], pa.int32()), "counts": pa.array([counts.astype(kind).tobytes()], pa.binary())})
 
 
 def hashed_counts(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """How often each of 2^bits counters is hit by the hashes of all rows; 8 bytes a counter at the driver."""
     schema = "part int, counts binary"
+    size = min(PART, 1 << bits)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = (df.mapInArrow(lambda b: _partial(hashes_of, bits, b), schema)
-             .repartition(tasks, "part").mapInArrow(_total, schema).toArrow())
+             .repartition(tasks, "part").mapInArrow(lambda b: _total(size, b), schema).toArrow())
     out = np.zeros(1 << bits, np.uint64)
-    size = min(PART, 1 << bits)
     for part, counts in zip(parts["part"].to_pylist(), parts["counts"], strict=True):
-        out[part * size:(part + 1) * size] = np.frombuffer(counts.as_buffer(), np.uint64)
+        out[part * size:(part + 1) * size] = _read(counts, size)
     return out
 
 

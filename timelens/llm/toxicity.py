@@ -37,7 +37,7 @@ from timelens.llm.words import ALPHANUMERIC, LOWER, find_words, text_slices
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, VECTOR = 8, 8
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 400, 64, 0.02
 LEAST_ROWS = 3
 """Documents of the sample a word or gram must be in to get a vector."""

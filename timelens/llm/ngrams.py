@@ -367,7 +367,8 @@ def _send(model_counts: Counts, wave: Wave, bucket_bits: int, batches: Iterator[
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, known.schema) as out:
                 out.write_batch(known)
-            rows = [{"bucket": number % (1 << bucket_bits), "slice": number, "kind": 0, "ids": sink.getvalue().to_pybytes(),
+            home = int(mix(np.array([number], np.uint64))[0]) % (1 << bucket_bits)
+            rows = [{"bucket": home, "slice": number, "kind": 0, "ids": sink.getvalue().to_pybytes(),
                      "held": _packed(held[low:high].astype(np.uint8)), "numbers": _packed(numbers)}]
             order = np.lexsort((tokens.rows[~hot], tokens.hashes[~hot]))
             words, of = tokens.hashes[~hot][order], tokens.rows[~hot][order]

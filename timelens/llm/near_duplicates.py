@@ -292,3 +292,22 @@ def find_components(documents: DataFrame) -> DataFrame:
     return (placed.join(least, "component", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One document of each component, that of the least id (a NULL id last); those without words all stay.
+
+    Rows of one id are told apart by their text; of rows that repeat both, one stays.
+    """
+    text = F.col("text").cast("string")
+    key = F.xxhash64("doc_id", text, F.lit(9))
+    found = find_components(documents.select(key.alias("doc_id"), text.alias("text"))).withColumnRenamed("doc_id", "row_key")
+    ids = documents.select(key.alias("row_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("place"))
+    least = (found.where("n_shingles > 0").select("row_key", "component_id").distinct().join(ids, "row_key")
+             .groupBy("component_id").agg(F.min(F.struct("place", "row_key")).alias("least"))
+             .select(F.col("least.row_key").alias("row_key"), F.lit(True).alias("single")))
+    empty = found.where("n_shingles = 0").select("row_key", F.lit(False).alias("single")).distinct()
+    packed = documents.select(F.struct("*").alias("row"), key.alias("row_key"))
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(0)))
+    return (packed.join(least.unionAll(empty), "row_key").withColumn("nth", nth)
+            .where("NOT single OR nth = 1").select("row.*"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelens.session import settled
+from timelens.llm.store import kept as stored
 
 
 def _any_case(word: str) -> str:
@@ -69,7 +69,7 @@ def find_candidates(documents: DataFrame, repository: str, owner: str) -> DataFr
     """row_id, repository, owner, base and runs of every row, in the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = lambda value: F.lit(True)
-    return settled(
+    return stored(
         documents.select(
             F.monotonically_increasing_id().alias("row_id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"),
             spans(text, "assign", ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= LEAST_ASSIGNED).alias("assign"),

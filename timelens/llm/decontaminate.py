@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timelens.llm.store import kept as stored
 from timelens.llm.words import ALPHANUMERIC, find_words, gram_hashes, text_slices
-from timelens.session import settled
 
 WINDOW = 10
 RESULT_COLUMNS = {"n_words", "n_hit", "hit_ranges", "item_ids", "longest_match"}
@@ -203,7 +203,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     context = documents.sparkSession.sparkContext
     for k, block in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
         if k:
-            out = settled(out)
+            out = stored(out)
         sent = context.broadcast(block)
         out = out.mapInArrow(lambda batches, sent=sent: _search(sent.value, window, batches), out.schema)
     return out

@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timelens.llm.sketch import counter_of, distinct_pairs, hashed_counts
 from timelens.llm.words import ALPHANUMERIC, find_words, mix, text_slices
-from timelens.session import settled
+from timelens.llm.store import kept
 
 BAND = (2.0, 7.0)
 BITS = 22
@@ -54,11 +55,15 @@ def _terms(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def build_lexicon(documents: DataFrame, band: tuple[float, float] = BAND, bits: int = BITS) -> Lexicon:
     """One flag a counter: whether its terms are in the band."""
     texts = documents.select(documents["text"].cast("string").alias("text"))
-    counts = hashed_counts(texts, _terms, bits)
     n = max(1, documents.count())
-    with np.errstate(divide="ignore"):
-        idf = np.log(n / counts.astype(np.float64))
-    return Lexicon((idf >= band[0]) & (idf <= band[1]), bits)
+    low, high = band
+
+    def inside(counts: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            idf = np.log(n / counts.astype(np.float64))
+        return (idf >= low) & (idf <= high)
+
+    return Lexicon(hashed_counts(texts, _terms, bits, inside, np.bool_), bits)
 
 
 def fingerprints(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -106,7 +111,7 @@ def _hex(prints: np.ndarray) -> pa.Array:
 
 def fingerprint_documents(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents with their `fingerprint`."""
-    kept = documents.select(*[c for c in documents.columns if c != "fingerprint"]).withColumn("text", F.col("text").cast("string"))
+    rows = documents.select(*[c for c in documents.columns if c != "fingerprint"]).withColumn("text", F.col("text").cast("string"))
     sent = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,7 @@ def fingerprint_documents(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
             prints = _hex(fingerprints(batch.column("text"), sent.value))
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "fingerprint"])
 
-    return kept.mapInArrow(add, kept.schema.add("fingerprint", "string"))
+    return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 _EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
@@ -204,7 +209,7 @@ def with_neighbours(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     sent = spark.sparkContext.broadcast(lexicon)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    walked = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    walked = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         lambda b: _walk(sent.value, b), _WALKED))
     # one number a range
     ranges = sorted(r[0] for r in walked.where("kind = 1").select("partition").collect())

@@ -32,18 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
-    DENOMINATOR, NUMERATOR, Sets, digests, distinct_elements, flagged, flags, prefixes, rarity, similar, verify,
+    DENOMINATOR, NUMERATOR, Sets, digests, distinct_elements, flagged, flags, prefixes, rarity, similar, texts_by_digest, verify,
 )
+from timelens.llm.store import kept
 from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
-from timelens.session import settled
 
 LEAST_WORDS = 5
 RARITY_BITS = 22
-KEPT = 4
+KEPT = 2
+HELD = 1 << 18
+"""Postings a task holds before it hands them on."""
+
 CROWD = 256
 """Sets at a token from which on they are compared in blocks."""
 PAIRS = 1 << 21
@@ -69,15 +72,15 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     line = np.searchsorted(starts, found.starts, "right") - 1
     of, elements = distinct_elements(line, found.hashes)
     sizes = np.bincount(of, minlength=len(rows))
-    kept = np.flatnonzero(sizes >= LEAST_WORDS)
+    long = np.flatnonzero(sizes >= LEAST_WORDS)
     place = np.full(len(rows), -1)
-    place[kept] = np.arange(len(kept))
+    place[long] = np.arange(len(long))
     mine = place[of] >= 0
     firsts = np.searchsorted(rows, np.arange(len(offsets) - 1))
     ends = np.append(starts[1:], len(data))
     last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.zeros(0, bool)
     ends = np.where(last, offsets[1:][rows], ends - 1)
-    return Sets(rows[kept], kept - firsts[rows[kept]], starts[kept], ends[kept], place[of[mine]], elements[mine])
+    return Sets(rows[long], long - firsts[rows[long]], starts[long], ends[long], place[of[mine]], elements[mine])
 
 
 def parities(sets: Sets) -> np.ndarray:
@@ -98,6 +101,20 @@ def _packed(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], _TYPES.get(n, pa.binary())) for n in _NAMES})
 
 
+def _by_bucket(held: list[tuple[np.ndarray, ...]], bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    bucket = columns[0] >> np.uint64(64 - bucket_bits)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+    names = ("keys", "digests", "sizes", "places", "bits", "docs", "numbers")
+    rows = [{"bucket": b, "kind": 1} | {n: c[order[cuts[b]:cuts[b + 1]]].tobytes() for n, c in zip(names, columns, strict=True)}
+            for b in np.flatnonzero(np.diff(cuts)).tolist()]
+    if rows:
+        yield _packed(rows)
+
+
 def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of each slice (kind 0, first pass only) and prefix tokens by bucket (kind 1)."""
     for batch in batches:
@@ -105,6 +122,9 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
         order_ids = ids.fill_null(int(NO_ID)).to_numpy()
         held: list[tuple[np.ndarray, ...]] = []
         for low, high, data, offsets in text_slices(batch.column(2)):
+            if sum(len(h[0]) for h in held) > HELD:
+                yield from _by_bucket(held, bucket_bits)
+                held = []
             sets = line_sets(data, offsets)
             digest, sizes, bits = digests(sets), sets.sizes, parities(sets)
             if tokens is None:
@@ -121,23 +141,13 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
             first = order[np.concatenate([[True], digest[order][1:] != digest[order][:-1]])] if len(order) else order
             once = np.zeros(len(digest), bool)
             once[first] = True
-            kept = once[of]
+            mine = once[of]
             if tokens is not None:
-                kept &= flagged(elements.view(np.int64), tokens)
-            of = of[kept]
-            held.append((elements[kept], digest[of], sizes[of].astype(np.uint32), places[kept].astype(np.uint32), bits[of],
+                mine &= flagged(elements.view(np.int64), tokens)
+            of = of[mine]
+            held.append((elements[mine], digest[of], sizes[of].astype(np.uint32), places[mine].astype(np.uint32), bits[of],
                          docs[of], numbers[of].astype(np.uint32)))
-        if not held:
-            continue
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        bucket = columns[0] >> np.uint64(64 - bucket_bits)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
-        names = ("keys", "digests", "sizes", "places", "bits", "docs", "numbers")
-        rows = [{"bucket": b, "kind": 1} | {n: c[order[cuts[b]:cuts[b + 1]]].tobytes() for n, c in zip(names, columns, strict=True)}
-                for b in np.flatnonzero(np.diff(cuts)).tolist()]
-        if rows:
-            yield _packed(rows)
+        yield from _by_bucket(held, bucket_bits)
 
 
 class _Meeting:
@@ -153,6 +163,7 @@ class _Meeting:
         order = order[np.lexsort((sizes[order], keys[order]))]
         self.keys, self.digest, self.bits = keys[order], digest[order], bits[order]
         self.sizes, self.places = sizes[order].astype(np.int64), places[order].astype(np.int64)
+        self.docs, self.numbers = docs[order], numbers[order]
         rank = np.empty(len(order), np.int64)
         rank[np.lexsort((self.digest, numbers[order], docs[order]))] = np.arange(len(order))
         self.rank = rank
@@ -167,11 +178,11 @@ class _Meeting:
         differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
         return (least * DENOMINATOR >= most * NUMERATOR) & (behind >= overlap) & (differ <= total - 2 * overlap)
 
-    def pairs(self, wanted: np.ndarray | None, kept: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(later, earlier) of pairs that pass; of crowded tokens the first `kept` and one more of each set."""
+    def pairs(self, wanted: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set."""
         crowd = (self.ends - self.starts > CROWD) & (wanted is None)
         for a, b in zip(self.starts[crowd].tolist(), self.ends[crowd].tolist(), strict=True):
-            yield from self._blocks(np.arange(a, b)[np.argsort(self.rank[a:b])], kept)
+            yield from self._blocks(np.arange(a, b)[np.argsort(self.rank[a:b])], least)
         group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
         mine = np.flatnonzero(~crowd[group]) if len(group) else group
         # partners behind i: larger sets within the length filter
@@ -195,7 +206,7 @@ class _Meeting:
             yield later, earlier
             low = high
 
-    def _blocks(self, group: np.ndarray, kept: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _blocks(self, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         going, found = np.arange(1, len(group)), np.zeros(len(group), np.int64)
         low, size = 0, 32
         while low < len(group) - 1 and len(going):
@@ -207,7 +218,7 @@ class _Meeting:
                 good = self.passing(group[y], group[x])
                 found += np.bincount(y[good], minlength=len(group))
                 yield group[y[good]], group[x[good]]
-            going = going[(found[going] <= kept) & (going > high)]
+            going = going[(found[going] <= least) & (going > high)]
             low, size = high, min(size * 2, 512)
 
 
@@ -226,45 +237,48 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
     types = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32)
     met = _Meeting([np.concatenate([np.frombuffer(b, t) for b in c]) for c, t in zip(zip(*rows, strict=True), types, strict=True)])
     rows.clear()
-    y, x, r = (np.zeros(0, np.int64) for _ in range(3))
     more = np.zeros(0, np.int64)
 
-    def reduced(y: np.ndarray, x: np.ndarray, r: np.ndarray, more: np.ndarray):
-        """Distinct pairs, of each y the first ones; `more` gets the sets that lose some."""
-        order = np.lexsort((r, x, y))
-        y, x, r = y[order], x[order], r[order]
+    def reduced(later: np.ndarray, earlier: np.ndarray, more: np.ndarray):
+        """Distinct pairs, of each later set the first ones; `more` gets the sets that lose some."""
+        y, x = met.digest[later], met.digest[earlier]
+        order = np.lexsort((met.rank[earlier], x, y))
+        later, earlier, y, x = later[order], earlier[order], y[order], x[order]
         new = np.ones(len(y), bool)
         new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1])
-        y, x, r = y[new], x[new], r[new]
+        later, earlier, y = later[new], earlier[new], y[new]
         if wanted is None:
-            order = np.lexsort((r, y))
-            y, x, r = y[order], x[order], r[order]
+            order = np.lexsort((met.rank[earlier], y))
+            later, earlier, y = later[order], earlier[order], y[order]
             place = np.arange(len(y)) - np.searchsorted(y, y)
             more = np.unique(np.concatenate([more, y[place >= KEPT]]))
-            y, x, r = y[place < KEPT], x[place < KEPT], r[place < KEPT]
-        return y, x, r, more
+            later, earlier = later[place < KEPT], earlier[place < KEPT]
+        return later, earlier, more
 
-    waiting, size = [(y, x, r)], 0
+    none = np.zeros(0, np.int64)
+    waiting, size = [(none, none)], 0
     for later, earlier in met.pairs(wanted, KEPT):
-        waiting.append((met.digest[later], met.digest[earlier], met.rank[earlier]))
+        waiting.append((later, earlier))
         size += len(later)
-        if size > 4 * PAIRS:
-            y, x, r, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
-            waiting, size = [(y, x, r)], len(y)
-    y, x, r, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
+        if size > 2 * PAIRS:
+            later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
+            waiting, size = [(later, earlier)], len(later)
+    later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
+    y, x = met.digest[later], met.digest[earlier]
     lost = np.isin(y, more)
     for low in range(0, len(y), 1 << 16):
         part = slice(low, low + (1 << 16))
         yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
-                        "bits": lost[part].astype(np.uint8).tobytes()}])
+                        "bits": lost[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
+                        "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
 
 
 def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for y, x, more in zip(*(batch.column(i) for i in range(3)), strict=True):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(y.as_buffer(), np.int64)), pa.array(np.frombuffer(x.as_buffer(), np.int64)),
-                 pa.array(np.frombuffer(more.as_buffer(), np.uint8).astype(bool))], ["y", "x", "more"])
+        for y, x, more, doc, number in zip(*(batch.column(i) for i in range(5)), strict=True):
+            ids = [pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (y, x, doc, number)]
+            lost = pa.array(np.frombuffer(more.as_buffer(), np.uint8).astype(bool))
+            yield pa.RecordBatch.from_arrays([*ids, lost], ["y", "x", "doc", "number", "more"])
 
 
 def _unpack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,30 +320,36 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
     texts = rows.select("text")
+    fetch = texts_by_digest(texts, line_sets)
     ranks = spark.sparkContext.broadcast(rarity(texts, line_sets, RARITY_BITS))
 
     def met(tokens: np.ndarray | None, wanted: np.ndarray | None) -> DataFrame:
         both = spark.sparkContext.broadcast((tokens, wanted))
-        return settled(rows.mapInArrow(lambda b: _send(ranks.value, bucket_bits, both.value[0], b), _PACKED)
+        return kept(rows.mapInArrow(lambda b: _send(ranks.value, bucket_bits, both.value[0], b), _PACKED)
                        .repartition(tasks, "bucket").mapInArrow(lambda b: _meet(both.value[1], b), _PACKED))
 
     def pairs_of(packed: DataFrame) -> DataFrame:
-        return (packed.where("kind = 2").select("digests", "keys", "bits").mapInArrow(_unpack_pairs, "y long, x long, more boolean")
-                .groupBy("y", "x").agg(F.max("more").alias("more")))
+        return (packed.where("kind = 2").select("digests", "keys", "bits", "docs", "numbers")
+                .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean")
+                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("doc", "number", "x")).alias("place")))
 
     packed = met(None, None)
-    asked = settled(pairs_of(packed))
+    # of what the tasks kept, the first pairs of all
+    firsts = Window.partitionBy("y").orderBy("place")
+    asked = kept(pairs_of(packed).withColumn("nth", F.row_number().over(firsts))
+                 .withColumn("more", F.max(F.col("more") | (F.col("nth") > KEPT)).over(Window.partitionBy("y")))
+                 .where(F.col("nth") <= KEPT).select("y", "x", "more"))
     names = [F.col("y").alias("a"), F.col("x").alias("b")]
-    checked = settled(verify(asked.select(*names), texts, line_sets))
+    checked = kept(verify(asked.select(*names), fetch, line_sets))
     matched = checked.where(similar()).select(F.col("a").alias("digest")).distinct()
-    unsure = settled(asked.where("more").select(F.col("y").alias("digest")).distinct().join(matched, "digest", "left_anti"))
+    unsure = kept(asked.where("more").select(F.col("y").alias("digest")).distinct().join(matched, "digest", "left_anti"))
     if not unsure.isEmpty():
         wanted = flags(unsure)
         sent = spark.sparkContext.broadcast(wanted)
         tokens = flags(rows.mapInArrow(lambda b: _prefix_tokens(ranks.value, sent.value, b), "token long"))
         again = (pairs_of(met(tokens, wanted)).select(*names).join(unsure.select(F.col("digest").alias("a")), "a", "left_semi")
                  .join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        more = verify(settled(again), texts, line_sets)
+        more = verify(kept(again), fetch, line_sets)
         matched = matched.unionAll(more.where(similar()).select(F.col("a").alias("digest"))).distinct()
     lines = packed.where("kind = 0").select("ids", "row_keys", "rows", "numbers", "digests").mapInArrow(
         _unpack_lines, "doc_id long, row_key long, number long, digest long")

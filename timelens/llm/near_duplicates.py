@@ -5,14 +5,14 @@ that is within a distance of EPS = 0.25.
 
 First regions. A document's prefix is the rarest quarter of its shingles and one
 more; linked documents share a prefix shingle, so the documents with one shingle in
-their prefixes form a region, and every link lies within one. Regions of the same
-documents are one, and a region within another of the same task is dropped.
-
-Regions are joined recursively. In each round, pivots are taken from every region
-that holds documents of several components, one at first and then one for each of up
-to CELLS components, and all distances from the region's documents to them are
-computed; a distance of EPS or less is a link. A pivot's component is its Voronoi
-cell. By the triangle inequality the distances of linked documents to any pivot
+their prefixes form a region, and every link lies within one. Regions with the same
+least document are one; that document is its first pivot. At first every document
+is compared with the pivot it shares most prefix shingles with, its Voronoi cell's.
+
+Then regions are joined recursively. In each round, every region that holds documents
+of several components gets a pivot for each of up to CELLS of them, and all distances
+from the region's documents to the pivots are computed; a distance of EPS or less is a
+link. A pivot's component is its cell. By the triangle inequality the distances of linked documents to any pivot
 differ by EPS at most: a document of the cell whose distance lies outside the window
 of those outside the cell has no link left to find, nor has the pivot itself. The
 others, the boundary, are the next region, until it has a single component. Documents
@@ -36,21 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
-    DENOMINATOR, NUMERATOR, Sets, digests, distinct_elements, prefixes, rarity, verify,
+    DENOMINATOR, NUMERATOR, Fetch, Sets, digests, distinct_elements, prefixes, rarity, texts_by_name, verify,
 )
+from timelens.llm.store import kept
 from timelens.llm.words import NON_SPACE, find_words, mix, shingles, text_slices
-from timelens.session import settled
 
 WORDS = 5
 EPS = 1 - NUMERATOR / DENOMINATOR
 CELLS = 64
-"""Components of a region that get a pivot in one round, from the second on."""
+"""Components of a region that get a pivot in one round."""
 
 CHUNK = 4096
+HELD = 1 << 18
+"""Postings a task holds before it hands them on."""
+
 HOT = 1 << 17
 """Estimated documents with a shingle from which on its region is gathered in parts."""
 
@@ -63,48 +66,54 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     return Sets(np.arange(n), np.zeros(n, np.int64), offsets[:-1], offsets[1:], of, elements)
 
 
+def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    elements, digest, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+    estimate = np.exp2(ranks[(elements >> np.uint64(64 - bits)).astype(np.int64)] / 8.0)
+    parts = (estimate // HOT).astype(np.uint64) + np.uint64(1)
+    salt = mix(digest.view(np.uint64)) % parts
+    bucket = ((elements >> np.uint64(64 - bucket_bits)) + salt) % np.uint64(1 << bucket_bits)
+    for hot in (False, True):
+        mine = np.flatnonzero((parts > 1) == hot)
+        order = mine[np.argsort(bucket[mine], kind="stable")]
+        cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+        used = np.flatnonzero(np.diff(cuts))
+        if len(used):
+            slices = [order[cuts[b]:cuts[b + 1]] for b in used]
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(used, pa.int32()), "region": pa.array([0] * len(used), pa.int64()),
+                "hot": pa.array([hot] * len(used), pa.bool_()), "ids": pa.nulls(len(used), pa.list_(pa.int64())),
+                "keys": pa.array([elements[x].tobytes() for x in slices], pa.binary()),
+                "digests": pa.array([digest[x].tobytes() for x in slices], pa.binary()),
+                "sizes": pa.array([sizes[x].tobytes() for x in slices], pa.binary())})
+
+
 def _postings(ranks: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix shingles with their set's digest and size, packed by bucket; documents' rows (bucket -1) beside them."""
     bits = len(ranks).bit_length() - 1
     for batch in batches:
         names = batch.schema.names
-        ids = batch.column(names.index("doc_id"))
+        ids, keys = batch.column(names.index("doc_id")), batch.column(names.index("name")).to_numpy()
         held: list[tuple[np.ndarray, ...]] = []
         for low, high, data, offsets in text_slices(batch.column(names.index("text"))):
+            if sum(len(h[0]) for h in held) > HELD:
+                yield from _by_bucket(held, bits, bucket_bits, ranks)
+                held = []
             sets = document_sets(data, offsets)
             digest, sizes = digests(sets), sets.sizes
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([int(digest[0]) & (1 << bucket_bits) - 1], pa.int32()), "region": pa.array([0], pa.int64()), "hot": pa.array([None], pa.bool_()),
                 "ids": pa.array([ids.slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
-                "keys": pa.array([None], pa.binary()),
+                "keys": pa.array([keys[low:high].tobytes()], pa.binary()),
                 "digests": pa.array([digest.tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.uint32).tobytes()], pa.binary())})
             of, elements, _ = prefixes(sets, ranks)
             # equal sets of the slice are sent once
             _, first = np.unique(digest, return_index=True)
             once = np.zeros(len(digest), bool)
             once[first] = True
-            kept = once[of]
-            held.append((elements[kept], digest[of[kept]], sizes[of[kept]].astype(np.uint32)))
-        if not held:
-            continue
-        elements, digest, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-        estimate = np.exp2(ranks[(elements >> np.uint64(64 - bits)).astype(np.int64)] / 8.0)
-        parts = (estimate // HOT).astype(np.uint64) + np.uint64(1)
-        salt = mix(digest.view(np.uint64)) % parts
-        bucket = ((elements >> np.uint64(64 - bucket_bits)) + salt) % np.uint64(1 << bucket_bits)
-        for hot in (False, True):
-            mine = np.flatnonzero((parts > 1) == hot)
-            order = mine[np.argsort(bucket[mine], kind="stable")]
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(cuts))
-            if len(used):
-                slices = [order[cuts[b]:cuts[b + 1]] for b in used]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(used, pa.int32()), "region": pa.array([0] * len(used), pa.int64()),
-                    "hot": pa.array([hot] * len(used), pa.bool_()), "ids": pa.nulls(len(used), pa.list_(pa.int64())),
-                    "keys": pa.array([elements[x].tobytes() for x in slices], pa.binary()),
-                    "digests": pa.array([digest[x].tobytes() for x in slices], pa.binary()),
-                    "sizes": pa.array([sizes[x].tobytes() for x in slices], pa.binary())})
+            mine = once[of]
+            held.append((elements[mine], digest[of[mine]], sizes[of[mine]].astype(np.uint32)))
+        if held:
+            yield from _by_bucket(held, bits, bucket_bits, ranks)
 
 
 _PACKED = "bucket int, region long, hot boolean, ids array<long>, keys binary, digests binary, sizes binary"
@@ -115,7 +124,7 @@ def _concatenated(parts: list[pa.Scalar], kind: type) -> np.ndarray:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of two documents and more, each set of documents once; documents' rows pass."""
+    """Regions of two documents and more, named by their least one or by their hot shingle; documents' rows pass."""
     held: dict[bool, list] = {False: [], True: []}
     for batch in batches:
         hot = batch.column(2).to_pylist()
@@ -139,104 +148,114 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if hot:
             # other parts of the region are elsewhere: its shingle names it
             names = mix(keys[starts]).view(np.int64)
+            shared = np.ones(len(digest), np.uint32)
         else:
-            names = mix(np.add.reduceat(mix(digest.view(np.uint64)), starts)).view(np.int64)
-            starts, counts, names = starts[counts > 1], counts[counts > 1], names[counts > 1]
-            _, first = np.unique(names, return_index=True)
-            starts, counts, names = starts[first], counts[first], names[first]
-            starts, counts, names = _largest(digest, starts, counts, names)
+            # regions of one least document are one: all their documents share a shingle with it
+            some = np.repeat(counts > 1, counts)
+            pivots = np.repeat(digest[starts], counts)[some]
+            digest, sizes = digest[some], sizes[some]
+            order = np.lexsort((digest, pivots))
+            new = np.ones(len(order), bool)
+            new[1:] = (pivots[order][1:] != pivots[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+            shared = np.diff(np.append(np.flatnonzero(new), len(order))).astype(np.uint32)
+            order = order[new]
+            digest, sizes, pivots = digest[order], sizes[order], pivots[order]
+            starts = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1]])) if len(pivots) else np.zeros(0, np.int64)
+            counts, names = np.diff(np.append(starts, len(pivots))), pivots[starts]
         for low in range(0, len(starts), 1024):
             packs = [(n, s, min(s + CHUNK, a + c)) for n, a, c in zip(names[low:low + 1024], starts[low:low + 1024], counts[low:low + 1024], strict=True)
                      for s in range(a, a + c, CHUNK)]
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([0] * len(packs), pa.int32()), "region": pa.array([n for n, _, _ in packs], pa.int64()),
                 "hot": pa.array([hot] * len(packs), pa.bool_()), "ids": pa.nulls(len(packs), pa.list_(pa.int64())),
-                "keys": pa.nulls(len(packs), pa.binary()),
+                "keys": pa.array([shared[a:b].tobytes() for _, a, b in packs], pa.binary()),
                 "digests": pa.array([digest[a:b].tobytes() for _, a, b in packs], pa.binary()),
                 "sizes": pa.array([sizes[a:b].tobytes() for _, a, b in packs], pa.binary())})
 
 
-def _largest(digest: np.ndarray, starts: np.ndarray, counts: np.ndarray, names: np.ndarray):
-    """Without regions that lie within the largest one of the same first document."""
-    order = np.lexsort((-counts, digest[starts]))
-    kept, members, of = [], set(), None
-    for i in order.tolist():
-        mine = digest[starts[i]:starts[i] + counts[i]].tolist()
-        if mine[0] != of:
-            of, members = mine[0], set(mine)
-        elif members.issuperset(mine):
-            continue
-        kept.append(i)
-    return starts[kept], counts[kept], names[kept]
-
-
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for region, digest, sizes in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        for region, shared, digest, sizes in zip(*(batch.column(i) for i in range(4)), strict=True):
             ids = np.frombuffer(digest.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), region.as_py())), pa.array(ids), pa.array(np.frombuffer(sizes.as_buffer(), np.uint32).astype(np.int64))],
-                ["region", "digest", "n"])
+                [pa.array(np.full(len(ids), region.as_py())), pa.array(ids), pa.array(np.frombuffer(sizes.as_buffer(), np.uint32).astype(np.int64)),
+                 pa.array(np.frombuffer(shared.as_buffer(), np.uint32).astype(np.int64))], ["region", "digest", "n", "shared"])
 
 
 def _unpack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, digest, sizes in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        for ids, keys, digest, sizes in zip(*(batch.column(i) for i in range(4)), strict=True):
             yield pa.RecordBatch.from_arrays(
-                [ids.values, pa.array(np.frombuffer(digest.as_buffer(), np.int64)),
+                [ids.values, pa.array(np.frombuffer(keys.as_buffer(), np.int64)), pa.array(np.frombuffer(digest.as_buffer(), np.int64)),
                  pa.array(np.frombuffer(sizes.as_buffer(), np.uint32).astype(np.int64))],
-                ["doc_id", "digest", "n_shingles"])
+                ["doc_id", "name", "digest", "n_shingles"])
+
+
+def _name() -> Column:
+    return F.xxhash64("text", F.lit(3))
 
 
 def find_regions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, n_shingles) of all documents, and (region, digest, n) of the first regions."""
+    """(doc_id, name, digest, n_shingles) of all documents, and (region, digest, n, shared) of the first regions:
+    `shared` is the number of prefix shingles that put the document there."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket_bits = max(4, (2 * tasks - 1).bit_length())
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("name", _name())
     sent = spark.sparkContext.broadcast(rarity(rows.select("text"), document_sets))
-    packed = settled(
+    packed = kept(
         rows.mapInArrow(lambda b: _postings(sent.value, bucket_bits, b), _PACKED)
         .repartition(tasks, "bucket").mapInArrow(_regions, _PACKED))
-    named = packed.where("hot IS NULL").select("ids", "digests", "sizes").mapInArrow(
-        _unpack_documents, "doc_id long, digest long, n_shingles long")
-    once = packed.where("NOT hot").dropDuplicates(["region", "digests"]).unionAll(packed.where("hot"))
-    members = once.select("region", "digests", "sizes").mapInArrow(_unpack, "region long, digest long, n long")
-    return named, members
+    named = packed.where("hot IS NULL").select("ids", "keys", "digests", "sizes").mapInArrow(
+        _unpack_documents, "doc_id long, name long, digest long, n_shingles long")
+    members = packed.where("hot IS NOT NULL").select("region", "keys", "digests", "sizes").mapInArrow(
+        _unpack, "region long, digest long, n long, shared long")
+    return named, members.groupBy("region", "digest", "n").agg(F.sum("shared").alias("shared"))
 
 
 def _pairs(asked: DataFrame) -> DataFrame:
-    """x, y as a, b: the set with the least hash is b, to which the others are sent."""
-    turned = F.xxhash64("x") < F.xxhash64("y")
-    return asked.withColumns({"a": F.when(turned, F.col("y")).otherwise(F.col("x")),
-                              "b": F.when(turned, F.col("x")).otherwise(F.col("y"))})
+    """x, y as a, b: the set with the least digest is b, to which the others are sent."""
+    return asked.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y")})
+
+
+def _links(found: DataFrame) -> DataFrame:
+    return found.where(F.col("shared") * DENOMINATOR >= F.col("joined") * NUMERATOR).select("a", "b")
 
 
-def join_regions(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_regions(members: DataFrame) -> DataFrame:
+    """Only the regions that hold several components."""
+    several = (members.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+               .where("one != other").select("region"))
+    return kept(members.join(several, "region", "left_semi"))
+
+
+def join_regions(members: DataFrame, fetch: Fetch) -> DataFrame:
     """(digest, component) of all sets that have a link."""
     spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     known = spark.createDataFrame([], "a long, b long, shared long, joined long")
-    names = components(links)
-    members = settled(members.withColumn("component", F.col("digest")))
-    cells, slack = 1, 1e-9
+    slack = 1e-9
+    members = kept(members)
+    pivots = members.groupBy("region").agg(F.min("digest").alias("pivot"))
+    near = members.join(pivots, "region").where("digest != pivot")
+    homes = near.groupBy("digest").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("home"))
+    found = kept(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),
+                        fetch, document_sets))
+    known = known.unionAll(found)
+    names = components(_links(found))
+    members = _open_regions(members.drop("shared").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
     while not members.isEmpty():
-        least = (members.groupBy("region", "component").agg(F.min(F.struct(F.xxhash64("digest").alias("h"), "digest", "n")).alias("p"))
-                 .select("region", "p.*"))
-        if cells == 1:
-            pivots = least.groupBy("region").agg(F.min(F.struct("h", "digest", "n")).alias("p")).select("region", "p.digest", "p.n")
-        else:
-            by_hash = Window.partitionBy("region").orderBy("h", "digest")
-            pivots = least.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= cells).select("region", "digest", "n")
+        # digests are hashes: the least is any
+        least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n")).alias("p")).select("region", "p.*")
+        in_order = Window.partitionBy("region").orderBy("digest")
+        pivots = least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS)
         pivots = pivots.select("region", F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"))
-        near = settled(_pairs(members.join(pivots, "region").where("digest != pivot")
+        near = kept(_pairs(members.join(pivots, "region").where("digest != pivot")
                               .withColumns({"x": F.col("digest"), "y": F.col("pivot")})).drop("x", "y"))
         fit = F.least("n", "pivot_n") * DENOMINATOR >= F.greatest("n", "pivot_n") * NUMERATOR
-        pairs = settled(near.where(fit).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        found = settled(verify(pairs, texts, document_sets))
+        pairs = kept(near.where(fit).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        found = kept(verify(pairs, fetch, document_sets))
         known = known.unionAll(found)
-        new = found.where(F.col("shared") * DENOMINATOR >= F.col("joined") * NUMERATOR).select("a", "b")
-        links = names.select(F.col("digest").alias("a"), F.col("component").alias("b")).unionAll(new)
+        links = names.select(F.col("digest").alias("a"), F.col("component").alias("b")).unionAll(_links(found))
         names = components(links)
         # distances to pivots: known ones, or what the sizes leave open
         ratio = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
@@ -248,14 +267,12 @@ def join_regions(members: DataFrame, texts: DataFrame) -> DataFrame:
         windows = (measured.where("NOT mine").groupBy("region", "pivot")
                    .agg(F.min("low").alias("from"), F.max("high").alias("to")))
         reaches = (F.col("high") >= F.col("from") - EPS - slack) & (F.col("low") <= F.col("to") + EPS + slack)
-        kept = (measured.join(windows, ["region", "pivot"], "left")
+        left = (measured.join(windows, ["region", "pivot"], "left")
                 .groupBy("region", "digest", "n", "component")
-                .agg(F.bool_and(~F.col("mine") | F.coalesce(reaches, F.lit(False))).alias("kept"))
-                .where("kept").drop("kept")
+                .agg(F.bool_and(~F.col("mine") | F.coalesce(reaches, F.lit(False))).alias("stays"))
+                .where("stays").drop("stays")
                 .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti"))
-        open_ = kept.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other")
-        members = settled(kept.join(open_.select("region"), "region", "left_semi"))
-        cells = CELLS
+        members = _open_regions(left)
     return names
 
 
@@ -265,7 +282,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins the links of a star's centre among its leaves (the least gets the
     others), so long chains shrink by half or more.
     """
-    edges = settled(links.select("a", "b").where("a != b").distinct())
+    edges = kept(links.select("a", "b").where("a != b").distinct())
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # every set sends its greater neighbours to its least one
@@ -275,7 +292,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = (large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
                  .unionAll(least.select(F.col("m").alias("a"), "b")).where("a != b").distinct())
-        new = settled(small)
+        new = kept(small)
         counts = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first() for x in (edges, new)]
         edges = new
         if counts[0] == counts[1]:
@@ -286,7 +303,8 @@ def components(links: DataFrame) -> DataFrame:
 def find_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
     named, members = find_regions(documents)
-    names = join_regions(members, documents.select(F.col("text").cast("string").alias("text")))
+    texts = documents.select(F.col("text").cast("string").alias("text")).select(_name().alias("name"), "text")
+    names = join_regions(members, texts_by_name(texts, named.groupBy("digest").agg(F.min("name").alias("name"))))
     placed = named.join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(least, "component", "left")

@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from timelens.llm.store import kept as stored
 from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
-from timelens.session import settled
 
 BASE = 1.5
 PROBES, BITS_PER_ENTRY = 4, 6
@@ -244,7 +244,7 @@ def build_model(training: DataFrame, hot_words: int = HOT_WORDS) -> Model:
     bucket_bits = max(4, (2 * tasks - 1).bit_length())
     texts = training.select(F.col("text").cast("string").alias("text"))
     hot_each = max(1, hot_words >> bucket_bits)
-    segments = settled(
+    segments = stored(
         texts.mapInArrow(lambda b: _count_tokens(bucket_bits, b), "bucket int, kind int, keys binary, counts binary")
         .repartition(tasks, "bucket").mapInArrow(lambda b: _make_segments(bucket_bits, hot_each, b), _SEGMENTS))
     # two numbers and at most `hot_each` words a bucket
@@ -480,7 +480,7 @@ def score_documents(documents: DataFrame, model: Model, wave_bytes: int = WAVE_B
     *earlier, last = wave_buckets(model, wave_bytes)
     for buckets in earlier:
         wave = context.broadcast(fetch_wave(model, buckets))
-        rows = settled(rows.mapInArrow(lambda b, wave=wave: _add_levels(wave.value, b), rows.schema))
+        rows = stored(rows.mapInArrow(lambda b, wave=wave: _add_levels(wave.value, b), rows.schema))
         wave.unpersist()
     sent = context.broadcast((model.counts, fetch_wave(model, last)))
     bits = model.bucket_bits

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelens.llm.sketch import counter_of, hashed_counts
+from timelens.llm.store import kept
 from timelens.llm.words import mix, text_slices
 
 # similarity NUMERATOR / DENOMINATOR and up
 NUMERATOR, DENOMINATOR = 3, 4
-RARITY_BITS = 23
+RARITY_BITS = 25
 FLAG_BITS = 22
 PIVOT_ROWS = 2000
 """Pairs of one first set that are verified together."""
@@ -44,6 +45,8 @@ class Sets(NamedTuple):
 
 
 ReadSets = Callable[[np.ndarray, np.ndarray], Sets]
+# Of rows with a digest: (name, text) of all texts in question, and the rows with names in place of digests.
+Fetch = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def distinct_elements(of: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +64,22 @@ def digests(sets: Sets) -> np.ndarray:
     return mix(total[cuts[1:]] - total[cuts[:-1]] + np.diff(cuts).astype(np.uint64)).view(np.int64)
 
 
-def rarity(texts: DataFrame, read: ReadSets, bits: int = RARITY_BITS) -> np.ndarray:
-    """A byte for each counter: more for elements of more sets, 8 steps for twice as many."""
+def _steps(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(8 * np.log2(counts.astype(np.float64) + 1)), 255).astype(np.uint8)
+
+
+def rarity(texts: DataFrame, read: ReadSets, most_bits: int = RARITY_BITS) -> np.ndarray:
+    """A byte for each counter: more for elements of more sets, 8 steps for twice as many.
+
+    The table has about a counter for every 32 bytes of text, at most 2^most_bits.
+    """
     def elements(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in text_slices(batch.column(0)):
             yield read(data, offsets).elements
 
-    counts = hashed_counts(texts, elements, bits)
-    return np.minimum(np.round(8 * np.log2(counts.astype(np.float64) + 1)), 255).astype(np.uint8)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(most_bits, max(16, (int(size) // 32).bit_length()))
+    return hashed_counts(texts, elements, bits, _steps, np.uint8)
 
 
 def prefixes(sets: Sets, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +91,8 @@ def prefixes(sets: Sets, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     place = np.arange(len(of)) - cuts[of]
     sizes = sets.sizes
     long = sizes - -(-sizes * NUMERATOR // DENOMINATOR) + 1
-    kept = place < long[of]
-    return of[kept], elements[kept], place[kept]
+    early = place < long[of]
+    return of[early], elements[early], place[early]
 
 
 def flags(ids: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
@@ -89,7 +100,7 @@ def flags(ids: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield mix(batch.column(0).to_numpy().view(np.uint64))
 
-    return hashed_counts(ids, hashes, bits) > 0
+    return hashed_counts(ids, hashes, bits, lambda counts: counts > 0, np.bool_)
 
 
 def flagged(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -102,58 +113,89 @@ def _wanted(read: ReadSets, held: np.ndarray, batches: Iterator[pa.RecordBatch])
         for _, _, data, offsets in text_slices(batch.column(0)):
             sets = read(data, offsets)
             ids, first = np.unique(digests(sets), return_index=True)
-            kept = flagged(ids, held)
-            ids, first = ids[kept], first[kept]
+            mine = flagged(ids, held)
+            ids, first = ids[mine], first[mine]
             texts = [data[a:b].tobytes().decode() for a, b in zip(sets.starts[first], sets.ends[first], strict=True)]
             if texts:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string())], ["digest", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string())], ["name", "text"])
+
 
+def texts_by_digest(texts: DataFrame, read: ReadSets) -> Fetch:
+    """Fetches the texts of sets by reading all sets of `texts` anew."""
+    def fetch(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sent = texts.sparkSession.sparkContext.broadcast(flags(asked.select("digest")))
+        found = texts.mapInArrow(lambda batches: _wanted(read, sent.value, batches), "name long, text string")
+        return found, asked.withColumnRenamed("digest", "name")
 
-def _elements(read: ReadSets, text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return read(data, np.array([0, len(data)])).elements
+    return fetch
+
+
+def _named(held: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        mine = np.flatnonzero(flagged(batch.column(0).to_numpy(), held))
+        if len(mine):
+            yield batch.take(pa.array(mine))
+
+
+def texts_by_name(texts: DataFrame, names: DataFrame) -> Fetch:
+    """Fetches texts by their own hash; `texts` has name and text, `names` a name for each digest."""
+    def fetch(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = kept(asked.join(names, "digest").drop("digest"))
+        sent = texts.sparkSession.sparkContext.broadcast(flags(asked.select("name")))
+        return texts.mapInArrow(lambda batches: _named(sent.value, batches), "name long, text string"), asked
+
+    return fetch
 
 
 def _verify(read: ReadSets, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by first set, its own text first, then those to compare with it."""
-    first, pivot, last = None, None, None
+    """Rows come by first set, its own text first, then those to compare with it; a row may repeat."""
+    first, pivot, last = None, np.zeros(0, np.uint64), None
     for batch in batches:
         a_ids, b_ids, shared, unions = [], [], [], []
-        for b, salt, a, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (b, salt, a) == last:
-                continue
-            last = (b, salt, a)
-            if a is None:
-                first, pivot = (b, salt), _elements(read, text)
-            elif first == (b, salt):
-                other = _elements(read, text)
-                at = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
-                both = int((pivot[at] == other).sum())
-                a_ids.append(a)
-                b_ids.append(b)
-                shared.append(both)
-                unions.append(len(pivot) + len(other) - both)
+        for low, high, data, offsets in text_slices(batch.column(3)):
+            sets = read(data, offsets)
+            cuts = np.searchsorted(sets.rows[sets.of], np.arange(high - low + 1))
+            b, salt, of = (batch.column(i).slice(low, high - low) for i in range(3))
+            b, salt, own = b.to_numpy(), salt.to_numpy(), of.is_null().to_numpy(zero_copy_only=False)
+            of = of.fill_null(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (salt[1:] != salt[:-1])]))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), high - low], strict=True):
+                here = (b[start], salt[start])
+                if own[start]:
+                    first, pivot, last = here, sets.elements[cuts[start]:cuts[start + 1]], None
+                rows = np.arange(start, stop)[~own[start:stop]]
+                if not len(rows) or first != here:
+                    continue
+                elements = sets.elements[cuts[rows[0]]:cuts[stop]]
+                sizes = np.diff(cuts[rows[0]:stop + 1])
+                at = np.minimum(np.searchsorted(pivot, elements), len(pivot) - 1)
+                both = np.bincount(np.repeat(np.arange(len(rows)), sizes), pivot[at] == elements, len(rows)).astype(np.int64)
+                new = np.ones(len(rows), bool)
+                new[1:] = of[rows[1:]] != of[rows[:-1]]
+                new[0] = of[rows[0]] != last
+                last = of[rows[-1]]
+                a_ids.append(of[rows][new])
+                b_ids.append(np.full(int(new.sum()), here[0]))
+                shared.append(both[new])
+                unions.append((len(pivot) + sizes - both)[new])
         if a_ids:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64()), pa.array(shared, pa.int64()), pa.array(unions, pa.int64())],
-                ["a", "b", "shared", "joined"])
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in (a_ids, b_ids, shared, unions)], ["a", "b", "shared", "joined"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, read: ReadSets) -> DataFrame:
+def verify(pairs: DataFrame, fetch: Fetch, read: ReadSets) -> DataFrame:
     """a, b, shared, joined: sizes of the intersection and union of the sets of each pair (a, b).
 
     `pairs` are distinct. Texts of the sets in question are read anew and sent, once
     for each pair, to where the pairs of their `b` are; a frequent `b` is split.
     """
-    held = flags(pairs.select("a").unionAll(pairs.select("b")))
-    sent = pairs.sparkSession.sparkContext.broadcast(held)
-    found = texts.mapInArrow(lambda batches: _wanted(read, sent.value, batches), "digest long, text string")
     counted = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("salts"))
     asked = (pairs.join(counted, "b")
              .select(F.col("a").alias("digest"), "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.col("a").alias("of"))
              .unionAll(counted.select(F.col("b").alias("digest"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                                       F.lit(None).cast("long").alias("of"))))
-    return (found.join(asked, "digest").select("b", "salt", "of", "text")
+    found, asked = fetch(asked)
+    return (found.join(asked, "name").select("b", "salt", "of", "text")
             .repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("of").asc_nulls_first())
             .mapInArrow(lambda batches: _verify(read, batches), "a long, b long, shared long, joined long"))
 

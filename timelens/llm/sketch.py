@@ -23,17 +23,32 @@ def counter_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _partial(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int,
              batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << bits, np.uint32)
+    counts = np.zeros(1 << bits, np.uint16)
+    size, room = min(PART, 1 << bits), 65535
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for k in range(0, 1 << bits, size):
+            part = counts[k:k + size]
+            most = part.max()
+            if most:
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([k // size], pa.int32()),
+                    "counts": pa.array([part.astype(np.min_scalar_type(most)).tobytes()], pa.binary())})
+        counts[:] = 0
+
     for batch in batches:
         for hashes in hashes_of(batch):
-            np.add.at(counts, counter_of(hashes, bits), np.uint32(1))
-    size = min(PART, 1 << bits)
-    for k in range(0, 1 << bits, size):
-        if counts[k:k + size].any():
-            part = counts[k:k + size]
-            kind = np.min_scalar_type(part.max())
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([k // size], pa.int32()), "counts": pa.array([part.astype(kind).tobytes()], pa.binary())})
+            # no counter can be hit more often than there are hashes
+            for low in range(0, len(hashes), 65535):
+                some = hashes[low:low + 65535]
+                if len(some) > room:
+                    room = 65535 - int(counts.max())
+                    if len(some) > room:
+                        yield from hand_on()
+                        room = 65535
+                np.add.at(counts, counter_of(some, bits), np.uint16(1))
+                room -= len(some)
+    yield from hand_on()
 
 
 def _read(counts: pa.Scalar, size: int) -> np.ndarray:
@@ -42,28 +57,31 @@ def _read(counts: pa.Scalar, size: int) -> np.ndarray:
     return np.frombuffer(held, f"u{held.size // size}")
 
 
-def _total(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _total(size: int, finish: Callable[[np.ndarray], np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             new = _read(counts, size)
             held[part] = held[part] + new if part in held else new.astype(np.uint64)
     for part, counts in held.items():
-        kind = np.min_scalar_type(counts.max())
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "counts": pa.array([counts.astype(kind).tobytes()], pa.binary())})
+            "part": pa.array([part], pa.int32()), "counts": pa.array([finish(counts).tobytes()], pa.binary())})
+
 
+def hashed_counts(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int,
+                  finish: Callable[[np.ndarray], np.ndarray], kind: type) -> np.ndarray:
+    """`finish` of how often each of 2^bits counters is hit by the hashes of all rows, as `kind`.
 
-def hashed_counts(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """How often each of 2^bits counters is hit by the hashes of all rows; 8 bytes a counter at the driver."""
+    `finish` works on parts of the table, and keeps 0 as 0; the driver gets its results only.
+    """
     schema = "part int, counts binary"
     size = min(PART, 1 << bits)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = (df.mapInArrow(lambda b: _partial(hashes_of, bits, b), schema)
-             .repartition(tasks, "part").mapInArrow(lambda b: _total(size, b), schema).toArrow())
-    out = np.zeros(1 << bits, np.uint64)
+             .repartition(tasks, "part").mapInArrow(lambda b: _total(size, finish, b), schema).toArrow())
+    out = np.zeros(1 << bits, kind)
     for part, counts in zip(parts["part"].to_pylist(), parts["counts"], strict=True):
-        out[part * size:(part + 1) * size] = _read(counts, size)
+        out[part * size:(part + 1) * size] = np.frombuffer(counts.as_buffer(), kind)
     return out
 
 

@@ -268,7 +268,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 8) -> Model:
         gram_rows.append(np.repeat(pairs[:, 0] + low, counts))
         gram_keys.append(t.grams[np.repeat(starts, counts) + step])
     gram_rows, gram_keys = np.concatenate(gram_rows), np.concatenate(gram_keys)
-    half = np.arange(len(labels)) % 2 == 0
+    half = np.zeros(len(labels), bool)
+    for label in (0, 1):
+        half[np.flatnonzero(labels == label)[::2]] = True
     both = [[_vocabulary(r, k, labels, of) for r, k in ((word_rows, word_keys), (gram_rows, gram_keys))]
             for of in (~half, half, np.ones(len(labels), bool))]
     weights = _start_weights(len(both[2][0].priors), len(both[2][1].priors), seed)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 """Text handled at a time; a longer text is a slice of its own."""
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -105,7 +105,8 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], bucket_bits: int) -> Iterator
     if not held:
         return
     columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-    bucket = columns[0] >> np.uint64(64 - bucket_bits)
+    # prefixes prefer small hashes, so buckets take another one
+    bucket = mix(columns[0]) >> np.uint64(64 - bucket_bits)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
     names = ("keys", "digests", "sizes", "places", "bits", "docs", "numbers")

@@ -5,8 +5,8 @@ that is within a distance of EPS = 0.25.
 
 First regions. A document's prefix is the rarest quarter of its shingles and one
 more; linked documents share a prefix shingle, so the documents with one shingle in
-their prefixes form a region, and every link lies within one. Regions with the same
-least document are one; that document is its first pivot. At first every document
+their prefixes form a region, and every link lies within one. A region's pivot is the
+document that meets most others; regions with the same pivot are one. At first every document
 is compared with the pivot it shares most prefix shingles with, its Voronoi cell's.
 
 Then regions are joined recursively. In each round, every region that holds documents
@@ -71,7 +71,8 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int,
     estimate = np.exp2(ranks[(elements >> np.uint64(64 - bits)).astype(np.int64)] / 8.0)
     parts = (estimate // HOT).astype(np.uint64) + np.uint64(1)
     salt = mix(digest.view(np.uint64)) % parts
-    bucket = ((elements >> np.uint64(64 - bucket_bits)) + salt) % np.uint64(1 << bucket_bits)
+    # prefixes prefer small hashes, so buckets take another one
+    bucket = ((mix(elements) >> np.uint64(64 - bucket_bits)) + salt) % np.uint64(1 << bucket_bits)
     for hot in (False, True):
         mine = np.flatnonzero((parts > 1) == hot)
         order = mine[np.argsort(bucket[mine], kind="stable")]
@@ -124,7 +125,7 @@ def _concatenated(parts: list[pa.Scalar], kind: type) -> np.ndarray:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of two documents and more, named by their least one or by their hot shingle; documents' rows pass."""
+    """Regions of two documents and more, named by their pivot or by their hot shingle; documents' rows pass."""
     held: dict[bool, list] = {False: [], True: []}
     for batch in batches:
         hot = batch.column(2).to_pylist()
@@ -150,10 +151,22 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = mix(keys[starts]).view(np.int64)
             shared = np.ones(len(digest), np.uint32)
         else:
-            # regions of one least document are one: all their documents share a shingle with it
-            some = np.repeat(counts > 1, counts)
-            pivots = np.repeat(digest[starts], counts)[some]
-            digest, sizes = digest[some], sizes[some]
+            # a document whose size no other of the region comes near has no link there
+            order = np.lexsort((sizes, keys))
+            keys, digest, sizes = keys[order], digest[order], sizes[order]
+            near = np.zeros(len(keys) + 1, bool)
+            near[1:-1] = (keys[1:] == keys[:-1]) & (sizes[:-1].astype(np.int64) * DENOMINATOR >= sizes[1:].astype(np.int64) * NUMERATOR)
+            some = near[1:] | near[:-1]
+            keys, digest, sizes = keys[some], digest[some], sizes[some]
+            region = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            # the pivot is the document that meets the most others: an original rather than a copy with changes
+            weight = np.bincount(region)[region] if len(region) else region
+            _, of = np.unique(digest, return_inverse=True)
+            met = np.bincount(of.ravel(), weight)[of.ravel()] if len(of) else np.zeros(0)
+            order = np.lexsort((digest, -met, region))
+            first = order[np.concatenate([[True], region[order][1:] != region[order][:-1]])] if len(order) else order
+            pivots = digest[first][region]
+            # regions of one pivot are one: all their documents share a shingle with it
             order = np.lexsort((digest, pivots))
             new = np.ones(len(order), bool)
             new[1:] = (pivots[order][1:] != pivots[order][:-1]) | (digest[order][1:] != digest[order][:-1])
@@ -235,7 +248,8 @@ def join_regions(members: DataFrame, fetch: Fetch) -> DataFrame:
     known = spark.createDataFrame([], "a long, b long, shared long, joined long")
     slack = 1e-9
     members = kept(members)
-    pivots = members.groupBy("region").agg(F.min("digest").alias("pivot"))
+    pivots = members.groupBy("region").agg(
+        F.min(F.struct(F.col("digest") != F.col("region"), "digest")).alias("p")).select("region", F.col("p.digest").alias("pivot"))
     near = members.join(pivots, "region").where("digest != pivot")
     homes = near.groupBy("digest").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("home"))
     found = kept(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),

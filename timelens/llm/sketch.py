@@ -39,8 +39,8 @@ def _partial(hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits:
     for batch in batches:
         for hashes in hashes_of(batch):
             # no counter can be hit more often than there are hashes
-            for low in range(0, len(hashes), 65535):
-                some = hashes[low:low + 65535]
+            for low in range(0, len(hashes), 4096):
+                some = hashes[low:low + 4096]
                 if len(some) > room:
                     room = 65535 - int(counts.max())
                     if len(some) > room:

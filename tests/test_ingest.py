@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from timelens.operators import ingest
 from timelens.operators.topk import top_per_group
 from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform
-from timelens.sources.tables import append_events, append_first_wins, read_table, row_number_in_load, spread_by_time
+from timelens.sources.tables import append_events, append_first_wins, number_rows, read_table, spread_by_time
 
 
 def numbered(df):
@@ -101,13 +101,23 @@ def test_old_files_get_new_columns(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "missing"), EVENTS).count() == 0
 
 
-def test_row_numbers_are_unique_over_loads(spark):
-    df = spark.range(100).repartition(7)
-    ids = [r.n for load in (0, 1, 5) for r in df.select(row_number_in_load(load).alias("n")).collect()]
-    assert len(set(ids)) == 300 and min(ids) >= 0
-    assert max(ids[:100]) < min(ids[100:200])
-    with pytest.raises(ValueError):
-        row_number_in_load(2**25)
+def test_row_numbers_are_dense_over_loads_and_the_same_when_replayed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    made = {}
+    for load in (0, 1, 5, 1, 2**40):
+        df = spark.range(100).repartition(7).persist()
+        ids = {r.id: r.n for r in number_rows(df, path, load, "n").collect()}
+        assert made.setdefault(load, ids) == ids
+        df.unpersist()
+    assert sorted(n for ids in made.values() for n in ids.values()) == list(range(400))
+    assert max(made[0].values()) < min(made[1].values())
+
+
+def test_a_load_of_many_tasks_is_numbered(spark, tmp_path):
+    df = spark.range(0, 20_000, 1, 20_000)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    counts = number_rows(df.coalesce(40), str(tmp_path / "t"), 0, "n")
+    assert counts.agg(F.count_distinct("n")).first()[0] == 20_000
 
 
 def test_spread_by_time_splits_a_crowded_moment(spark):

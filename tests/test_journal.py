@@ -26,7 +26,9 @@ def record(spark, **fields):
     ('{"MESSAGE":["x","y"]}', "x"), ('{"MESSAGE":[[["z"]]]}', "z"), ('{"MESSAGE":[104,105]}', "104"),
     ('{"MESSAGE":5}', "5"), ('{"MESSAGE":-7.25}', "-7.25"), ('{"MESSAGE":1.50}', "1.5"), ('{"MESSAGE":0}', "0"),
     ('{"MESSAGE":1e3}', "1000"), ('{"MESSAGE":1e21}', "1000000000000000000000"),
-    ('{"MESSAGE":"a","MESSAGE":"b"}', "b"), ('{"MESSAGE":" "}', " "), ('{"MESSAGE":"[1]"}', "[1]"),
+    ('{"MESSAGE":[[[["deep"]]]]}', "deep"), ('{"MESSAGE":[[[[[7,8]]]]]}', "7"), ('{"MESSAGE":[["a\\"],[b", 1]]}', 'a"],[b'),
+    ('{"MESSAGE":1e40}', "1" + "0" * 40), ('{"MESSAGE":1e-20}', "0." + "0" * 19 + "1"), ('{"MESSAGE":-1.25e-7}', "-0.000000125"),
+    ('{"MESSAGE":123456789.125}', "123456789.125"), ('{"MESSAGE":"a","MESSAGE":"b"}', "b"), ('{"MESSAGE":" "}', " "), ('{"MESSAGE":"[1]"}', "[1]"),
 ])
 def test_accepted(spark, line, message):
     row = typed(spark, line)[0]
@@ -36,7 +38,7 @@ def test_accepted(spark, line, message):
 @pytest.mark.parametrize("line", [
     "", "null", "7", '"MESSAGE"', '{"MESSAGE":"a"', '{"MESSAGE":"a"} x', '{"MESSAGE":"a"}{"MESSAGE":"b"}',
     '{"MESSAGE":"a"},{"MESSAGE":"b"}', '{"MESSAGE":"a"},null', '{"MESSAGE":"a"},', '[{"MESSAGE":"a"}]',
-    '{"MESSAGE":"a"}] x [{}', '{"MESSAGE":""}', '{"MESSAGE":[]}', '{"MESSAGE":true}', '{"MESSAGE":null}',
+    '{"MESSAGE":"a"}] x [{}', '{"MESSAGE":"a"},"end-of-journal-line"', '{"MESSAGE":[[],"x"]}', '{"MESSAGE":[{"a":1}]}', '{"MESSAGE":""}', '{"MESSAGE":[]}', '{"MESSAGE":true}', '{"MESSAGE":null}',
     '{"MESSAGE":{"a":1}}', '{"PRIORITY":"3"}', "{}", '{"message":"lower"}',
 ])
 def test_rejected(spark, line):

@@ -29,7 +29,7 @@ def test_journal_feed_survives_restart(spark, tmp_path):
 
     def run():
         stream = feeds.line_stream(spark, str(folder), max_files=1)
-        feeds.ingest_journal(stream, table, rejects, checkpoint, once=True).awaitTermination()
+        feeds.ingest_journal(stream, table, checkpoint, rejects, once=True).awaitTermination()
 
     put(folder, "a", ['{"MESSAGE":"one"}', "broken", '{"MESSAGE":"one"}'], 200)
     put(folder, "b", ['{"MESSAGE":"two","__REALTIME_TIMESTAMP":"1705320000000000"}'], 100)
@@ -50,7 +50,7 @@ def test_a_replayed_batch_leaves_one_copy(spark, tmp_path):
     put(folder, "a", ['{"MESSAGE":"one"}', '{"MESSAGE":"two"}'], 10)
     for checkpoint in ("first", "second"):  # a lost checkpoint replays batch 0
         stream = feeds.line_stream(spark, str(folder))
-        feeds.ingest_journal(stream, table, None, str(tmp_path / checkpoint), once=True).awaitTermination()
+        feeds.ingest_journal(stream, table, str(tmp_path / checkpoint), once=True).awaitTermination()
     assert read_table(spark, table, EVENTS).count() == 2
 
 
@@ -136,7 +136,7 @@ def test_embedding_feed_and_catch_up(spark, tmp_path):
     lines = tmp_path / "lines"
     put(lines, "a", ['{"MESSAGE":"disk failure","UNIT":"kernel"}', '{"MESSAGE":"fine"}'], 100)
     feeds.ingest_journal(
-        feeds.line_stream(spark, str(lines)), events_path, None, str(tmp_path / "jcp"), once=True
+        feeds.line_stream(spark, str(lines)), events_path, str(tmp_path / "jcp"), once=True
     ).awaitTermination()
 
     def broken(texts):
@@ -158,3 +158,80 @@ def test_shared_folder_is_the_configured_one(spark):
     from timelens.session import shared_dir
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_tick_cut_over_batches_is_added_up(spark, tmp_path):
+    schema = "ts timestamp, kind string, device string, in_bytes long, out_bytes long, cpu_pct double, mem_used long, mem_total long"
+    folder = tmp_path / "in"
+    put(folder, "1", [json.dumps({"ts": str(T0), "kind": "disk", "device": "sda", "in_bytes": 100, "out_bytes": 1})], 300)
+    put(folder, "2", [json.dumps({"ts": str(T0), "kind": "disk", "device": "sdb", "in_bytes": 200, "out_bytes": 1}),
+                      json.dumps({"ts": str(T0), "cpu_pct": 50.0, "mem_used": 1, "mem_total": 2})], 200)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    feeds.ingest_readings(stream, str(tmp_path / "t"), str(tmp_path / "cp"), once=True).awaitTermination()
+    (row,) = feeds.read_built_samples(spark, str(tmp_path / "t")).collect()
+    assert (row.ts, row.disk_read, row.disk_write, row.cpu_pct, row.net_rx) == (T0, 300, 2, 50.0, 0)
+
+
+def test_a_tick_in_parts_keeps_its_ten(spark, tmp_path):
+    folder = tmp_path / "in"
+    for part in range(3):
+        put(folder, str(part), [json.dumps({"ts": str(T0), "pid": pid, "name": f"p{pid}", "cpu_pct": float(pid + part), "mem_rss": 1})
+                                for pid in range(part * 5, part * 5 + 8)], 300 - 100 * part)
+    stream = spark.readStream.schema("ts timestamp, pid int, name string, cpu_pct double, mem_rss long").option(
+        "maxFilesPerTrigger", 1).json(str(folder))
+    feeds.ingest_processes(stream, str(tmp_path / "t"), str(tmp_path / "cp"), once=True).awaitTermination()
+    rows = feeds.read_processes(spark, str(tmp_path / "t")).collect()
+    first = {pid: float(pid + part) for part in (2, 1, 0) for pid in range(part * 5, part * 5 + 8)}
+    assert sorted((r.pid, r.cpu_pct) for r in rows) == sorted(sorted(first.items(), key=lambda p: (-p[1], p[0]))[:10])
+
+
+def test_a_failed_feed_starts_again_where_it_stopped(spark, tmp_path):
+    folder, seen, fails = tmp_path / "in", [], [1, 1]
+    put(folder, "1", [sample_line("a", 0, 1.0, 1)], 300)
+    put(folder, "2", [sample_line("a", 5, 2.0, 2)], 200)
+
+    def write(batch, batch_id):
+        if batch_id == 1 and fails:
+            fails.pop()
+            raise OSError("disk full")
+        seen.append((batch_id, batch.count()))
+
+    feeds.run_forever(
+        lambda: feeds.start(sample_stream(spark, folder), "again", write, str(tmp_path / "cp"), once=True), pause=0.01)
+    assert seen == [(0, 1), (1, 1)] and not fails
+
+
+def test_failed_embeddings_are_tried_with_the_next_batch(spark, tmp_path):
+    side, table = str(tmp_path / "side"), str(tmp_path / "events")
+    failing = [True]
+
+    def moody(texts):
+        keep = F.lit(not failing[0]) | ~F.col("text").contains("hard")
+        return hashing_embedder(8)(texts).withColumn("embedding", F.when(keep, F.col("embedding")))
+
+    def load(number, *messages):
+        rows = [(10 * number + i, at(number), 6, "", "", 0, m, None) for i, m in enumerate(messages)]
+        append_events(spark.createDataFrame(rows, EVENTS), table, number)
+        stream = spark.readStream.schema(EVENTS).parquet(table)
+        enrich.embed_stream(stream, side, moody, str(tmp_path / "cp"), once=True).awaitTermination()
+        return sorted(r.event_id for r in enrich.read_embeddings(spark, side).collect())
+
+    assert load(0, "easy", "hard") == [0]
+    failing[0] = False
+    assert load(1, "more") == [0, 1, 10]
+
+
+def test_live_view_without_host_and_with_missing_counters(spark, tmp_path):
+    folder = tmp_path / "in"
+    big = 9007199254740993
+    for i, disk in enumerate((None, big, big + 4)):
+        row = {"ts": str(at(2 * i)), "cpu_pct": None, "mem_used": big, "mem_total": None, "disk_read": disk, "disk_write": 0, "net_rx": 0, "net_tx": 0}
+        put(folder, f"{i}", [json.dumps(row)], 1000 - 100 * i)
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).json(str(folder))
+    live.live_view(stream).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", out + "-cp").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).orderBy("ts").collect()
+    assert "host" not in rows[0].asDict()
+    assert [(r.disk_read, r.mem_used) for r in rows] == [(0, big), (big, big), (big + 4, big)]
+    assert [r.disk_read_rate for r in rows][2] == 2

@@ -87,3 +87,27 @@ def test_conform_adds_and_is_idempotent(spark):
     assert [f.dataType for f in once.schema.fields[1:]] == [f.dataType for f in EVENTS.fields]
     assert conform(once, EVENTS).collect() == once.collect()
     assert once.first().embedding is None
+
+
+def test_moments_are_utc_whatever_the_zone_of_the_driver(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "from datetime import datetime\n"
+        "from pyspark.sql import functions as F\n"
+        "from timelens.session import build_session\n"
+        "from timelens.operators import system as sy, events as ev\n"
+        "s = build_session('zone', 'local[1]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '1'})\n"
+        "df = s.range(24).select(F.timestamp_seconds(F.lit(1705276800) + F.col('id') * 3600).alias('ts'), F.col('id').alias('cpu_pct'))\n"
+        "row = sy.sample_at(df, datetime(2024, 1, 15, 12)).first()\n"
+        "span = sy.samples_in_range(df, datetime(2024, 1, 15, 3), datetime(2024, 1, 15, 5)).collect()\n"
+        "print('GOT', row.cpu_pct, [r.cpu_pct for r in span])\n"
+    )
+    root = str(Path(__file__).resolve().parents[1])
+    for zone in ("America/New_York", "Asia/Kolkata"):
+        done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "TZ": zone, "PYTHONPATH": root},
+                              capture_output=True, text=True, timeout=300)
+        assert "GOT 12 [3, 4, 5]" in done.stdout, done.stdout + done.stderr[-2000:]

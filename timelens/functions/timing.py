@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,9 +42,33 @@ def moment(df: DataFrame, column: str, value: datetime | date | str) -> Column:
     """``value`` as a literal of the column's own type.
 
     A literal of another timestamp type would put a cast around the column and
-    keep the comparison out of the Parquet scan.
+    keep the comparison out of the Parquet scan. A value without a zone is in
+    UTC, whatever zone the driver runs in.
     """
-    return F.lit(value).cast(df.schema[column].dataType)
+    if isinstance(value, date):
+        if not isinstance(value, datetime):
+            value = datetime.combine(value, time())
+        aware = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+        since_epoch = (aware - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        literal = F.timestamp_micros(F.lit(since_epoch))
+    else:
+        literal = F.lit(value)
+    return literal.cast(df.schema[column].dataType)
+
+
+def within(df: DataFrame, column: str, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Rows with ``first <= column <= last``; a table kept by day drops other days' folders too.
+
+    The bounds are literals of the column's type. The day of a folder is that
+    of its rows' times, in UTC.
+    """
+    stored_by_day = "date" in df.columns and df.schema["date"].dataType.typeName() == "date"
+    for bound, keep in ((first, Column.__ge__), (last, Column.__le__)):
+        if bound is not None:
+            df = df.filter(keep(F.col(column), bound))
+            if stored_by_day:
+                df = df.filter(keep(F.col("date"), F.to_date(bound)))
+    return df
 
 
 def elapsed_seconds(later: Column, earlier: Column) -> Column:

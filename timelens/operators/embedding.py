@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timelens.functions.columns import embedding_text
+from timelens.functions.records import let
 from timelens.operators.events import pending_events
 
 # Reads column `text`, adds column `embedding` (array<float>); NULL or an empty
@@ -24,20 +22,24 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     """Word counts hashed into ``dimensions`` places and scaled to length 1.
 
     A stand-in for a model: it needs no network, and texts with the same
-    words are near each other.
+    words are near each other. A word's place is that of the first 32 bits of
+    its MD5, which any engine computes; a text without words has no vector.
     """
 
+    slots = F.sequence(F.lit(0), F.lit(dimensions - 1))
+
+    def counts(places: Column) -> Column:
+        return F.transform(slots, lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+
+    def scaled(found: Column) -> Column:
+        squares = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + c * c)
+        return let(F.sqrt(squares), lambda length: F.when(
+            length > 0, F.transform(found, lambda c: (c / length).cast("float"))))
+
     def embed(df: DataFrame) -> DataFrame:
-        stages = [
-            Tokenizer(inputCol="text", outputCol="_words"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-            Normalizer(inputCol="_counts", outputCol="_unit", p=2.0),
-        ]
-        return (
-            Pipeline(stages=stages).fit(df).transform(df)
-            .withColumn("embedding", vector_to_array("_unit", dtype="float32"))
-            .drop("_words", "_counts", "_unit")
-        )
+        words = F.filter(F.split(F.lower("text"), r"\s"), lambda w: w != "")
+        places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions)
+        return df.withColumn("embedding", let(places, lambda p: let(counts(p), scaled)))
 
     return embed
 
@@ -63,10 +65,13 @@ def embed_pending(
 
 
 def with_embeddings(events: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Events with the embedding from the side table, where there is one."""
+    """Events with the embedding from the side table, where there is one.
+
+    An event embedded twice, by a feed and a catch-up run, counts once.
+    """
+    side = embeddings.groupBy("event_id").agg(F.max("embedding").alias("_side"))
     if "embedding" not in events.columns:
-        return events.join(embeddings.select("event_id", "embedding"), "event_id", "left")
-    side = embeddings.select("event_id", F.col("embedding").alias("_side"))
+        return events.join(side.withColumnRenamed("_side", "embedding"), "event_id", "left")
     return (
         events.join(side, "event_id", "left")
         .withColumn("embedding", F.coalesce("_side", "embedding"))

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from timelens.functions.timing import Duration, moment, shifted
+from timelens.functions.timing import Duration, moment, shifted, within
 from timelens.operators.topk import check_limit, newest
 
 SHOWN = ["event_id", "ts", "priority", "unit", "source", "pid", "message"]
@@ -19,7 +19,7 @@ def shown(events: DataFrame) -> DataFrame:
 
 
 def since(events: DataFrame, start: datetime) -> DataFrame:
-    return events.filter(F.col("ts") >= moment(events, "ts", start))
+    return within(events, "ts", moment(events, "ts", start))
 
 
 def latest_events(events: DataFrame, limit: int = 20) -> DataFrame:
@@ -53,7 +53,7 @@ def events_near(events: DataFrame, at: datetime, width: Duration = 60, limit: in
     check_limit(limit)
     middle = moment(events, "ts", at)
     return (
-        shown(events.filter(F.col("ts").between(shifted(middle, -width), shifted(middle, width))))
+        shown(within(events, "ts", shifted(middle, -width), shifted(middle, width)))
         .orderBy("ts", "event_id")
         .limit(limit)
     )

@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from timelens.operators.topk import top_per_group
+from timelens.schemas import COUNTERS
 
 # Fixed value: processes kept per tick.
 KEPT_PER_TICK = 10
 
 
-def build_samples(devices: DataFrame, gauges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One sample per tick from device counters and gauges.
+GAUGES = ["cpu_pct", "mem_used", "mem_total"]
 
-    Counters are summed over the disks and over the network devices of a
-    tick; whatever a tick has no reading for is 0. Both inputs are stacked
-    and summed in one shuffle, with partial sums before it.
+
+def tick_sums(devices: DataFrame, gauges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per tick the gauges and the counters summed over disks and network devices; NULL without a reading.
+
+    Both inputs are stacked and summed in one shuffle, with partial sums before it.
     """
-    gauge_names = ["cpu_pct", "mem_used", "mem_total"]
-    counter_names = ["disk_read", "disk_write", "net_rx", "net_tx"]
     kind_columns = [
         F.when(F.col("kind") == kind, F.col(column)).alias(name)
         for kind, column, name in [
@@ -29,12 +29,32 @@ def build_samples(devices: DataFrame, gauges: DataFrame, by: Sequence[str] = ())
         ]
     ]
     readings = devices.select(*by, "ts", *kind_columns).unionByName(
-        gauges.select(*by, "ts", *gauge_names), allowMissingColumns=True
-    )
-    return readings.groupBy(*by, "ts").agg(
-        *[F.coalesce(F.max(c), F.lit(0)).cast(gauges.schema[c].dataType).alias(c) for c in gauge_names],
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counter_names],
+        gauges.select(*by, "ts", *GAUGES), allowMissingColumns=True
     )
+    return _summed(readings, by)
+
+
+def _summed(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*by, "ts").agg(
+        *[F.max(c).alias(c) for c in GAUGES], *[F.try_sum(c).cast("long").alias(c) for c in COUNTERS])
+
+
+def add_tick_sums(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One sample per tick from parts of it; whatever a tick has no reading for is 0."""
+    whole = _summed(parts, by)
+    return whole.select(
+        *by, "ts", *[F.coalesce(c, F.lit(0)).cast(whole.schema[c].dataType).alias(c) for c in [*GAUGES, *COUNTERS]])
+
+
+def build_samples(devices: DataFrame, gauges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One sample per tick from device counters and gauges.
+
+    Counters are summed over the disks and over the network devices of a
+    tick; whatever a tick has no reading for is 0.
+    """
+    sums = tick_sums(devices, gauges, by)
+    return sums.select(
+        *by, "ts", *[F.coalesce(c, F.lit(0)).cast(sums.schema[c].dataType).alias(c) for c in [*GAUGES, *COUNTERS]])
 
 
 def top_per_tick(
@@ -45,7 +65,8 @@ def top_per_tick(
     Processes without a name are left out; unread CPU or memory counts as 0.
     """
     named = processes.filter(F.col("name").isNotNull()).na.fill({"cpu_pct": 0.0, "mem_rss": 0})
-    order = [F.desc("cpu_pct"), F.asc("pid")]
+    # two readings of one pid: the one that arrived first
+    order = [F.desc("cpu_pct"), F.asc("pid"), *([F.asc("ingest_seq")] if "ingest_seq" in named.columns else [])]
     return top_per_group(named, [*by, "ts"], order, limit, rank="_rank").drop("_rank")
 
 

@@ -28,11 +28,11 @@ _LARGEST = float(2**63 - 1024)
 def per_second(current: Column, previous: Column, seconds: Column) -> Column:
     """Growth per second, cut to a whole number.
 
-    0 where there is nothing before, no time has passed, or the counter went
-    back (it was reset).
+    0 where there is nothing before, no time has passed, the counter went back
+    (it was reset), or the growth does not fit a long.
     """
-    grown = current - previous
-    usable = previous.isNotNull() & (seconds > 0) & (grown > 0)
+    grown = F.try_subtract(current, previous)
+    usable = F.coalesce((seconds > 0) & (grown > 0), F.lit(False))
     return F.when(
         usable, F.least(F.try_divide(grown.cast("double"), seconds), F.lit(_LARGEST)).cast("long")
     ).otherwise(F.lit(0).cast("long"))

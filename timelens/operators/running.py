@@ -41,11 +41,12 @@ def before_buckets(
 def join_buckets(rows: DataFrame, per_bucket: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows with the one row of their bucket.
 
-    The rows are already spread by bucket and stay there, as the hash tables
-    are built from the few bucket rows. Left alone, Spark may broadcast the
-    rows to the bucket side, which for a series without key is one task.
+    The rows are already spread and sorted by bucket and stay there. A merge
+    can spill, where the bucket rows are nearly as many as the rows. Left
+    alone, Spark may broadcast the rows to the bucket side, which for a series
+    without key is one task.
     """
-    return rows.join(per_bucket.hint("shuffle_hash"), [*by, "_bucket"])
+    return rows.join(per_bucket.hint("merge"), [*by, "_bucket"])
 
 
 def inside_buckets(by: Sequence[str], order: Sequence[str]) -> Window:

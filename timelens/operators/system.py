@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from timelens.functions.timing import moment
+from timelens.functions.timing import moment, within
 from timelens.operators.topk import check_limit, top_per_group
 
 METRICS = {"cpu": "cpu_pct", "mem": "mem_rss"}
@@ -24,7 +24,7 @@ def metric_order(metric: str) -> list[Column]:
 
 
 def upto(df: DataFrame, at: datetime | None) -> DataFrame:
-    return df if at is None else df.filter(F.col("ts") <= moment(df, "ts", at))
+    return df if at is None else within(df, "ts", last=moment(df, "ts", at))
 
 
 def latest_rows(df: DataFrame, by: Sequence[str] = (), at: datetime | None = None) -> DataFrame:
@@ -53,9 +53,7 @@ def sample_at(samples: DataFrame, at: datetime, by: Sequence[str] = ()) -> DataF
 def samples_in_range(samples: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Samples in ``[start, end]``, both included, oldest first."""
     order = [c for c in ("ts", "host") if c in samples.columns]
-    return samples.filter(
-        F.col("ts").between(moment(samples, "ts", start), moment(samples, "ts", end))
-    ).orderBy(*order)
+    return within(samples, "ts", moment(samples, "ts", start), moment(samples, "ts", end)).orderBy(*order)
 
 
 def time_bounds(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:

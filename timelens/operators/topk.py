@@ -6,10 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this n Spark itself drops rows beyond the n-th of a group before the
-# shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
-PRE_SHUFFLE_LIMIT = 1000
-SALTS = 64
+# Up to this n Spark itself drops rows beyond the n-th of a group before the shuffle.
+PRE_SHUFFLE_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def check_limit(limit: int) -> int:
@@ -27,14 +25,14 @@ def top_per_group(
 
     ``order`` must be total within a group. No task ever sorts a whole hot
     group: Spark limits each group per input partition before the shuffle,
-    and for an n too large for that the group is first cut down in salted
-    parts, each of which keeps its own first n rows.
+    and for an n too large for that the group is first cut down in parts, one for
+    each input partition, which keep their own first n rows.
     """
     check_limit(limit)
-    if limit > PRE_SHUFFLE_LIMIT:
+    if limit > int(df.sparkSession.conf.get(PRE_SHUFFLE_LIMIT)):
         parts = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+            df.withColumn("_salt", F.spark_partition_id())
             .withColumn("_part_rank", F.row_number().over(parts))
             .filter(F.col("_part_rank") <= limit)
             .drop("_salt", "_part_rank")

@@ -24,7 +24,7 @@ from timelens.schemas import EVENTS, PROCESSES, SAMPLES, conform
 from timelens.session import configure, shared_dir
 from timelens.sources import adapters as ad
 from timelens.sources.journal import parse_journal
-from timelens.sources.tables import read_table
+from timelens.sources.tables import append_events, read_table
 from timelens.streaming import enrich, feeds, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,12 +429,12 @@ def vector_cosine(spark, d):
 
 @query
 def embed_pending(spark, d):
-    """Documents without a label are pending; each gets a vector of length 1."""
+    """Documents without a label are pending; each with words gets a vector of length 1."""
     docs = ad.text_events(spark, d)
     done = ad.table(spark, d, "labels").select(F.col("doc_id").alias("event_id"), F.lit(None).alias("embedding"))
     new = em.embed_pending(docs, em.hashing_embedder(), done)
     return new.select(
-        "event_id", F.size("embedding").alias("dimensions"),
+        "event_id", *_as_vector(F.col("embedding")),
         F.round(fv.norm(F.col("embedding")).cast("double"), 3).alias("norm"),
     )
 
@@ -463,34 +463,64 @@ def columns_events(spark, d):
 
 # ---- streams, run over what is there and then stopped -----------------------
 
-
-def _stream(spark, d, name: str = "events") -> DataFrame:
-    schema = ad.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+BATCHES = 4
 
 
 def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _parts(rows: DataFrame, key: str) -> list[DataFrame]:
+    """The rows cut into ranges of equal width of ``key``, in order."""
+    last = rows.agg(F.max(key)).first()[0] or 0
+    part = F.floor(F.col(key) * BATCHES / (last + 1))
+    return [rows.filter(part == k) for k in range(BATCHES)]
+
+
+def _stream(spark, folder: str, rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """The rows as files written one after the other, read as one micro-batch each."""
+    for part in _parts(rows, key):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _as_vector(embedding) -> list:
+    """Size of a vector and a sum over its numbers and places."""
+    weighted = F.transform(embedding, lambda x, i: x.cast("double") * (i + 1))
+    return [F.size(embedding).alias("dimensions"),
+            F.round(F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x), 3).alias("content")]
+
+
 @query
 def stream_journal(spark, d):
-    """Lines through the journal feed; its table read back."""
+    """Lines through the journal feed, one file a micro-batch; its table read back."""
     folder = _folder(spark, "journal")
-    lines = ad.raw_lines(_stream(spark, d)).drop("event_id")
+    for part in _parts(ad.raw_lines(ad.table(spark, d, "events")), "event_id"):
+        part.select("value").coalesce(1).write.mode("append").text(f"{folder}/in")
     feeds.ingest_journal(
-        lines, f"{folder}/events", f"{folder}/rejects", f"{folder}/checkpoint", once=True
+        feeds.line_stream(spark, f"{folder}/in", max_files=1), f"{folder}/events", f"{folder}/checkpoint",
+        f"{folder}/rejects", once=True,
     ).awaitTermination()
     return read_table(spark, f"{folder}/events", EVENTS).select(
         F.col("ts").cast("timestamp_ntz").alias("ts"), "priority", "unit", "source", "pid", "message"
     )
 
 
+@query
+def stored_events_search(spark, d):
+    """A search over events stored by day, whose other days are not read."""
+    folder = _folder(spark, "stored")
+    append_events(conform(ad.journal_events(spark, d), EVENTS), f"{folder}/events", 0)
+    stored = read_table(spark, f"{folder}/events", EVENTS)
+    hits = tools.events_search(stored, NOW, '"K": 4', 50, 10 * 86400)
+    return hits.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query
 def stream_samples(spark, d):
     """Readings through the sample feed, which keeps the first of every hour."""
     folder = _folder(spark, "samples")
-    rows = _stream(spark, d).select(
+    rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
         F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("cpu_pct"),
         F.col("user_id").alias("mem_used"), F.col("event_id").alias("ingest_seq"),
     )
@@ -502,25 +532,25 @@ def stream_samples(spark, d):
 
 @query
 def stream_processes(spark, d):
-    """Readings through the process feed, which keeps the ten with most CPU of every hour."""
+    """Readings through the process feed; hours cut across batches keep their ten with most CPU."""
     folder = _folder(spark, "processes")
-    rows = _stream(spark, d).select(
+    rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
         F.date_trunc("hour", "ts").alias("ts"), F.col("event_id").cast("int").alias("pid"),
         F.col("event_type").alias("name"), F.col("value").alias("cpu_pct"),
         F.col("user_id").alias("mem_rss"), F.col("event_id").alias("ingest_seq"),
     )
     feeds.ingest_processes(rows, f"{folder}/t", f"{folder}/checkpoint", once=True).awaitTermination()
-    return read_table(spark, f"{folder}/t", PROCESSES).select(
+    return feeds.read_processes(spark, f"{folder}/t").select(
         F.col("ts").cast("timestamp_ntz").alias("ts"), "pid", "name", "cpu_pct", "mem_rss"
     )
 
 
 @query
 def stream_readings(spark, d):
-    """Device and gauge readings through the feed that builds samples."""
+    """Device and gauge readings of hours cut across batches, added up to samples."""
     folder = _folder(spark, "readings")
     gauge = F.col("event_type") == "purchase"
-    rows = _stream(spark, d).select(
+    rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
         F.date_trunc("hour", "ts").alias("ts"),
         F.when(~gauge, F.when(F.col("event_type") == "view", "net").otherwise("disk")).alias("kind"),
         F.when(~gauge, F.col("event_type")).alias("device"),
@@ -529,41 +559,52 @@ def stream_readings(spark, d):
         F.when(gauge, F.lit(500000000)).cast("long").alias("mem_total"),
     )
     feeds.ingest_readings(rows, f"{folder}/t", f"{folder}/checkpoint", once=True).awaitTermination()
-    return read_table(spark, f"{folder}/t", SAMPLES).withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("date")
+    return feeds.read_built_samples(spark, f"{folder}/t").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def stream_embed(spark, d):
-    """Documents through the embedding feed; the side table's ids and sizes."""
+    """Documents through the embedding feed; the side table's ids and vectors."""
     folder = _folder(spark, "embed")
-    docs = _stream(spark, d, "documents").select(
+    docs = _stream(spark, folder, ad.table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("event_id"), F.timestamp_seconds("doc_id").alias("ts"),
         F.col("source").alias("unit"), F.col("text").alias("message"),
     )
     enrich.embed_stream(
         docs, f"{folder}/embeddings", em.hashing_embedder(), f"{folder}/checkpoint", once=True
     ).awaitTermination()
-    return enrich.read_embeddings(spark, f"{folder}/embeddings").select(
-        "event_id", F.size("embedding").alias("dimensions")
+    return enrich.read_embeddings(spark, f"{folder}/embeddings").select("event_id", *_as_vector(F.col("embedding")))
+
+
+def _views(views: DataFrame, folder: str, name: str) -> DataFrame:
+    (
+        views.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-checkpoint")
+        .trigger(availableNow=True).start().awaitTermination()
     )
+    return views.sparkSession.read.parquet(f"{folder}/{name}").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def stream_live(spark, d):
-    """The live view of every host after one refresh over all samples."""
+    """The live view of every host over four refreshes."""
     folder = _folder(spark, "live")
-    rows = _stream(spark, d).select(
+    rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
         F.col("event_type").alias("host"), "ts", F.col("value").alias("cpu_pct"),
         F.col("user_id").alias("mem_used"), F.lit(500000000).cast("long").alias("mem_total"),
         (F.col("event_id") * 7).alias("disk_read"), (F.col("event_id") * 5).alias("disk_write"),
         (F.col("event_id") * 3).alias("net_rx"), F.col("event_id").alias("net_tx"),
     )
-    (
-        live.live_view(rows).writeStream.outputMode("append").format("parquet")
-        .option("path", f"{folder}/views").option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/views").select(
-        "host", F.col("ts").cast("timestamp_ntz").alias("ts"), "cpu_pct", "mem_used", "disk_read",
-        "disk_read_rate", F.size("recent").alias("n"),
+    return _views(live.live_view(rows), folder, "views").select(
+        "host", "ts", "cpu_pct", "mem_used", "disk_read", "disk_read_rate", F.size("recent").alias("n"))
+
+
+@query
+def stream_live_processes(spark, d):
+    """The five processes with most CPU of each host's newest hour, over four refreshes."""
+    folder = _folder(spark, "top")
+    rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
+        F.col("event_type").alias("host"), F.date_trunc("hour", "ts").alias("ts"), F.col("event_id").alias("pid"),
+        F.col("event_type").alias("name"), F.col("value").alias("cpu_pct"), F.col("user_id").alias("mem_rss"),
     )
+    return _views(live.live_processes(rows), folder, "views").select("host", "ts", "pid", "cpu_pct", "mem_rss")

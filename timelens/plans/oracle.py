@@ -178,6 +178,23 @@ FROM events WHERE NOT (event_type = 'signup' AND value < 10)"""
 
 COSINE = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
+
+
+def embedded(text: str, rows: str) -> str:
+    """CTEs ending in `emb` (event_id, embedding) of the offline embedder over `text` of `rows`."""
+    return f"""places AS (SELECT event_id, list_transform(list_filter(regexp_split_to_array(lower({text}), '\\s'), lambda w: w <> ''),
+            lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS p FROM {rows}),
+        counts AS (SELECT event_id, list_transform(range(0, 64), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE) AS c FROM places),
+        emb AS (SELECT event_id, list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))))::FLOAT) AS embedding
+            FROM counts WHERE list_sum(c) > 0)"""
+
+
+DOCS = """docs AS (SELECT doc_id AS event_id, CASE WHEN coalesce(source, '') = '' THEN text ELSE source || ': ' || text END AS body,
+        source AS unit, lang, text FROM documents)"""
+CONTENT = """CAST(len(embedding) AS INTEGER) AS dimensions,
+    round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 3) AS content"""
+REFRESHES = """src AS (SELECT *, floor(event_id * 4 / (max(event_id) OVER () + 1)) AS batch FROM events)"""
+
 SQL: dict[str, str] = {
     "events_latest": f"WITH {EV} SELECT {SHOWN} FROM ev ORDER BY ts DESC, event_id LIMIT 20",
     "events_search": f"""WITH {EV} SELECT {SHOWN} FROM ev
@@ -312,8 +329,12 @@ SQL: dict[str, str] = {
     "vector_cosine": """SELECT v.vec_id AS event_id,
           round(CAST(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS FLOAT)::DOUBLE, 4) AS cosine
         FROM embeddings v, embeddings q WHERE q.vec_id = 7""",
-    "embed_pending": """SELECT doc_id AS event_id, 64 AS dimensions, 1.0::DOUBLE AS norm FROM documents
-        WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "embed_pending": f"""WITH {DOCS}, {embedded('body', 'docs')} SELECT event_id, {CONTENT}, 1.0::DOUBLE AS norm FROM emb
+        WHERE event_id NOT IN (SELECT doc_id FROM labels)""",
+    "events_semantic_text": f"""WITH {DOCS}, {embedded('body', 'docs')},
+        q AS (SELECT embedding FROM (WITH ask AS (SELECT 0 AS event_id), {embedded("'error in the system log'", 'ask')} SELECT * FROM emb))
+        SELECT d.event_id, make_timestamp(d.event_id * 1000000) AS ts, 6 AS priority, d.unit, d.lang AS source, 0 AS pid, d.text AS message
+        FROM emb v JOIN docs d USING (event_id), q ORDER BY CAST({COSINE} AS FLOAT) DESC, d.event_id LIMIT 10""",
     "columns_bands": f"""WITH {SM} SELECT ts, {RFC3339} AS at, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS anchor,
           {MEM_PCT} AS mem_pct, {BAND} AS cpu_band,
           CAST(trunc(greatest(least(cpu_pct, 100), 0) / 100 * 8) AS INTEGER) AS level,
@@ -336,8 +357,26 @@ SQL: dict[str, str] = {
           CAST(coalesce(sum(event_id) FILTER (event_type = 'view'), 0) AS BIGINT) AS net_rx,
           CAST(coalesce(sum(user_id) FILTER (event_type = 'view'), 0) AS BIGINT) AS net_tx
         FROM events GROUP BY 1""",
-    "stream_embed": "SELECT doc_id AS event_id, 64 AS dimensions FROM documents",
-    "stream_live": """SELECT event_type AS host, ts, value AS cpu_pct, user_id AS mem_used, event_id * 7 AS disk_read,
-          0::BIGINT AS disk_read_rate, 1 AS n FROM events
-        QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) = 1""",
+    "stored_events_search": f"""WITH {EV} SELECT {SHOWN} FROM ev
+        WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY
+          AND (contains(lower(message), '"k": 4') OR contains(lower(unit), '"k": 4'))
+        ORDER BY ts DESC, event_id LIMIT 50""",
+    "stream_embed": f"WITH {DOCS}, {embedded('body', 'docs')} SELECT event_id, {CONTENT} FROM emb",
+    "stream_live": f"""WITH {REFRESHES},
+        newest AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY event_type, batch ORDER BY ts DESC) = 1),
+        shown AS (SELECT * FROM newest QUALIFY coalesce(ts > max(ts) OVER (PARTITION BY event_type ORDER BY batch
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+        before AS (SELECT *, lag(event_id * 7) OVER w AS was, date_diff('microsecond', lag(ts) OVER w, ts) / 1e6 AS sec,
+            row_number() OVER w AS n FROM shown WINDOW w AS (PARTITION BY event_type ORDER BY batch))
+        SELECT event_type AS host, ts, value AS cpu_pct, user_id AS mem_used, event_id * 7 AS disk_read,
+          CASE WHEN sec > 0 AND event_id * 7 > was THEN CAST(trunc((event_id * 7 - was) / sec) AS BIGINT) ELSE 0 END AS disk_read_rate,
+          CAST(n AS INTEGER) AS n FROM before""",
+    "stream_live_processes": f"""WITH {REFRESHES},
+        tick AS (SELECT *, date_trunc('hour', ts) AS hour FROM src),
+        newest AS (SELECT event_type, batch, max(hour) AS hour FROM tick GROUP BY ALL),
+        shown AS (SELECT * FROM newest QUALIFY coalesce(hour > max(hour) OVER (PARTITION BY event_type ORDER BY batch
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true))
+        SELECT event_type AS host, hour AS ts, CAST(event_id AS INTEGER) AS pid, value AS cpu_pct, user_id AS mem_rss
+        FROM tick JOIN shown USING (event_type, batch, hour)
+        QUALIFY row_number() OVER (PARTITION BY event_type, batch, hour ORDER BY value DESC, event_id) <= 5""",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timelens.functions.records import fields, first_filled, integer, is_record, parsed
-from timelens.session import configure
 
 # The record fields an event is made of.
 MESSAGE = "MESSAGE"
@@ -30,7 +29,6 @@ def typed_lines(lines: DataFrame, arrived: Column | None = None) -> DataFrame:
     message. Unreadable priority and pid are 0. Without a readable time the
     event gets the arrival time: column ``arrived``, if not given otherwise.
     """
-    configure(lines.sparkSession)
     arrived = F.col("arrived") if arrived is None else arrived
     names = [MESSAGE, PRIORITY, *UNIT_FIELDS, *SOURCE_FIELDS, *PID_FIELDS, TIME]
     document = F.col("_document")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from timelens.operators.ingest import first_wins
@@ -14,9 +14,6 @@ from timelens.schemas import conform, series_key, with_host
 DAY = "date"
 LOAD = "load_id"
 
-# Fixed layout of a row number made while loading: load, task and row in task.
-LOAD_BITS, TASK_BITS, ROW_BITS = 25, 14, 24
-
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, days: bool = True) -> DataFrame:
     """A stored table in the given schema, with its ``date`` where it is kept by ``days``.
@@ -34,19 +31,40 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, days: bool
         return spark.createDataFrame([], full)
 
 
-def row_number_in_load(load_id: int) -> Column:
-    """Arrival number of a row: unique over loads, rising with load, task and row.
+LEDGER = T.StructType([T.StructField("base", T.LongType()), T.StructField("rows", T.LongType()), T.StructField(LOAD, T.LongType())])
+
+
+def _replace_load(rows: DataFrame, path: str, load_id: int, by: Sequence[str]) -> None:
+    (
+        rows.withColumn(LOAD, F.lit(load_id).cast("long")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    )
+
 
-    A batch of more tasks or rows per task than fit is refused.
+def number_rows(rows: DataFrame, path: str, load_id: int, into: str = "event_id") -> DataFrame:
+    """Rows of a load with dense numbers behind those of the loads before.
+
+    Rows are counted per task and the counts summed up, one row per task. The
+    load's first number is kept in a ledger next to the table, so that a
+    replayed load gets the same numbers. The rows must not change between the
+    count and the use: persist them.
     """
-    if not 0 <= load_id < 2**LOAD_BITS:
-        raise ValueError(f"load_id must be below 2^{LOAD_BITS}")
-    made = F.monotonically_increasing_id()
-    task, row = F.shiftright(made, 33), made.bitwiseAND(F.lit(2**33 - 1))
-    fits = (task < 2**TASK_BITS) & (row < 2**ROW_BITS)
-    number = F.lit(load_id << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + row
-    return F.when(fits, number).otherwise(
-        F.raise_error(F.lit("load too large for row numbers")).cast("long")
+    spark = rows.sparkSession
+    ledger = f"{path.rstrip('/')}-numbers"
+    task = F.spark_partition_id().alias("_task")
+    counts = rows.groupBy(task).agg(F.count("*").alias("_rows"))
+    loads = read_table(spark, ledger, LEDGER, days=False)
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    base = loads.filter(F.col(LOAD) == load_id).agg(F.max("base")).first()[0]
+    if base is None:
+        base = loads.agg(F.coalesce(F.max(F.col("base") + F.col("rows")), F.lit(0))).first()[0]
+    _replace_load(spark.createDataFrame([(base, total)], "base long, rows long"), ledger, load_id, [LOAD])
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    return (
+        rows.select("*", task, place.alias("_place")).join(starts, "_task")
+        .withColumn(into, F.lit(base) + F.col("_start") + F.col("_place")).drop("_task", "_start", "_place")
     )
 
 
@@ -64,18 +82,27 @@ def spread_by_time(df: DataFrame, tie: Sequence[str]) -> DataFrame:
     return df.repartitionByRange("ts", *tie)
 
 
+def append_load(rows: DataFrame, path: str, load_id: int, key: Sequence[str] = ("ts",)) -> None:
+    """Append one load; writing the same load again replaces it.
+
+    Nothing is deduplicated. An empty load writes nothing.
+    """
+    _replace_load(_by_day(rows, key), path, load_id, [DAY, LOAD])
+
+
 def append_events(events: DataFrame, path: str, load_id: int) -> None:
-    """Append one load of events; writing the same load again replaces it.
+    append_load(events, path, load_id)
 
-    Nothing is deduplicated within a load. An empty load writes nothing.
+
+def merge_loads(spark: SparkSession, path: str, schema: T.StructType, day: str, into: str) -> None:
+    """One day's loads of a table as files of another table kept by day alone.
+
+    For days that get no more loads: many small loads become few files, sorted
+    by time. The old folder may go once readers use the new one.
     """
-    rows = _by_day(events, ["ts"]).withColumn(LOAD, F.lit(load_id))
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY, LOAD)
-        .parquet(path)
-    )
+    rows = read_table(spark, path, schema).filter(F.col(DAY) == F.lit(day).cast("date")).drop(LOAD, DAY)
+    merged = _by_day(spread_by_time(rows, [c for c in ("event_id", "pid") if c in rows.columns]), ["ts"])
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(into)
 
 
 def append_first_wins(
@@ -83,15 +110,18 @@ def append_first_wins(
 ) -> None:
     """Append rows whose key the table does not hold yet, the first arrival of each.
 
-    Only the stored days that the new rows touch are looked at. A repeated
-    load finds its keys stored and adds nothing.
+    Of the stored rows only the days that the new rows touch are looked at, and
+    there only the times between the first and the last of them: files are
+    sorted by time. A repeated load finds its keys stored and adds nothing.
     """
     spark = rows.sparkSession
     full_key = [*series_key(rows), *key]
     target = with_host(schema) if series_key(rows) else schema
-    days = [r[0] for r in rows.select(F.to_date("ts")).distinct().collect()]
-    if not days:
+    seen = rows.agg(F.collect_set(F.to_date("ts")).alias("days"), F.min(F.unix_micros("ts")).alias("first"),
+                    F.max(F.unix_micros("ts")).alias("last")).first()
+    if not seen['days']:
         return
-    stored = read_table(spark, path, target).filter(F.col(DAY).isin(days))
+    first, last = (F.timestamp_micros(F.lit(us)) for us in (seen['first'], seen['last']))
+    stored = read_table(spark, path, target).filter(F.col(DAY).isin(seen['days']) & F.col("ts").between(first, last))
     new = first_wins(rows, full_key, arrival, stored)
     _by_day(conform(new, schema), full_key).write.mode("append").partitionBy(DAY).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,15 +17,33 @@ from timelens.streaming.feeds import start
 SIDE_TABLE = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("load_id", T.LongType()),
+])
+FAILED = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("unit", T.StringType()), T.StructField("message", T.StringType()), T.StructField("load_id", T.LongType()),
 ])
 
+# Fixed value: seconds before events are tried again that could not be embedded.
+RETRY_SECONDS = 15
+
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, SIDE_TABLE, days=False)
+    """One embedding per event, that of the latest load."""
+    rows = read_table(spark, path, SIDE_TABLE, days=False)
+    return rows.groupBy("event_id").agg(F.max_by("embedding", "load_id").alias("embedding"))
+
 
+def _write_load(rows: DataFrame, path: str, load_id: int) -> None:
+    """A load of a table; writing it again replaces it."""
+    (
+        rows.withColumn("load_id", F.lit(load_id).cast("long")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(path)
+    )
 
-def append_embeddings(embeddings: DataFrame, path: str) -> None:
-    embeddings.write.mode("append").parquet(path)
+
+def append_embeddings(embeddings: DataFrame, path: str, load_id: int) -> None:
+    _write_load(embeddings.select("event_id", "embedding"), path, load_id)
 
 
 def embed_stored(
@@ -30,26 +51,51 @@ def embed_stored(
 ) -> None:
     """One catch-up run over everything still pending, newest first under a ``limit``.
 
-    What the embedder fails on stays pending for the next run.
+    What the embedder fails on stays pending for the next run. Catch-up loads
+    are numbered below zero, away from those of a feed.
     """
     events = read_table(spark, events_path, EVENTS)
     done = read_embeddings(spark, embeddings_path)
-    append_embeddings(embed_pending(events, embedder, done, limit), embeddings_path)
+    append_embeddings(embed_pending(events, embedder, done, limit), embeddings_path, -time.time_ns())
 
 
 def embed_stream(
-    events: DataFrame, embeddings_path: str, embedder: Embedder,
-    checkpoint: str | None = None, once: bool = False,
+    events: DataFrame, embeddings_path: str, embedder: Embedder, checkpoint: str, once: bool = False,
 ) -> StreamingQuery:
     """Embed events as they are appended, without holding up their ingest.
 
-    Joined to ingest only through the stored tables. `embed_stored` picks up
-    later what failed here.
+    Joined to ingest only through the stored tables. Events the embedder fails
+    on are kept next to the embeddings and tried again with every micro-batch
+    until they succeed. A replayed batch replaces what it wrote.
     """
     spark = events.sparkSession
+    failed_path = f"{embeddings_path.rstrip('/')}-failed"
+    columns = ["event_id", "ts", "unit", "message"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = read_embeddings(spark, embeddings_path)
-        append_embeddings(embed_pending(batch, embedder, done), embeddings_path)
-
-    return start(events.select("event_id", "ts", "unit", "message"), "embeddings", write, checkpoint, once)
+        before = read_table(spark, failed_path, FAILED, days=False).filter(F.col("load_id") < batch_id)
+        done = read_embeddings(spark, embeddings_path) if not before.isEmpty() else None
+        again = before.select(*columns)
+        if done is not None:
+            again = again.join(done.select("event_id"), "event_id", "left_anti").select(*columns)
+        rows = batch.select(*columns).unionByName(again).persist()
+        try:
+            new = embed_pending(rows, embedder).persist()
+            append_embeddings(new, embeddings_path, batch_id)
+            _write_load(batch.select(*columns).join(new.select("event_id"), "event_id", "left_anti").select(*columns),
+                        failed_path, batch_id)
+            new.unpersist()
+        finally:
+            rows.unpersist()
+
+    return start(events.select(*columns), "embeddings", write, checkpoint, once)
+
+
+def embed_until(
+    spark: SparkSession, events_path: str, embeddings_path: str, embedder: Embedder,
+    stop: Callable[[], bool], pause: float = RETRY_SECONDS,
+) -> None:
+    """Catch-up runs one after the other, ``pause`` seconds apart, until ``stop()``."""
+    while not stop():
+        embed_stored(spark, events_path, embeddings_path, embedder)
+        time.sleep(pause)

@@ -8,20 +8,22 @@ it arrives, and order is made at query time.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from timelens.operators.ingest import build_samples, top_per_tick
-from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform, series_key
-from timelens.session import shared_dir
+from timelens.operators.ingest import add_tick_sums, first_wins, tick_sums, top_per_tick
+from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform, series_key, with_host
 from timelens.sources.journal import typed_lines
-from timelens.sources.tables import append_events, append_first_wins, row_number_in_load
+from timelens.sources.tables import append_events, append_first_wins, append_load, number_rows, read_table
 
-# Fixed value: seconds between flushes.
+# Seconds between flushes, and before a failed feed starts again.
 FLUSH_SECONDS = 2
+RESTART_SECONDS = 5
 
 
 def line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -48,33 +50,50 @@ def start(
     stream: DataFrame,
     name: str,
     write: Callable[[DataFrame, int], None],
-    checkpoint: str | None = None,
+    checkpoint: str,
     once: bool = False,
 ) -> StreamingQuery:
-    """Run ``write`` on every micro-batch; ``once`` takes what is there and stops."""
-    checkpoint = checkpoint or f"{shared_dir(stream.sparkSession)}/streams/{name}"
+    """Run ``write`` on every micro-batch; ``once`` takes what is there and stops.
+
+    ``checkpoint`` is the feed's own folder, the same at every start, where it
+    goes on after a stop or a failure.
+    """
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{FLUSH_SECONDS} seconds"}
     return writer.foreachBatch(write).trigger(**trigger).start()
 
 
+def run_forever(begin: Callable[[], StreamingQuery], pause: float = RESTART_SECONDS, tries: int | None = None) -> None:
+    """Keep a feed running: start it again ``pause`` seconds after a failure.
+
+    Ends when the query is stopped, or fails for the ``tries``-th time.
+    """
+    failed = 0
+    while True:
+        try:
+            begin().awaitTermination()
+            return
+        except StreamingQueryException:
+            failed += 1
+            if tries is not None and failed >= tries:
+                raise
+            time.sleep(pause)
+
+
 def ingest_journal(
-    lines: DataFrame,
-    events_path: str,
-    rejects_path: str | None = None,
-    checkpoint: str | None = None,
-    once: bool = False,
+    lines: DataFrame, events_path: str, checkpoint: str, rejects_path: str | None = None, once: bool = False
 ) -> StreamingQuery:
     """Lines to typed events, appended; rejected lines go to their own folder.
 
-    An event's number is made of batch, task and row. Duplicates are kept, as
-    equal lines are separate events. A replayed batch overwrites itself.
+    Lines are numbered in the order of arrival, without gaps or limits.
+    Duplicates are kept, as equal lines are separate events. A replayed batch
+    gets the same numbers and overwrites itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("event_id", row_number_in_load(batch_id))
-        typed = typed_lines(numbered).persist()
+        lines_of_batch = batch.persist()
         try:
+            typed = typed_lines(number_rows(lines_of_batch, events_path, batch_id)).persist()
             append_events(conform(typed.filter("accepted"), EVENTS), events_path, batch_id)
             if rejects_path:
                 (
@@ -82,71 +101,85 @@ def ingest_journal(
                     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                     .partitionBy("load_id").parquet(rejects_path)
                 )
-        finally:
             typed.unpersist()
+        finally:
+            lines_of_batch.unpersist()
 
     return start(lines, "journal", write, checkpoint, once)
 
 
-def _first_wins_feed(
-    stream: DataFrame, name: str, path: str, key: Sequence[str], schema: T.StructType,
-    prepare: Callable[[DataFrame], DataFrame], checkpoint: str | None, once: bool,
-) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if "ingest_seq" not in batch.columns:
-            rows = batch.withColumn("ingest_seq", row_number_in_load(batch_id))
-        rows = prepare(rows).persist()
-        try:
-            append_first_wins(rows, path, key, schema)
-        finally:
-            rows.unpersist()
-
-    return start(stream, name, write, checkpoint, once)
+def _numbered(batch: DataFrame) -> DataFrame:
+    """With an arrival number within the batch, if the feed has none."""
+    if "ingest_seq" in batch.columns:
+        return batch
+    return batch.withColumn("ingest_seq", F.monotonically_increasing_id())
 
 
-def ingest_samples(
-    samples: DataFrame, path: str, checkpoint: str | None = None, once: bool = False
-) -> StreamingQuery:
+def ingest_samples(samples: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Samples to the table; of two for one tick the first stays.
 
     An ``ingest_seq`` column of the feed decides which came first; without one
     it is the order of batch, task and row.
     """
-    return _first_wins_feed(samples, "samples", path, SAMPLE_KEY, SAMPLES, lambda d: d, checkpoint, once)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _numbered(batch).persist()
+        try:
+            append_first_wins(rows, path, SAMPLE_KEY, SAMPLES)
+        finally:
+            rows.unpersist()
 
-def ingest_processes(
-    processes: DataFrame, path: str, checkpoint: str | None = None, once: bool = False
-) -> StreamingQuery:
-    """Process readings to the table: the top by CPU of every tick, first reading of a pid wins.
+    return start(samples, "samples", write, checkpoint, once)
+
+
+ARRIVAL = ["load_id", "ingest_seq"]
+
+
+def ingest_processes(processes: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Process readings to a table of readings, from which `read_processes` makes the ticks.
 
-    A tick must arrive within one micro-batch, as a snapshot does.
+    A tick may come in any number of micro-batches: which processes are its top
+    is known only with all of them.
     """
 
-    def prepare(rows: DataFrame) -> DataFrame:
-        return top_per_tick(rows, series_key(rows))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        by = series_key(batch)
+        rows = first_wins(_numbered(batch), [*by, *PROCESS_KEY])
+        arrived = conform(rows, T.StructType([*PROCESSES.fields, T.StructField("ingest_seq", T.LongType())]))
+        append_load(arrived, path, batch_id, [*by, *PROCESS_KEY])
 
-    return _first_wins_feed(
-        processes, "processes", path, PROCESS_KEY, PROCESSES, prepare, checkpoint, once
-    )
+    return start(processes, "processes", write, checkpoint, once)
 
 
-def ingest_readings(
-    readings: DataFrame, path: str, checkpoint: str | None = None, once: bool = False
-) -> StreamingQuery:
-    """Raw device and gauge readings to samples.
+def read_processes(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """The top processes of every tick; of several readings of a pid the first counts."""
+    schema = T.StructType([*PROCESSES.fields, T.StructField("ingest_seq", T.LongType())])
+    rows = read_table(spark, path, with_host(schema) if by else schema)
+    if "load_id" not in rows.columns:
+        rows = rows.withColumn("load_id", F.lit(0).cast("long"))
+    arrived = F.struct(*ARRIVAL).alias("arrived")
+    firsts = first_wins(rows.select(*by, *PROCESSES.names, arrived), [*by, *PROCESS_KEY], "arrived")
+    return top_per_tick(firsts, by).select(*by, *PROCESSES.names)
+
+
+def ingest_readings(readings: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Raw device and gauge readings to sums per tick and batch, which `read_built_samples` adds up.
 
     The stream holds both: device rows with ``kind, device, in_bytes,
     out_bytes``, gauge rows with NULL ``kind`` and ``cpu_pct, mem_used,
-    mem_total``. A tick must arrive within one micro-batch.
+    mem_total``. A tick may come in any number of micro-batches.
     """
 
-    def prepare(rows: DataFrame) -> DataFrame:
-        by = series_key(rows)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        by = series_key(batch)
         device, gauge = F.col("kind").isNotNull(), F.col("kind").isNull()
-        built = build_samples(rows.filter(device), rows.filter(gauge), by)
-        order = rows.groupBy(*by, "ts").agg(F.min("ingest_seq").alias("ingest_seq"))
-        return built.join(order, [*by, "ts"])
+        parts = tick_sums(batch.filter(device), batch.filter(gauge), by)
+        append_load(conform(parts, SAMPLES), path, batch_id, [*by, *SAMPLE_KEY])
+
+    return start(readings, "readings", write, checkpoint, once)
+
 
-    return _first_wins_feed(readings, "readings", path, SAMPLE_KEY, SAMPLES, prepare, checkpoint, once)
+def read_built_samples(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """One sample per tick from the sums of all batches."""
+    parts = read_table(spark, path, with_host(SAMPLES) if by else SAMPLES)
+    return add_tick_sums(parts, by).select(*by, *SAMPLES.names)

@@ -1,4 +1,5 @@
-"""The live view: per host the newest sample, rates against the one shown before, CPU history."""
+"""The live view: per host the newest sample, rates against the one shown before, CPU
+history, and the processes with most CPU of the newest tick."""
 
 from __future__ import annotations
 
@@ -68,16 +69,68 @@ def live_view(samples: DataFrame) -> DataFrame:
     A micro-batch is one refresh: its newest sample is compared with the
     newest of the refresh before. ``recent`` holds the last 60 refreshed CPU
     values. Only the newest row per host leaves a task, so a host that sends
-    most of the rows costs no more than another.
+    most of the rows costs no more than another. Counters that could not be
+    read count as 0; samples without ``host`` are of one machine.
     """
-    spark_rows = samples.select("host", F.col("ts").cast("timestamp").alias("ts"), *_FIELDS)
+    by_host = "host" in samples.columns
+    host = F.col("host") if by_host else F.lit("")
+    # a failed probe counts as 0
+    spark_rows = samples.select(
+        host.alias("host"), F.col("ts").cast("timestamp").alias("ts"),
+        *[F.coalesce(F.col(c).cast(_TYPES.get(c, "long")), F.lit(0).cast(_TYPES.get(c, "long"))).alias(c) for c in _FIELDS])
     reduced = spark_rows.mapInPandas(_newest_of_task, spark_rows.schema)
     views = reduced.groupBy("host").applyInPandasWithState(
         _refresh, _VIEW, _STATE, "append", GroupStateTimeout.NoTimeout
     )
     seconds = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)
     return views.select(
-        "host", "ts", *_FIELDS, "prev_ts",
+        *(["host"] if by_host else []), "ts", *_FIELDS, "prev_ts",
         *[per_second(F.col(c), F.col(f"prev_{c}"), seconds).alias(f"{c}_rate") for c in COUNTERS],
         "recent",
     )
+
+
+# Fixed value: processes shown.
+SHOWN_PROCESSES = 5
+
+_TOP = "host string, ts timestamp, pid int, name string, cpu_pct double, mem_rss long"
+
+
+def _heaviest(frames: Iterable[pd.DataFrame], limit: int) -> pd.DataFrame | None:
+    """The first ``limit`` processes of each host's newest tick, or None."""
+    kept = None
+    for frame in frames:
+        if len(frame):
+            both = frame if kept is None else pd.concat([kept, frame])
+            newest = both[both["ts"] == both.groupby("host")["ts"].transform("max")]
+            kept = newest.sort_values(["cpu_pct", "pid"], ascending=[False, True]).groupby("host").head(limit)
+    return kept
+
+
+def live_processes(processes: DataFrame, limit: int = SHOWN_PROCESSES) -> DataFrame:
+    """A stream of the ``limit`` processes with most CPU, of each tick newer than the one shown before.
+
+    A tick's processes come in one micro-batch; rows of it that come later do
+    not change what was shown. Only ``limit`` rows per host leave a task.
+    """
+    by_host = "host" in processes.columns
+    rows = processes.filter(F.col("name").isNotNull()).select(
+        (F.col("host") if by_host else F.lit("")).alias("host"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("pid").cast("int").alias("pid"), "name", F.coalesce(F.col("cpu_pct"), F.lit(0.0)).cast("double").alias("cpu_pct"),
+        F.coalesce(F.col("mem_rss").cast("long"), F.lit(0).cast("long")).alias("mem_rss"))
+
+    def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _heaviest(frames, limit)
+        if found is not None:
+            yield found
+
+    def show(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = _heaviest(frames, limit)
+        if found is None or state.exists and found["ts"].iloc[0] <= pd.Timestamp(state.get[0]):
+            return
+        state.update((found["ts"].iloc[0].to_pydatetime(),))
+        yield found
+
+    top = rows.mapInPandas(of_task, rows.schema).groupBy("host").applyInPandasWithState(
+        show, _TOP, "ts timestamp", "append", GroupStateTimeout.NoTimeout)
+    return top if by_host else top.drop("host")

@@ -55,7 +55,7 @@ def test_top_by_metric_and_limit(spark):
 
 
 def test_top_of_latest_batch_only(spark):
-    df = processes(spark, [(-60, 99, "stale-cpu-king", 95, 1), (0, 1, "current", 5, 50)])
+    df = processes(spark, [(-60, 99, "gone", 95, 1), (0, 1, "current", 5, 50)])
     assert names(sy.top_processes(df)) == ["current"]
 
 

@@ -28,7 +28,7 @@ def _query(value: str) -> str:
     if not isinstance(value, str):
         raise TypeError("query must be a string")
     if value == "":
-        raise ValueError("query is required")
+        raise ValueError("an empty query finds nothing")
     return value
 
 
@@ -45,7 +45,7 @@ def system_metrics_history(
     samples: DataFrame, now: datetime, start_seconds_ago: int = 300, end_seconds_ago: int = 0
 ) -> DataFrame:
     if _number("start_seconds_ago", start_seconds_ago) <= _number("end_seconds_ago", end_seconds_ago):
-        raise ValueError("start_seconds_ago must be greater than end_seconds_ago")
+        raise ValueError("the range must begin before it ends")
     return sy.samples_in_range(
         samples, now - timedelta(seconds=start_seconds_ago), now - timedelta(seconds=end_seconds_ago)
     )
@@ -74,7 +74,7 @@ def events_near_time(
     events: DataFrame, now: datetime, seconds_ago: int, window_seconds: int = 60, limit: int = 50
 ) -> DataFrame:
     if _number("seconds_ago", seconds_ago) <= 0:
-        raise ValueError("seconds_ago must be > 0")
+        raise ValueError("the anchor must lie in the past")
     at = _ago(now, "seconds_ago", seconds_ago)
     return ev.events_near(events, at, _number("window_seconds", window_seconds), limit)
 

@@ -67,7 +67,7 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
 
 
 def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    elements, digest, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+    elements, digest, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
     estimate = np.exp2(ranks[(elements >> np.uint64(64 - bits)).astype(np.int64)] / 8.0)
     parts = (estimate // HOT).astype(np.uint64) + np.uint64(1)
     salt = mix(digest.view(np.uint64)) % parts
@@ -85,7 +85,8 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int,
                 "hot": pa.array([hot] * len(used), pa.bool_()), "ids": pa.nulls(len(used), pa.list_(pa.int64())),
                 "keys": pa.array([elements[x].tobytes() for x in slices], pa.binary()),
                 "digests": pa.array([digest[x].tobytes() for x in slices], pa.binary()),
-                "sizes": pa.array([sizes[x].tobytes() for x in slices], pa.binary())})
+                "sizes": pa.array([sizes[x].tobytes() for x in slices], pa.binary()),
+                "places": pa.array([places[x].tobytes() for x in slices], pa.binary())})
 
 
 def _postings(ranks: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,25 +106,43 @@ def _postings(ranks: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBa
                 "bucket": pa.array([int(digest[0]) & (1 << bucket_bits) - 1], pa.int32()), "region": pa.array([0], pa.int64()), "hot": pa.array([None], pa.bool_()),
                 "ids": pa.array([ids.slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
                 "keys": pa.array([keys[low:high].tobytes()], pa.binary()),
-                "digests": pa.array([digest.tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.uint32).tobytes()], pa.binary())})
-            of, elements, _ = prefixes(sets, ranks)
+                "digests": pa.array([digest.tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()),
+                "places": pa.array([None], pa.binary())})
+            of, elements, places = prefixes(sets, ranks)
             # equal sets of the slice are sent once
             _, first = np.unique(digest, return_index=True)
             once = np.zeros(len(digest), bool)
             once[first] = True
             mine = once[of]
-            held.append((elements[mine], digest[of[mine]], sizes[of[mine]].astype(np.uint32)))
+            held.append((elements[mine], digest[of[mine]], sizes[of[mine]].astype(np.uint32), places[mine].astype(np.uint32)))
         if held:
             yield from _by_bucket(held, bits, bucket_bits, ranks)
 
 
-_PACKED = "bucket int, region long, hot boolean, ids array<long>, keys binary, digests binary, sizes binary"
+_PACKED = "bucket int, region long, hot boolean, ids array<long>, keys binary, digests binary, sizes binary, places binary"
 
 
 def _concatenated(parts: list[pa.Scalar], kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(p.as_buffer(), kind) for p in parts])
 
 
+def _may_link(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which documents, sorted by shingle and size, can have a link whose first common shingle this is.
+
+    Such a link shares nothing rarer, so at most the shingles from this one on; the
+    overlap it needs is least with the smallest other document within the length bound.
+    """
+    if not len(keys):
+        return np.zeros(0, bool)
+    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+    at = np.arange(len(keys))
+    partner = np.searchsorted(group << 32 | sizes, group << 32 | -(-sizes * NUMERATOR // DENOMINATOR), "left")
+    partner = np.where(partner == at, np.minimum(at + 1, len(keys) - 1), partner)
+    least, most = np.minimum(sizes, sizes[partner]), np.maximum(sizes, sizes[partner])
+    overlap = -(-NUMERATOR * (least + most) // (NUMERATOR + DENOMINATOR))
+    return (partner != at) & (group[partner] == group) & (least * DENOMINATOR >= most * NUMERATOR) & (sizes - places >= overlap)
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of two documents and more, named by their pivot or by their hot shingle; documents' rows pass."""
     held: dict[bool, list] = {False: [], True: []}
@@ -134,16 +153,17 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(passing))
         for i, h in enumerate(hot):
             if h is not None:
-                held[h].append((batch.column(4)[i], batch.column(5)[i], batch.column(6)[i]))
+                held[h].append(tuple(batch.column(c)[i] for c in (4, 5, 6, 7)))
     for hot, rows in held.items():
         if not rows:
             continue
-        keys, digest, sizes = (_concatenated(x, k) for x, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.uint32), strict=True))
+        keys, digest, sizes, places = (
+            _concatenated(x, k) for x, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
         rows.clear()
         order = np.lexsort((digest, keys))
-        keys, digest, sizes = keys[order], digest[order], sizes[order]
+        keys, digest, sizes, places = keys[order], digest[order], sizes[order], places[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (digest[1:] != digest[:-1])])
-        keys, digest, sizes = keys[new], digest[new], sizes[new]
+        keys, digest, sizes, places = keys[new], digest[new], sizes[new], places[new]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(starts, len(keys)))
         if hot:
@@ -151,12 +171,13 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = mix(keys[starts]).view(np.int64)
             shared = np.ones(len(digest), np.uint32)
         else:
-            # a document whose size no other of the region comes near has no link there
             order = np.lexsort((sizes, keys))
-            keys, digest, sizes = keys[order], digest[order], sizes[order]
-            near = np.zeros(len(keys) + 1, bool)
-            near[1:-1] = (keys[1:] == keys[:-1]) & (sizes[:-1].astype(np.int64) * DENOMINATOR >= sizes[1:].astype(np.int64) * NUMERATOR)
-            some = near[1:] | near[:-1]
+            keys, digest, sizes, places = keys[order], digest[order], sizes[order], places[order]
+            some = _may_link(keys, sizes.astype(np.int64), places.astype(np.int64))
+            keys, digest, sizes = keys[some], digest[some], sizes[some]
+            some = np.zeros(len(keys) + 1, bool)
+            some[1:-1] = keys[1:] == keys[:-1]
+            some = some[1:] | some[:-1]
             keys, digest, sizes = keys[some], digest[some], sizes[some]
             region = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             # the pivot is the document that meets the most others: an original rather than a copy with changes
@@ -183,7 +204,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "hot": pa.array([hot] * len(packs), pa.bool_()), "ids": pa.nulls(len(packs), pa.list_(pa.int64())),
                 "keys": pa.array([shared[a:b].tobytes() for _, a, b in packs], pa.binary()),
                 "digests": pa.array([digest[a:b].tobytes() for _, a, b in packs], pa.binary()),
-                "sizes": pa.array([sizes[a:b].tobytes() for _, a, b in packs], pa.binary())})
+                "sizes": pa.array([sizes[a:b].tobytes() for _, a, b in packs], pa.binary()), "places": pa.nulls(len(packs), pa.binary())})
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

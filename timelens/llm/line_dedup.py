@@ -49,7 +49,7 @@ HELD = 1 << 18
 
 CROWD = 256
 """Sets at a token from which on they are compared in blocks."""
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 """Pairs filtered at once."""
 
 NO_ID = np.iinfo(np.int64).min

@@ -101,6 +101,23 @@ def test_lines_match_brute_force(docs, frame, monkeypatch, crowd, kept):
     assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == expected_lines(docs)
 
 
+def test_short_lines_match_brute_force_without_a_least_size(docs, frame):
+    import random
+    rng = random.Random(3)
+    rows = [(2000 + i, "\n".join(" ".join(rng.choice("a b C d e f".split()) for _ in range(rng.randint(0, 5))) for _ in range(6)))
+            for i in range(30)]
+    rows += [(3000, "All rights reserved."), (3001, "x\nAll rights reserved.\n\n "), (3002, "la la " * 60), (3003, "la la " * 60)] + docs
+    lines = [((d is not None, d or 0, k), frozenset(words(line)), (d, t)) for d, t in rows for k, line in enumerate((t or "").split("\n"))]
+    gone = {}
+    for place, tokens, row in lines:
+        if tokens and any(o < place and 4 * len(tokens & s) >= 3 * len(tokens | s) for o, s, _ in lines):
+            gone.setdefault(row, set()).add(place[2])
+    got = line_dedup.mark_lines(frame(rows)).collect()
+    want = [((d is not None, d or 0), 0 if t is None else len(t.split("\n")), sorted(gone.get((d, t), ()))) for d, t in rows]
+    assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == sorted(want)
+    assert {3001, 3003} <= {d for d, _ in gone}
+
+
 def test_similar_lines_that_just_miss_are_all_tried(frame, monkeypatch):
     monkeypatch.setattr(line_dedup, "KEPT", 1)
     base = [f"t{k}" for k in range(24)]

@@ -3,8 +3,7 @@
 A line's tokens are its distinct words. Two lines match at a Jaccard similarity of
 0.75 or more; a line goes if an earlier one, kept or not, matches it. Earlier means by
 document id, then by line number (then, for lines of documents with the same id, by
-a hash). Lines of fewer than LEAST_WORDS distinct words stay: they say too little to
-be told a copy.
+a hash). Lines of any length take part; only those without words stay as they are.
 
 Lines of equal tokens are one set, which stays at its first place. Sets are joined by
 prefixes: tokens are ordered by rarity, and matching sets share one of their rarest
@@ -41,7 +40,7 @@ from timelens.llm.similar import (
 from timelens.llm.store import kept
 from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 RARITY_BITS = 22
 KEPT = 2
 HELD = 1 << 18
@@ -65,22 +64,21 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
-    """The token sets of the lines of LEAST_WORDS distinct words and more."""
+    """The token sets of the lines that have words."""
     found = find_words(data, offsets, NON_SPACE)
     rows, starts = line_starts(data, offsets)
     # of lines that begin at one place, the last is the one with words
     line = np.searchsorted(starts, found.starts, "right") - 1
     of, elements = distinct_elements(line, found.hashes)
     sizes = np.bincount(of, minlength=len(rows))
-    long = np.flatnonzero(sizes >= LEAST_WORDS)
+    filled = np.flatnonzero(sizes >= LEAST_WORDS)
     place = np.full(len(rows), -1)
-    place[long] = np.arange(len(long))
-    mine = place[of] >= 0
+    place[filled] = np.arange(len(filled))
     firsts = np.searchsorted(rows, np.arange(len(offsets) - 1))
     ends = np.append(starts[1:], len(data))
     last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.zeros(0, bool)
     ends = np.where(last, offsets[1:][rows], ends - 1)
-    return Sets(rows[long], long - firsts[rows[long]], starts[long], ends[long], place[of[mine]], elements[mine])
+    return Sets(rows[filled], filled - firsts[rows[filled]], starts[filled], ends[filled], place[of], elements)
 
 
 def parities(sets: Sets) -> np.ndarray:

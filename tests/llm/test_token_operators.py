@@ -75,6 +75,30 @@ def test_vocabularies_that_cannot_be_split_are_refused():
         token_counts.Automaton({"a": -1.5})
 
 
+@pytest.mark.parametrize("long", [1, 1 << 15])
+def test_vocabularies_that_cannot_be_split_are_counted_over_the_whole_text(monkeypatch, long):
+    monkeypatch.setattr(token_counts, "LONG_TEXT", long)
+    vocabulary = {"▁": -1.25, "a": -2.1, "b": -2.7, "é": -3.3, "a▁b": -3.9, "ab": -4.4, "b\na": -4.05, "▁▁": -2.3, "▁ab": -5.15, "▁b▁": -4.2}
+    auto = token_counts.Automaton(vocabulary, whole=True)
+    tokenizer = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary.items()], 0, False))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aab b \né漢") for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["ab a" * 900, None]
+    assert token_counts.count_texts(auto, pa.array(texts))[0].tolist() == [count(tokenizer, t) for t in texts]
+
+
+def test_a_trained_unigram_model_is_counted(frame, docs, tmp_path):
+    import sentencepiece
+    path = str(tmp_path / "unigram")
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter([x for _, t in docs for x in (t or "").split("\n")]), model_prefix=path, vocab_size=300,
+        model_type="unigram", hard_vocab_limit=False, minloglevel=2)
+    vocabulary = token_counts.read_vocabulary(f"{path}.model")
+    assert not token_counts.falls_apart(vocabulary)
+    tokenizer = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary.items()], 0, False))
+    got = token_counts.count_tokens(frame(docs), f"{path}.model").collect()
+    assert [r["n_tokens"] for r in got] == [count(tokenizer, r["text"]) for r in got] and len(got) == len(docs)
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_units_give_the_ids_of_the_whole_text(text):

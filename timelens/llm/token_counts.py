@@ -8,10 +8,11 @@ start, and a character without a piece of its own may be unknown, at the least s
 of the vocabulary less 10, tried last. An unknown character counts as its bytes.
 
 A text is read as the vocabulary's library does: a space becomes the sign U+2581, and
-one more is put in front of a text that is not empty. No piece holds that sign behind
-another character, nor a line end, so texts fall apart at those places: equal parts
-of a slice of documents are counted once, many parts at a time. Scores are whole
-numbers, whose sums are exact, so that the parts' ties are those of the text.
+one more is put in front of a text that is not empty. Where no piece holds that sign
+behind another character, nor a line end, texts fall apart at those places: equal parts
+of a slice of documents are counted once, many parts at a time. That takes scores that
+are whole numbers, whose sums are exact, so that the parts' ties are those of the text.
+With any other vocabulary, as of log probabilities, every text is one part.
 
 Documents are not shuffled, and every task builds the automaton from the vocabulary
 file; its size follows the vocabulary only.
@@ -41,6 +42,8 @@ UNKNOWN_PENALTY = 10.0
 CELLS = 1 << 21
 """Places of parts that are worked on at once."""
 LONG_PART = 512
+LONG_TEXT = 1 << 15
+"""Bytes from which on a text that does not fall apart is worked on alone."""
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
@@ -52,13 +55,19 @@ def read_vocabulary(path: str) -> dict[str, float]:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
 
 
+def falls_apart(vocabulary: dict[str, float]) -> bool:
+    """Whether counting part by part gives what the whole text does."""
+    return (not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in vocabulary)
+            and all(float(s).is_integer() for s in vocabulary.values()))
+
+
 class Automaton:
-    """Aho-Corasick over bytes; state 0 is the root."""
+    """Aho-Corasick over bytes; state 0 is the root. `whole` is for vocabularies whose texts do not fall apart."""
 
-    def __init__(self, vocabulary: dict[str, float]):
-        bad = [p for p in vocabulary if re.search(f"[^{SPACE}]{SPACE}|\n", p)]
-        if bad or any(s != int(s) for s in vocabulary.values()):
+    def __init__(self, vocabulary: dict[str, float], whole: bool = False):
+        if not whole and not falls_apart(vocabulary):
             raise ValueError("pieces must not go on behind a space or over a line end, and scores must be whole numbers")
+        self.whole = whole
         children: list[dict[int, int]] = [{}]
         piece_at: list[tuple[int, float]] = [(0, 0.0)]
         for piece, score in vocabulary.items():
@@ -98,7 +107,8 @@ class Automaton:
 
 @lru_cache(1)
 def automaton(path: str) -> Automaton:
-    return Automaton(read_vocabulary(path))
+    vocabulary = read_vocabulary(path)
+    return Automaton(vocabulary, whole=not falls_apart(vocabulary))
 
 
 def _count_long(auto: Automaton, part: np.ndarray) -> tuple[float, int]:
@@ -129,7 +139,7 @@ def count_parts(auto: Automaton, data: np.ndarray, starts: np.ndarray, sizes: np
     """Best score and number of pieces of each part of `data`."""
     scores, counts = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
     order = np.argsort(-sizes, kind="stable")
-    n_long = int((sizes > LONG_PART).sum())
+    n_long = int((sizes > (LONG_TEXT if auto.whole else LONG_PART)).sum())
     for i in order[:n_long].tolist():
         scores[i], counts[i] = _count_long(auto, data[starts[i]:starts[i] + sizes[i]])
     low = n_long
@@ -217,6 +227,8 @@ def count_texts(auto: Automaton, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     counts, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     for low, high, data, offsets in text_slices(texts):
         out, starts, rows = parts_of(data, offsets)
+        if auto.whole:
+            starts = rows[:-1][np.diff(rows) > 0]
         if not len(starts):
             continue
         ends = np.append(starts[1:], len(out))

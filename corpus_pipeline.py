@@ -25,8 +25,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that earlier ones match, counted anew; a document that loses all its words goes."""
-    cleaned = line_dedup.drop_repeated_lines(docs.withColumn("chars_before", F.length("text")))
-    changed = F.length("text") < F.col("chars_before")
+    before = "chars_before" + "_" * max(map(len, docs.columns))  # longer than any of their names
+    cleaned = line_dedup.drop_repeated_lines(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") < F.col(before)
     return (cleaned.where(~F.coalesce(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
             .withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
             .select(*docs.columns))

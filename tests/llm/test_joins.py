@@ -127,6 +127,28 @@ def test_similar_lines_that_just_miss_are_all_tried(frame, monkeypatch):
     assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == expected_lines(rows)
 
 
+def test_the_second_pass_starts_from_the_wanted_sets(monkeypatch):
+    import numpy as np
+    from timelens.llm.similar import flagged
+    rng = np.random.default_rng(6)
+    n = 4000  # one crowded token
+    columns = [np.zeros(n, np.uint64), rng.permutation(n).astype(np.int64), rng.integers(5, 40, n).astype(np.uint32),
+               np.zeros(n, np.uint32), np.zeros(n, np.uint64), rng.integers(0, 50, n), np.arange(n, dtype=np.uint32)]
+    met = line_dedup._Meeting(columns)
+    wanted = np.zeros(1 << 22, bool)
+    wanted[rng.integers(0, len(wanted), len(wanted) // 1000)] = True
+    asked = np.flatnonzero(flagged(met.digest, wanted))
+    assert 0 < len(asked) < 40
+    seen = []
+    passing = met.passing
+    monkeypatch.setattr(met, "passing", lambda i, j: seen.append(len(i)) or passing(i, j))
+    got = {p for y, x in met.pairs(wanted, 2) for p in zip(y.tolist(), x.tolist())}
+    assert sum(seen) <= len(asked) * n
+    y, x = np.repeat(asked, n), np.tile(np.arange(n), len(asked))
+    good = (met.rank[x] < met.rank[y]) & passing(y, x)
+    assert got == set(zip(y[good].tolist(), x[good].tolist())) and got
+
+
 def test_dropping_lines_keeps_columns_and_other_lines(docs, frame):
     rows = [(t, d, "x", 1) for d, t in docs]
     out = line_dedup.drop_repeated_lines(frame(rows, "text string, doc_id long, removed string, row_key int"))

@@ -178,8 +178,14 @@ class _Meeting:
         return (least * DENOMINATOR >= most * NUMERATOR) & (behind >= overlap) & (differ <= total - 2 * overlap)
 
     def pairs(self, wanted: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set."""
-        crowd = (self.ends - self.starts > CROWD) & (wanted is None)
+        """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set.
+
+        With `wanted`, all pairs whose later set is wanted.
+        """
+        if wanted is not None:
+            yield from self._of_wanted(wanted)
+            return
+        crowd = self.ends - self.starts > CROWD
         for a, b in zip(self.starts[crowd].tolist(), self.ends[crowd].tolist(), strict=True):
             yield from self._blocks(np.arange(a, b)[np.argsort(self.rank[a:b])], least)
         group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
@@ -198,11 +204,28 @@ class _Meeting:
             good = self.passing(i, j)
             i, j = i[good], j[good]
             swap = self.rank[i] < self.rank[j]
-            later, earlier = np.where(swap, j, i), np.where(swap, i, j)
-            if wanted is not None:
-                good = flagged(self.digest[later], wanted)
-                later, earlier = later[good], earlier[good]
-            yield later, earlier
+            yield np.where(swap, j, i), np.where(swap, i, j)
+            low = high
+
+    def _of_wanted(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        mine = np.flatnonzero(flagged(self.digest, wanted)) if len(group) else group
+        # partners on both sides, within the length filter
+        joint = group << 32 | self.sizes
+        base = group[mine] << 32
+        start = np.searchsorted(joint, base | -(-self.sizes[mine] * NUMERATOR // DENOMINATOR), "left")
+        count = np.searchsorted(joint, base | self.sizes[mine] * DENOMINATOR // NUMERATOR, "right") - start
+        total = np.cumsum(count)
+        low = 0
+        while low < len(mine):
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
+            n = count[low:high]
+            i = np.repeat(mine[low:high], n)
+            j = np.arange(len(i)) + np.repeat(start[low:high] - (np.cumsum(n) - n), n)
+            good = self.rank[j] < self.rank[i]
+            i, j = i[good], j[good]
+            good = self.passing(i, j)
+            yield i[good], j[good]
             low = high
 
     def _blocks(self, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,6 +277,15 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
             later, earlier = later[place < KEPT], earlier[place < KEPT]
         return later, earlier, more
 
+    def packed(later: np.ndarray, earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
+        y, x = met.digest[later], met.digest[earlier]
+        lost = np.isin(y, more)
+        for low in range(0, len(y), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
+                            "bits": lost[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
+                            "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
+
     none = np.zeros(0, np.int64)
     waiting, size = [(none, none)], 0
     for later, earlier in met.pairs(wanted, KEPT):
@@ -261,15 +293,13 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
         size += len(later)
         if size > 2 * PAIRS:
             later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
+            if wanted is not None:
+                # all pairs go on, so none has to wait
+                yield from packed(later, earlier)
+                later, earlier = none, none
             waiting, size = [(later, earlier)], len(later)
     later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
-    y, x = met.digest[later], met.digest[earlier]
-    lost = np.isin(y, more)
-    for low in range(0, len(y), 1 << 16):
-        part = slice(low, low + (1 << 16))
-        yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
-                        "bits": lost[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
-                        "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
+    yield from packed(later, earlier)
 
 
 def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity
+from timelens.llm import chat, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity, turn_repair
+from timelens.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,11 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbours(documents, fingerprint.build_lexicon(documents))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damage(table(configure(spark), sf_dir, "conversations"))
+    return turn_repair.with_digests(*turn_repair.repair_conversations(rows))
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_line_dedup": op2_line_dedup,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprint": op10_fingerprint,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity, turn_repair
+from timelens.llm import chat, config_pack, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity, turn_repair
 from timelens.session import configure
 
 
@@ -88,6 +88,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.with_digests(*turn_repair.repair_conversations(rows))
 
 
+def op13_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(configure(spark), sf_dir, "documents")
+    return config_pack.pack_documents(documents, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprint": op10_fingerprint,
     "op12_turn_repair": op12_turn_repair,
+    "op13_best_fit_pack": op13_best_fit_pack,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

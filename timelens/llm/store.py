@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,3 +21,8 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/timelens-kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps between tasks, also where this package reaches it by value."""
+    return sys.modules.setdefault("timelens_worker_cache", types.ModuleType("timelens_worker_cache")).__dict__

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import chat, config_pack, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity, turn_repair
+from timelens.llm import chat, collocations, config_pack, credentials, decontaminate, fingerprint, line_dedup, near_duplicates, ngrams, pack, token_counts, toxicity, turn_repair
 from timelens.session import configure
 
 
@@ -83,6 +83,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbours(documents, fingerprint.build_lexicon(documents))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(configure(spark), sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_repair.damage(table(configure(spark), sf_dir, "conversations"))
     return turn_repair.with_digests(*turn_repair.repair_conversations(rows))
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprint": op10_fingerprint,
+    "op11_collocations": op11_collocations,
     "op12_turn_repair": op12_turn_repair,
     "op13_best_fit_pack": op13_best_fit_pack,
 }
@@ -178,4 +183,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
     coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN per USING (r)""",
+    "op11_collocations": f"""
+WITH pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\n\\x0B\\f\\r]')), '[^ \\t]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, w[i:i + size - 1] AS words FROM (
+        SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) sizes(size) WHERE len(w) >= size)),
+    f AS (SELECT lang, phrase, any_value(size) AS size, any_value(words) AS words, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+    cuts AS (SELECT lang, phrase, f AS a, words, unnest(range(1, size)) AS k FROM f WHERE size >= 2),
+    scored AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, k, CAST(2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')),
+    least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, array_to_string(words[i:i + n - 1], ' ') AS phrase, max(f) AS m FROM (
+        SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM f WHERE size >= 3)) GROUP BY ALL),
+    left_over AS (SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR 100::HUGEINT * m < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank, phrase, a, l, r, n, score
+FROM left_over JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from timelens.llm import collocations as co, queries
@@ -65,17 +66,17 @@ def test_matches_brute_force(frame, budget):
 def test_few_counters_and_full_tasks_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(co, "HELD", 50)
     monkeypatch.setattr(co, "ROW", 7)
-    monkeypatch.setattr(co.count_phrases, "__defaults__", (300, 5, 6))
+    monkeypatch.setattr(co.count_phrases, "__defaults__", (300, (5, 6, 6, 4)))
     rows = fixture_rows(2)
     assert mined(frame, rows, budget=300) == brute(rows)
 
 
 def test_groups_stay_within_the_budget(frame):
     documents = frame([r[:3] for r in fixture_rows(3)], "doc_id long, text string, lang string")
-    words = co.hashed_counts(documents.select("text", "lang"), co._word_hashes, 16, co.loads, "u1")
-    groups, after = co._grouped(words, 1000, 0)
+    words = co.hashed_counts(documents.select("text", "lang"), lambda batch: co._phrase_hashes(None, batch), 16, co.loads, "u1")
+    groups = np.searchsorted(co._edges(words, 1000), np.arange(1 << 16), "right")
     load = co.load_of(words)
-    held = [load[(groups == g) & (load <= 1000)].sum() for g in range(after)]
+    held = np.bincount(groups, np.where(load <= 1000, load, 0))
     assert len(held) > 3 and max(held) <= 2000 and load.max() > 1000
 
 

@@ -10,9 +10,10 @@ suffixes are sorted word by word, and the total of a node is the sum of the leav
 Nodes above the prefix of their group are added up over groups.
 
 Only phrases of LEAST occurrences are asked for, and every part of such a phrase has as many.
-So a suffix ends before a word, or a pair of words, that is too rare. Two tables of counters of fixed
-size, in which terms may share a counter and no count is too low, tell which; they hold the
-loads of the prefixes as well. They save work only: the counts are those of the trees.
+So a suffix ends before its phrase becomes too rare. Tables of counters of fixed
+size, one for each length, in which phrases may share a counter and no count is too low, tell
+where; they hold the loads of the prefixes as well. They save work only: the counts are those
+of the trees, and where a corpus is too large for the tables, more suffixes travel.
 
 How it runs: a task adds up equal suffixes of all its texts before it hands them on,
 so a frequent phrase travels as one row a task, and suffixes travel packed, with their words
@@ -46,10 +47,10 @@ BEST = 2000
 BUDGET = 1 << 17
 """Suffixes of a group, at most, before equal ones are added up."""
 
-WORD_BITS, PAIR_BITS = 22, 23
-"""Counters of words and of pairs of words, as powers of two."""
+BITS = (22, 24, 23, 22)
+"""Counters of phrases of 1 to DEPTH words, as powers of two."""
 
-HELD, ROW = 1 << 20, 1 << 12
+HELD, ROW = 1 << 18, 1 << 12
 """Different suffixes that a task holds at a time, and those that travel in one row."""
 
 _BREAK = np.zeros(256, bool)
@@ -99,41 +100,42 @@ def load_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, np.ceil(LEAST * 2.0 ** ((codes.astype(float) - 1) / 4)), 0)
 
 
-def _word_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for _, _, hashes, _, _, _ in _pieces(batch):
-        yield hashes
-
-
-def _pairs(hashes: np.ndarray, on: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words are frequent enough, hashes of pairs with the next word, and which pairs may be."""
-    often = words[counter_of(hashes, words.size.bit_length() - 1)] > 0
-    pairs = np.zeros(len(hashes), np.uint64)
-    pairs[:-1] = gram_hashes(hashes, 2)
-    both = on & often
-    both[:-1] &= often[1:]
-    return often, pairs, both
-
-
-def _pair_hashes(sent, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def phrases_at(hashes: np.ndarray, on: np.ndarray, tables: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words, one more than there are tables at most: hashes of the phrases that begin at each word, and
+    whether all their parts are frequent by the tables; a phrase itself is judged when the next length is asked for."""
+    n = len(hashes)
+    may = np.ones(n, bool)
+    for size in range(1, DEPTH + 1):
+        grams = np.zeros(n, np.uint64)
+        grams[:max(0, n - size + 1)] = gram_hashes(hashes, size)
+        yield grams, may
+        if size > len(tables):
+            return
+        often = may & (tables[size - 1][counter_of(grams, tables[size - 1].size.bit_length() - 1)] > 0)
+        may = on & often
+        may[:-1] &= often[1:]
+
+
+def _phrase_hashes(sent, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Hashes of the phrases one word longer than the tables reach."""
     for _, _, hashes, on, _, _ in _pieces(batch):
-        _, pairs, both = _pairs(hashes, on, sent.value[0])
-        yield pairs[both]
+        *_, (grams, may) = phrases_at(hashes, on, sent.value if sent else ())
+        yield grams[may]
 
 
-def _grouped(codes: np.ndarray, budget: int, first: int) -> tuple[np.ndarray, int]:
-    """The group of each counter, next to each other until the budget is full, from `first` on; and the next group."""
+def _edges(codes: np.ndarray, budget: int) -> np.ndarray:
+    """Where a new group begins: counters lie next to each other until the budget is full."""
     load = load_of(np.arange(256))
     held = np.where(load <= budget, load, 0).astype(np.int64)[codes]
-    groups = (first + np.cumsum(held) // budget).astype(np.int32)
-    return groups, int(groups[-1]) + 1
+    filled = np.cumsum(held) // budget
+    return np.flatnonzero(filled[1:] != filled[:-1]) + 1
 
 
 class Suffixes:
     """The different suffixes of a task with their counts."""
 
-    def __init__(self, tables: tuple, budget: int):
-        self.words, self.pairs, self.word_groups, self.pair_groups, self.next_group = tables
-        self.budget = budget
+    def __init__(self, tables: tuple, edges: tuple, budget: int):
+        self.tables, self.edges, self.budget = tables, edges, budget
         self.texts: dict[int, str] = {}
         self.clear()
 
@@ -144,16 +146,13 @@ class Suffixes:
 
     def add(self, lowered: np.ndarray, found: Words, hashes: np.ndarray, on: np.ndarray, lang: np.ndarray) -> None:
         """The suffixes of a slice: words by hash, 0 behind the last."""
-        often, pairs, both = _pairs(hashes, on, self.words)
-        goes = both & (self.pairs[counter_of(pairs, self.pairs.size.bit_length() - 1)] > 0)
-        at = np.flatnonzero(often)
         n = len(hashes)
-        parts = np.zeros((DEPTH, len(at)), np.uint64)
-        parts[0] = hashes[at]
-        open_ = np.ones(len(at), bool)
-        for k in range(1, DEPTH):
-            open_ &= (at + k - 1 < n) & goes[np.minimum(at + k - 1, n - 1)]
-            parts[k] = np.where(open_, hashes[np.minimum(at + k, n - 1)], 0)
+        frequent = []
+        for table, (grams, may) in zip(self.tables, phrases_at(hashes, on, self.tables), strict=True):
+            frequent.append(may & (table[counter_of(grams, table.size.bit_length() - 1)] > 0))
+        often = frequent[0]
+        at = np.flatnonzero(often)
+        parts = np.stack([np.where(f[at], hashes[np.minimum(at + k, n - 1)], 0) for k, f in enumerate(frequent)])
         key = mix(parts[0])
         for k in range(1, DEPTH):
             key = mix(key + parts[k] + np.uint64(k))
@@ -174,14 +173,19 @@ class Suffixes:
 
     def groups(self, parts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The group of each suffix and the length of its prefix."""
-        one = counter_of(parts[0], self.words.size.bit_length() - 1)
-        two = counter_of(gram_hashes(parts[:2].T.ravel(), 2)[::2], self.pairs.size.bit_length() - 1)
-        heavy = load_of(self.words[one]) > self.budget
-        load = load_of(self.pairs[two])
+        words, pairs = self.tables[:2]
+        one = counter_of(parts[0], words.size.bit_length() - 1)
+        two = counter_of(gram_hashes(parts[:2].T.ravel(), 2)[::2], pairs.size.bit_length() - 1)
+        heavy = load_of(words[one]) > self.budget
+        load = load_of(pairs[two])
         whole = heavy & (parts[1] != 0) & (load > self.budget)
         split = heavy & ~whole
-        spread = self.next_group + (two.astype(np.int64) << 20) + (key % np.maximum(load // self.budget + 1, 1).astype(np.uint64)).astype(np.int64)
-        return (np.where(whole, spread, np.where(split, self.pair_groups[two], self.word_groups[one])),
+        one = np.searchsorted(self.edges[0], one, "right")
+        behind = len(self.edges[0]) + 1
+        share = (key % (load // self.budget + 1).astype(np.uint64)).astype(np.int64)
+        spread = behind + len(self.edges[1]) + 1 + (two.astype(np.int64) << 20) + share
+        two = behind + np.searchsorted(self.edges[1], two, "right")
+        return (np.where(whole, spread, np.where(split, two, one)),
                 np.where(whole, DEPTH, np.where(split, 2, 1)).astype(np.int32))
 
     def rows(self, names: list[str]) -> Iterator[tuple]:
@@ -205,7 +209,7 @@ class Suffixes:
 
 def _find_suffixes(sent, budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64()]
-    held, totals = Suffixes(sent.value, budget), {}
+    held, totals = Suffixes(*sent.value, budget), {}
     known: list[str] = []
 
     def packed() -> Iterator[pa.RecordBatch]:
@@ -301,17 +305,15 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed()
 
 
-def count_phrases(documents: DataFrame, budget: int = BUDGET, word_bits: int = WORD_BITS,
-                  pair_bits: int = PAIR_BITS) -> tuple[DataFrame, DataFrame]:
+def count_phrases(documents: DataFrame, budget: int = BUDGET, bits: tuple[int, ...] = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the phrases of 1 to DEPTH words with LEAST occurrences, and (lang, n) of all words."""
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     rows = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    words = hashed_counts(rows, _word_hashes, word_bits, loads, np.uint8)
-    sent = spark.sparkContext.broadcast((words,))
-    pairs = hashed_counts(rows, lambda batch: _pair_hashes(sent, batch), pair_bits, loads, np.uint8)
-    word_groups, after = _grouped(words, budget, 0)
-    pair_groups, after = _grouped(pairs, budget, after)
-    tables = spark.sparkContext.broadcast((words, pairs, word_groups, pair_groups, after))
+    tables: tuple[np.ndarray, ...] = ()
+    for size in bits:
+        sent = context.broadcast(tables) if tables else None
+        tables += (hashed_counts(rows, lambda batch, sent=sent: _phrase_hashes(sent, batch), size, loads, np.uint8),)
+    tables = context.broadcast((tables, tuple(_edges(t, budget) for t in tables[:2])))
     suffixes = kept(rows.mapInArrow(lambda batches: _find_suffixes(tables, budget, batches), _SUFFIXES))
     dealt = suffixes.where("group >= 0").repartition("group").sortWithinPartitions("group")
     nodes = dealt.select("group", "depth", "lang", "words", "suffixes", "counts").mapInArrow(_build, _NODES)

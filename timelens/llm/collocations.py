@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ BITS = (22, 24, 23, 22)
 """Counters of phrases of 1 to DEPTH words, as powers of two."""
 
 HELD, ROW = 1 << 18, 1 << 12
-"""Different suffixes that a task holds at a time, and those that travel in one row."""
+"""Different suffixes that a task holds at a time, and those that travel in one row; their words are told apart by 16 bits."""
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -193,7 +194,7 @@ class Suffixes:
         self.merge()
         key, parts, counts, lang = self.found[0]
         group, depth = self.groups(parts, key)
-        order = np.lexsort((parts[0], lang, group))
+        order = np.lexsort((*parts[::-1], lang, group))
         parts, counts, lang, group, depth = parts[:, order], counts[order], lang[order], group[order], depth[order]
         edges = np.flatnonzero((group[1:] != group[:-1]) | (lang[1:] != lang[:-1])) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(group)], strict=True):
@@ -203,8 +204,9 @@ class Suffixes:
                 texts = [self.texts[h] if h else "" for h in words.tolist()]
                 if texts[0]:
                     texts, places = ["", *texts], places + 1
+                some = counts[low:high]
                 yield (int(group[low]), int(depth[low]), names[lang[low]], texts,
-                       places.reshape(DEPTH, -1).astype("<i4").tobytes(), counts[low:high].astype("<i8").tobytes(), 0)
+                       places.astype("<u2").tobytes(), some.astype(np.min_scalar_type(some.max())).tobytes(), 0)
 
 
 def _find_suffixes(sent, budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,8 @@ def _find_suffixes(sent, budget: int, batches: Iterator[pa.RecordBatch]) -> Iter
                     yield from packed()
     if held.found:
         yield from packed()
-    rows = [(-1, 0, name, None, None, None, n) for name, n in totals.items()]
+    total_group = -1 - TaskContext.get().partitionId()
+    rows = [(total_group, 0, name, None, None, None, n) for name, n in totals.items()]
     if rows:
         yield _batch(rows, kinds)
 
@@ -261,9 +264,11 @@ class Subtree:
 
     def add(self, lang: str, words: list[str], suffixes: bytes, counts: bytes) -> None:
         ids = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int32)
-        places = ids[np.frombuffer(suffixes, "<i4")].reshape(DEPTH, -1)
+        places = ids[np.frombuffer(suffixes, "<u2")].reshape(DEPTH, -1)
         language = self.languages.setdefault(lang, len(self.languages))
-        self.found.append((np.vstack([np.full(places.shape[1], language, np.int32), places]), np.frombuffer(counts, "<i8")))
+        n = places.shape[1]
+        totals = np.frombuffer(counts, f"<u{len(counts) // n}").astype(np.int64)
+        self.found.append((np.vstack([np.full(n, language, np.int32), places]), totals))
 
     def nodes(self, depth: int) -> Iterator[tuple[str, str, int, int]]:
         """(language, phrase, words, total) of every node; those that are whole, from `depth` on, only with LEAST occurrences."""
@@ -283,11 +288,11 @@ class Subtree:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of every group; a group's rows follow each other."""
+    """The nodes of every group, whose rows follow each other; words in all are nodes of size 0."""
     open_, depth, tree = None, 0, Subtree()
 
     def packed() -> Iterator[pa.RecordBatch]:
-        rows = list(tree.nodes(depth))
+        rows = list(tree.nodes(depth)) if tree.found else []
         for low in range(0, len(rows), 1 << 14):
             part = list(zip(*rows[low:low + (1 << 14)], strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -296,6 +301,11 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for k, group in enumerate(batch.column(0).to_pylist()):
+            if group < 0:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(2)[k].as_py()]), pa.array([""]), pa.array([0], pa.int32()),
+                     pa.array([batch.column(6)[k].as_py()], pa.int64())], ["lang", "phrase", "size", "f"])
+                continue
             if group != open_:
                 if open_ is not None:
                     yield from packed()
@@ -314,12 +324,10 @@ def count_phrases(documents: DataFrame, budget: int = BUDGET, bits: tuple[int, .
         sent = context.broadcast(tables) if tables else None
         tables += (hashed_counts(rows, lambda batch, sent=sent: _phrase_hashes(sent, batch), size, loads, np.uint8),)
     tables = context.broadcast((tables, tuple(_edges(t, budget) for t in tables[:2])))
-    suffixes = kept(rows.mapInArrow(lambda batches: _find_suffixes(tables, budget, batches), _SUFFIXES))
-    dealt = suffixes.where("group >= 0").repartition("group").sortWithinPartitions("group")
-    nodes = dealt.select("group", "depth", "lang", "words", "suffixes", "counts").mapInArrow(_build, _NODES)
-    found = nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
-    totals = suffixes.where("group < 0").groupBy("lang").agg(F.sum("n_words").alias("n"))
-    return kept(found), totals
+    suffixes = rows.mapInArrow(lambda batches: _find_suffixes(tables, budget, batches), _SUFFIXES)
+    nodes = suffixes.repartition("group").sortWithinPartitions("group").mapInArrow(_build, _NODES)
+    found = kept(nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= LEAST) | (F.col("size") == 0)))
+    return found.where("size > 0"), found.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def score_cuts(phrases: DataFrame) -> DataFrame:

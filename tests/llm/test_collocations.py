@@ -55,7 +55,7 @@ def mined(frame, rows, **kw):
     return sorted(map(tuple, found.collect()))
 
 
-@pytest.mark.parametrize("budget", [1 << 17, 500, 40])
+@pytest.mark.parametrize("budget", [1 << 19, 500, 40])
 def test_matches_brute_force(frame, budget):
     rows = fixture_rows()
     want = brute(rows)

@@ -45,13 +45,13 @@ COVERED = 80
 """Percent of a phrase's occurrences that a longer one must have to replace it."""
 BEST = 2000
 
-BUDGET = 1 << 17
+BUDGET = 1 << 19
 """Suffixes of a group, at most, before equal ones are added up."""
 
 BITS = (22, 24, 23, 22)
 """Counters of phrases of 1 to DEPTH words, as powers of two."""
 
-HELD, ROW = 1 << 18, 1 << 12
+HELD, ROW = 1 << 19, 1 << 12
 """Different suffixes that a task holds at a time, and those that travel in one row; their words are told apart by 16 bits."""
 
 _BREAK = np.zeros(256, bool)
@@ -59,7 +59,7 @@ _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 _INSIDE = ~_BREAK
 _INSIDE[[9, 32]] = False
 
-_SUFFIXES = "group long, depth int, lang string, words array<string>, suffixes binary, counts binary, n_words long"
+_SUFFIXES = "group long, depth int, lang string, words string, suffixes binary, counts binary, n_words long"
 _NODES = "lang string, phrase string, size int, f long"
 
 
@@ -205,12 +205,12 @@ class Suffixes:
                 if texts[0]:
                     texts, places = ["", *texts], places + 1
                 some = counts[low:high]
-                yield (int(group[low]), int(depth[low]), names[lang[low]], texts,
+                yield (int(group[low]), int(depth[low]), names[lang[low]], " ".join(texts),
                        places.astype("<u2").tobytes(), some.astype(np.min_scalar_type(some.max())).tobytes(), 0)
 
 
 def _find_suffixes(sent, budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
     held, totals = Suffixes(*sent.value, budget), {}
     known: list[str] = []
 
@@ -262,8 +262,8 @@ class Subtree:
         self.languages: dict[str, int] = {}
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, lang: str, words: list[str], suffixes: bytes, counts: bytes) -> None:
-        ids = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int32)
+    def add(self, lang: str, words: str, suffixes: bytes, counts: bytes) -> None:
+        ids = np.array([self.words.setdefault(w, len(self.words)) for w in words.split(" ")], np.int32)
         places = ids[np.frombuffer(suffixes, "<u2")].reshape(DEPTH, -1)
         language = self.languages.setdefault(lang, len(self.languages))
         n = places.shape[1]

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from timelens.functions.timing import Duration, moment, shifted, within
+from timelens.operators.days import newest_rows, stored_days
 from timelens.operators.topk import check_limit, newest
 
 SHOWN = ["event_id", "ts", "priority", "unit", "source", "pid", "message"]
@@ -23,8 +24,11 @@ def since(events: DataFrame, start: datetime) -> DataFrame:
 
 
 def latest_events(events: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest events, newest first; equal times by ``event_id``."""
-    return newest(shown(events), limit)
+    """The newest events, newest first; equal times by ``event_id``.
+
+    Of a table stored by day only the newest days that hold them are read.
+    """
+    return newest(shown(newest_rows(events, check_limit(limit), stored_days(events))), limit)
 
 
 def search_events(

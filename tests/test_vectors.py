@@ -83,6 +83,42 @@ def test_many_queries_equal_brute_force(spark, block):
         assert [got[q, k] for k in range(1, 5)] == order
 
 
+@pytest.mark.parametrize("grid", [1, 3])
+def test_blocks_of_several_dimensions_meet(spark, grid):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 2 + i % 3)]) for i in range(90)]
+    rows += [(500, None), (501, []), (502, [0.0, 0.0]), (503, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "event_id long, embedding array<float>").repartition(4)
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 7 == 0 or i > 499], "query_id int, vector array<double>").repartition(3)
+    got = {}
+    for r in semantic.semantic_search_many(asked, df, 5, 7, grid).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.event_id
+    held = {i: np.array(v, "f4").astype("f8") for i, v in rows if v}
+
+    def score(a, b):
+        length = np.float64(np.float32(np.sqrt((a * a).sum()))) * np.sqrt((b * b).sum())
+        return -np.inf if np.isnan(length) else np.float32(a @ b / length) if length else np.float32(0)
+
+    for q in [i for i, v in rows if v and (i % 7 == 0 or i > 499)]:
+        same = [i for i in held if len(held[i]) == len(held[q])]
+        want = sorted(same, key=lambda i: (-score(held[q], held[i]), i))[:5]
+        assert [got[q][k] for k in sorted(got[q])] == want, q
+    assert set(got) <= set(held)
+
+
+def test_plan_does_not_grow_with_the_queries(spark):
+    def plan(n):
+        vectors = F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))
+        queries = spark.range(n).select(F.col("id").alias("query_id"), vectors.alias("vector"))
+        events_ = spark.range(50).select(F.col("id").alias("event_id"), vectors.alias("embedding"))
+        found = semantic.semantic_search_many(queries, events_, 3)
+        return len(found._jdf.queryExecution().executedPlan().toString().splitlines())
+
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert plan(10) == plan(10_000)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == started
+
+
 def test_pending_rows_stay_pending_when_embedding_fails(spark):
     df = events(spark, [(0, "u", "good"), (1, "", "bad"), (2, None, "good too")])
     seen = []

@@ -7,20 +7,23 @@ bounded by k and not by the rows it read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from timelens.operators.events import shown, since
-from timelens.operators.topk import check_limit
+from timelens.operators.topk import check_limit, top_per_group
 
-# Query vectors sent to the tasks at once. More queries take more passes.
-QUERY_BLOCK = 256
+# Vectors that travel together, and meet others in one matrix product.
+BLOCK = 512
 
 
 def cosine_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -111,37 +114,111 @@ def semantic_search(
     return shown(found.orderBy(F.desc("score"), F.asc("event_id")).limit(limit))
 
 
+def _pack_blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, vector) as blocks of up to ``size`` vectors of one dimension."""
+    task = TaskContext.get().partitionId() << 33
+    waiting: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    held: dict[int, int] = {}
+    number = 0
+
+    def block(dimension: int) -> pa.RecordBatch:
+        nonlocal number
+        ids, rows = (np.concatenate(x) for x in waiting.pop(dimension))
+        held[dimension] = 0
+        number += 1
+        return pa.RecordBatch.from_pydict({
+            "dimension": pa.array([dimension], pa.int32()), "block": pa.array([task + number], pa.int64()),
+            "ids": pa.array([ids.astype("<i8").tobytes()]), "rows": pa.array([rows.astype("<f4").tobytes()])})
+
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        vectors = batch.column(1)
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        for dimension in np.unique(sizes).tolist():
+            chosen = np.flatnonzero(sizes == dimension)
+            values = vectors.take(pa.array(chosen)).flatten().to_numpy(zero_copy_only=False).reshape(len(chosen), dimension)
+            for low in range(0, len(chosen), size):
+                some = chosen[low:low + size]
+                place = waiting.setdefault(dimension, ([], []))
+                place[0].append(ids[some])
+                place[1].append(values[low:low + size])
+                held[dimension] = held.get(dimension, 0) + len(some)
+                if held[dimension] >= size:
+                    yield block(dimension)
+    for dimension in list(waiting):
+        yield block(dimension)
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of (id, vector) packed into blocks where they lie."""
+    return rows.mapInArrow(lambda batches: _pack_blocks(size, batches), "dimension int, block long, ids binary, rows binary")
+
+
+def _best_of_pairs(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best k of every query over the pairs of blocks that follow each other, one matrix product a pair."""
+    open_, query_ids = None, np.zeros(0, np.int64)
+    best: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def found() -> pa.RecordBatch:
+        counts = [len(ids) for _, ids in best]
+        return pa.RecordBatch.from_pydict({
+            "query_id": pa.array(np.repeat(query_ids, counts), pa.int64()),
+            "event_id": pa.array(np.concatenate([ids for _, ids in best]), pa.int64()),
+            "score": pa.array(np.concatenate([scores for scores, _ in best]), pa.float32())})
+
+    for batch in batches:
+        dimensions, blocks = (batch.column(c).to_pylist() for c in (0, 1))
+        for row, (dimension, block) in enumerate(zip(dimensions, blocks, strict=True)):
+            if block != open_:
+                if open_ is not None:
+                    yield found()
+                open_ = block
+                query_ids = np.frombuffer(batch.column(2)[row].as_buffer(), "<i8")
+                matrix = np.frombuffer(batch.column(3)[row].as_buffer(), "<f4").reshape(-1, dimension).astype(np.float64)
+                best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(query_ids)
+            ids = np.frombuffer(batch.column(4)[row].as_buffer(), "<i8")
+            vectors = np.frombuffer(batch.column(5)[row].as_buffer(), "<f4").reshape(-1, dimension)
+            scores = cosine_scores(vectors, matrix)
+            for q in range(len(query_ids)):
+                held, names = best[q]
+                if len(held) == k and scores[q].max() < held[-1]:
+                    continue
+                top = _best(scores[q], ids, k)
+                held, names = np.concatenate([held, scores[q][top]]), np.concatenate([names, ids[top]])
+                keep = _best(held, names, k)
+                best[q] = held[keep], names[keep]
+    if open_ is not None:
+        yield found()
+
+
 def semantic_search_many(
-    queries: DataFrame, events: DataFrame, k: int = 10, block: int = QUERY_BLOCK
+    queries: DataFrame, events: DataFrame, k: int = 10, block: int = BLOCK, grid: int | None = None
 ) -> DataFrame:
     """For every row ``query_id, vector`` the ids of its ``k`` nearest events, ranked from 1.
 
-    Query vectors go to the tasks in blocks of about ``block``, one pass over
-    the events per block, so that what is sent never grows with the queries.
+    Queries and events are packed into blocks where they lie, and the blocks dealt over a
+    grid of ``grid`` by ``grid`` cells (as many cells as shuffle partitions, if not given):
+    a block of queries goes to all cells of a row, a block of events to all of a column, and
+    every pair of blocks meets in one cell, by an equal key. A cell keeps the best ``k`` of a
+    block of queries at a time. Nothing passes the driver, and the plan is the same for any
+    number of queries.
     """
     check_limit(k)
     spark = events.sparkSession
-    result = spark.createDataFrame([], "query_id long, rank int, event_id long")
     if k == 0:
-        return result
-    sized = queries.select(
-        F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector")
-    ).filter(F.size("vector") > 0)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("event_id"))
-    dimensions = sized.groupBy(F.size("vector").alias("dimension")).count().collect()
-    for dimension, count in sorted(dimensions):
-        passes = -(-count // block)
-        for part in range(passes):
-            rows = (
-                sized.filter(F.size("vector") == dimension)
-                .filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part)
-                .collect()
-            )
-            if not rows:
-                continue
-            found = _candidates(
-                events.select("event_id", "embedding"), [(r.query_id, r.vector) for r in rows], k
-            )
-            ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-            result = result.unionByName(ranked.select("query_id", "rank", "event_id"))
-    return result
+        return spark.createDataFrame([], "query_id long, rank int, event_id long")
+    wide = grid or max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    vector = lambda df, key, c: df.select(
+        F.col(key).cast("long").alias("id"), F.col(c).cast("array<float>").alias("vector")).filter(F.size("vector") > 0)
+    dealt = F.pmod(F.xxhash64("block"), F.lit(wide)).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))
+    asked = _blocks(vector(queries, "query_id", "vector"), block).select(
+        "dimension", "block", F.col("ids").alias("query_ids"), F.col("rows").alias("queries"), dealt.alias("_row"),
+        everywhere.alias("_column"))
+    there = _blocks(vector(events, "event_id", "embedding"), block).select(
+        "dimension", "ids", "rows", dealt.alias("_column"), everywhere.alias("_row"))
+    pairs = asked.join(there.hint("merge"), ["dimension", "_row", "_column"]).select(
+        "dimension", "block", "query_ids", "queries", "ids", "rows")
+    found = pairs.mapInArrow(lambda batches: _best_of_pairs(k, batches), "query_id long, event_id long, score float")
+    ranked = top_per_group(found, ["query_id"], [F.desc("score"), F.asc("event_id")], k)
+    return ranked.select("query_id", "rank", "event_id")

@@ -20,11 +20,11 @@ from timelens.operators import embedding as em
 from timelens.operators import events as ev
 from timelens.operators import ingest, rates as ra, semantic, system as sy, temporal_joins as tj
 from timelens.plans import state, tools
-from timelens.schemas import EVENTS, PROCESSES, SAMPLES, conform
+from timelens.schemas import EVENTS, PROCESSES, SAMPLES, conform, with_host
 from timelens.session import configure, shared_dir
 from timelens.sources import adapters as ad
 from timelens.sources.journal import parse_journal
-from timelens.sources.tables import append_events, read_table
+from timelens.sources.tables import append_events, append_load, read_table
 from timelens.streaming import enrich, feeds, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +516,36 @@ def stored_events_search(spark, d):
     return hits.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _stored(spark, rows: DataFrame, schema) -> DataFrame:
+    """The rows as a table kept by day."""
+    folder = _folder(spark, "stored")
+    append_load(conform(rows, schema), folder, 0)
+    return read_table(spark, folder, with_host(schema) if "host" in rows.columns else schema)
+
+
+def _untimed(rows: DataFrame) -> DataFrame:
+    return rows.drop("date", "load_id", "embedding").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stored_events_latest(spark, d):
+    """The newest events of a table stored by day, which reads no more days than it takes."""
+    return _untimed(ev.latest_events(_stored(spark, ad.journal_events(spark, d), EVENTS), 200))
+
+
+@query
+def stored_sample_at_fleet(spark, d):
+    """Every host's sample as of a past moment, from stored days, walked until no host is missing."""
+    samples = ad.samples(spark, d, fleet=True)
+    return _untimed(sy.sample_at(_stored(spark, samples, SAMPLES), PAST, ["host"], samples.select("host")))
+
+
+@query
+def stored_top_mem(spark, d):
+    """The heaviest processes of the newest stored batch."""
+    return _untimed(sy.top_processes(_stored(spark, ad.processes(spark, d), PROCESSES), "mem", 7))
+
+
 @query
 def stream_samples(spark, d):
     """Readings through the sample feed, which keeps the first of every hour."""

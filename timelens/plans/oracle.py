@@ -380,3 +380,6 @@ SQL: dict[str, str] = {
         FROM tick JOIN shown USING (event_type, batch, hour)
         QUALIFY row_number() OVER (PARTITION BY event_type, batch, hour ORDER BY value DESC, event_id) <= 5""",
 }
+SQL["stored_events_latest"] = SQL["events_latest"].replace("LIMIT 20", "LIMIT 200")
+SQL["stored_sample_at_fleet"] = SQL["system_sample_at_fleet"]
+SQL["stored_top_mem"] = SQL["system_top_mem"]

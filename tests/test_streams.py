@@ -235,3 +235,36 @@ def test_live_view_without_host_and_with_missing_counters(spark, tmp_path):
     assert "host" not in rows[0].asDict()
     assert [(r.disk_read, r.mem_used) for r in rows] == [(0, big), (big, big), (big + 4, big)]
     assert [r.disk_read_rate for r in rows][2] == 2
+
+
+def process_line(host, seconds, pid, cpu):
+    return json.dumps({"host": host, "ts": str(at(seconds)), "pid": pid, "name": f"p{pid}", "cpu_pct": cpu, "mem_rss": pid * 10})
+
+
+def test_a_tick_cut_over_batches_is_shown_whole_in_the_end(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "views")
+    put(folder, "1", [process_line("a", 0, 1, 5.0), process_line("a", 0, 2, 4.0), process_line("b", 0, 7, 1.0)], 500)
+    put(folder, "2", [process_line("a", 0, 3, 9.0), process_line("a", -60, 8, 99.0), process_line("b", 0, 7, 1.0)], 400)
+    put(folder, "3", [process_line("a", 0, 4, 0.5)], 300)  # not among the first three
+    put(folder, "4", [process_line("a", 60, 5, 1.0), process_line("a", 0, 6, 50.0)], 200)
+    put(folder, "5", [process_line("a", 0, 9, 70.0), process_line("a", 60, 1, 2.0)], 100)
+    schema = "host string, ts timestamp, pid int, name string, cpu_pct double, mem_rss long"
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+    def run():
+        (live.live_processes(rows, 3).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+
+    run()
+    views = spark.read.parquet(out)
+    got = {}
+    for r in views.collect():
+        got.setdefault((r.host, r.ts, r.revision), []).append((r.cpu_pct, r.pid))
+    assert {k: [p for _, p in sorted(v, reverse=True)] for k, v in got.items()} == {
+        ("a", T0, 0): [1, 2], ("a", T0, 1): [3, 1, 2], ("b", T0, 0): [7], ("a", at(60), 0): [5], ("a", at(60), 1): [1, 5]}
+    last = live.newest_revisions(views)
+    assert {(r.host, r.ts, r.pid) for r in last.collect()} == {
+        ("a", T0, 1), ("a", T0, 2), ("a", T0, 3), ("b", T0, 7), ("a", at(60), 1), ("a", at(60), 5)}
+    put(folder, "6", [process_line("a", 60, 2, 3.0)], 50)  # the state outlives a restart
+    run()
+    assert {(r.pid, r.revision) for r in spark.read.parquet(out).filter("revision = 2").collect()} == {(2, 2), (1, 2), (5, 2)}

@@ -8,7 +8,7 @@ are plain equi-joins that adaptive execution can broadcast or split.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -23,48 +23,54 @@ from timelens.operators.topk import check_limit, top_per_group
 BAND_WIDTH = 60  # seconds
 
 
-def as_of_times(
+def resolve_times(
     points: DataFrame,
-    series: DataFrame,
+    series: Mapping[str, DataFrame],
     by: Sequence[str],
     at: str = "at",
     ts: str = "ts",
     strict: bool = False,
     width: Duration = WIDTH,
-    into: str = "as_of",
 ) -> DataFrame:
-    """For each distinct ``(by, at)`` the latest ``ts`` at or before it, as ``into``.
+    """For each distinct ``(by, at)`` the latest ``ts`` at or before it of every series, under the series' name.
 
-    Points with no earlier row get NULL. ``strict`` leaves out an equal ``ts``.
+    Points and rows of all series are stacked as marks of a bucket, equal ones once, and one
+    sweep over each bucket carries all the latest times along; one row per bucket carries them on to
+    the next. Points with no earlier row of a series get NULL there. ``strict`` leaves out
+    an equal ``ts``.
     """
-    points = bucketed(points.select(*by, F.col(at).alias("_t")).distinct(), "_t", width)
-    times = bucketed(series.select(*by, F.col(ts).alias("_t")), "_t", width)
-    keys = [*by, "_bucket"]
-    no_time = F.lit(None).cast(series.schema[ts].dataType)
-
-    # Only buckets with points need their rows in order.
-    asked = points.select(*keys).distinct()
-    near = times.join(asked, keys, "left_semi").distinct()
-    marks = points.select(*keys, "_t", no_time.alias("_seen"), F.lit(True).alias("_point")).unionByName(
-        near.select(*keys, "_t", F.col("_t").alias("_seen"), F.lit(False).alias("_point"))
-    )
+    names, keys = list(series), [*by, "_bucket"]
+    no_time = {n: F.lit(None).cast(rows.schema[ts].dataType) for n, rows in series.items()}
+    marks = points.select(*by, F.col(at).alias("_t"), F.lit(True).alias("_point"), *[c.alias(n) for n, c in no_time.items()])
+    for name, rows in series.items():
+        marks = marks.unionByName(rows.select(
+            *by, F.col(ts).alias("_t"), F.lit(False).alias("_point"),
+            *[(F.col(ts) if n == name else c).alias(n) for n, c in no_time.items()]))
+    once = bucketed(marks, "_t", width).groupBy(*keys, "_t", "_point").agg(*[F.max(n).alias(n) for n in names])
     # At equal times the series row comes first, unless it must not count.
     side = F.col("_point") if not strict else ~F.col("_point")
-    inside = marks.withColumn("_side", side).withColumn(
-        "_inside", F.max("_seen").over(inside_buckets(by, ["_t", "_side"]))
-    )
+    sweep = inside_buckets(by, ["_t", "_side"])
+    swept = once.withColumn("_side", side).select(
+        *keys, "_t", "_point", *names, *[F.max(n).over(sweep).alias(f"_in_{n}") for n in names])
+    totals = swept.groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, *[F.max(n).over(earlier).alias(f"_before_{n}") for n in names])
+    return join_buckets(swept.filter("_point").drop(*names), before, by).select(
+        *by, F.col("_t").alias(at), *[F.coalesce(f"_in_{n}", f"_before_{n}").alias(n) for n in names])
 
-    latest = times.groupBy(*keys).agg(F.max("_t").alias("_total"))
-    totals = (
-        latest.unionByName(asked.withColumn("_total", no_time))
-        .groupBy(*keys)
-        .agg(F.max("_total").alias("_total"))
-    )
-    before = before_buckets(totals, by, "_total", F.max).join(asked, keys, "left_semi")
-    return (
-        join_buckets(inside.filter("_point"), before, by)
-        .select(*by, F.col("_t").alias(at), F.coalesce("_inside", "_before").alias(into))
-    )
+
+def as_of_times(
+    points: DataFrame,
+    series: DataFrame,
+    by: Sequence[str],
+    at: str = "at",
+    ts: str = "ts",
+    strict: bool = False,
+    width: Duration = WIDTH,
+    into: str = "as_of",
+) -> DataFrame:
+    """For each distinct ``(by, at)`` the latest ``ts`` at or before it, as ``into``."""
+    return resolve_times(points, {into: series}, by, at, ts, strict, width)
 
 
 def as_of_join(

@@ -629,12 +629,22 @@ def stream_live(spark, d):
         "host", "ts", "cpu_pct", "mem_used", "disk_read", "disk_read_rate", F.size("recent").alias("n"))
 
 
-@query
-def stream_live_processes(spark, d):
-    """The five processes with most CPU of each host's newest hour, over four refreshes."""
+def _live_processes(spark, d, unit: str) -> DataFrame:
     folder = _folder(spark, "top")
     rows = _stream(spark, folder, ad.table(spark, d, "events")).select(
-        F.col("event_type").alias("host"), F.date_trunc("hour", "ts").alias("ts"), F.col("event_id").alias("pid"),
+        F.col("event_type").alias("host"), F.date_trunc(unit, "ts").alias("ts"), F.col("event_id").alias("pid"),
         F.col("event_type").alias("name"), F.col("value").alias("cpu_pct"), F.col("user_id").alias("mem_rss"),
     )
-    return _views(live.live_processes(rows), folder, "views").select("host", "ts", "pid", "cpu_pct", "mem_rss")
+    return _views(live.live_processes(rows), folder, "views").select("host", "ts", "pid", "cpu_pct", "mem_rss", "revision")
+
+
+@query
+def stream_live_processes(spark, d):
+    """The five processes with most CPU of each host's newest hour, over four refreshes."""
+    return _live_processes(spark, d, "hour")
+
+
+@query
+def stream_live_processes_cut(spark, d):
+    """The same of each day; days cut over refreshes are shown anew as their readings come."""
+    return _live_processes(spark, d, "day")

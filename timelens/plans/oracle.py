@@ -371,15 +371,31 @@ SQL: dict[str, str] = {
         SELECT event_type AS host, ts, value AS cpu_pct, user_id AS mem_used, event_id * 7 AS disk_read,
           CASE WHEN sec > 0 AND event_id * 7 > was THEN CAST(trunc((event_id * 7 - was) / sec) AS BIGINT) ELSE 0 END AS disk_read_rate,
           CAST(n AS INTEGER) AS n FROM before""",
-    "stream_live_processes": f"""WITH {REFRESHES},
-        tick AS (SELECT *, date_trunc('hour', ts) AS hour FROM src),
-        newest AS (SELECT event_type, batch, max(hour) AS hour FROM tick GROUP BY ALL),
-        shown AS (SELECT * FROM newest QUALIFY coalesce(hour > max(hour) OVER (PARTITION BY event_type ORDER BY batch
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true))
-        SELECT event_type AS host, hour AS ts, CAST(event_id AS INTEGER) AS pid, value AS cpu_pct, user_id AS mem_rss
-        FROM tick JOIN shown USING (event_type, batch, hour)
-        QUALIFY row_number() OVER (PARTITION BY event_type, batch, hour ORDER BY value DESC, event_id) <= 5""",
 }
+
+
+def _live_processes(unit: str) -> str:
+    """What is shown of each host's newest tick after every refresh that changes it."""
+    return f"""WITH {REFRESHES},
+        tick AS (SELECT *, date_trunc('{unit}', ts) AS tick FROM src),
+        newest AS (SELECT event_type, batch, max(tick) AS tick FROM tick GROUP BY ALL),
+        opened AS (SELECT * FROM newest QUALIFY coalesce(tick >= max(tick) OVER (PARTITION BY event_type ORDER BY batch
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+        tops AS (SELECT o.event_type, o.batch, o.tick, t.event_id, t.value, t.user_id,
+              row_number() OVER (PARTITION BY o.event_type, o.batch, o.tick ORDER BY t.value DESC, t.event_id) AS place
+            FROM opened o JOIN opened p ON p.event_type = o.event_type AND p.tick = o.tick AND p.batch <= o.batch
+            JOIN tick t ON t.event_type = p.event_type AND t.batch = p.batch AND t.tick = p.tick QUALIFY place <= 5),
+        lists AS (SELECT event_type, batch, tick, list(event_id ORDER BY place) AS ids FROM tops GROUP BY ALL),
+        changed AS (SELECT *, row_number() OVER (PARTITION BY event_type, tick ORDER BY batch) - 1 AS revision FROM (
+            SELECT *, lag(ids) OVER (PARTITION BY event_type, tick ORDER BY batch) AS before FROM lists)
+            WHERE before IS NULL OR ids <> before)
+        SELECT event_type AS host, CAST(tick AS TIMESTAMP) AS ts, CAST(event_id AS INTEGER) AS pid, value AS cpu_pct,
+          user_id AS mem_rss, CAST(revision AS INTEGER) AS revision
+        FROM tops JOIN changed USING (event_type, batch, tick)"""
+
+
+SQL["stream_live_processes"] = _live_processes("hour")
+SQL["stream_live_processes_cut"] = _live_processes("day")
 SQL["stored_events_latest"] = SQL["events_latest"].replace("LIMIT 20", "LIMIT 200")
 SQL["stored_sample_at_fleet"] = SQL["system_sample_at_fleet"]
 SQL["stored_top_mem"] = SQL["system_top_mem"]

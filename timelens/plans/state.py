@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from timelens.functions.columns import mem_pct, percent_band
@@ -15,10 +16,9 @@ from timelens.operators.rates import (
     window_rows, within_gap,
 )
 from timelens.operators.system import metric_order
-from timelens.operators.temporal_joins import as_of_times
+from timelens.operators.temporal_joins import as_of_times, resolve_times
 from timelens.operators.topk import top_per_group
 from timelens.schemas import COUNTERS
-from timelens.session import settled
 
 TOP_SHOWN = 5
 EVENTS_SHOWN = 10
@@ -33,6 +33,7 @@ def sample_views(
     max_gap: Duration | None = HISTORY_GAP,
     history_seconds: Duration = HISTORY_SECONDS,
     trend_seconds: Duration = TREND_SECONDS,
+    previous: DataFrame | None = None,
 ) -> DataFrame:
     """Everything shown of the samples at ``(by, as_of)``: one row each.
 
@@ -40,12 +41,15 @@ def sample_views(
     ``trends``, its trend window with ``disk`` and ``net`` scaled to
     ``disk_peak`` and ``net_peak`` (empty below two samples). One join brings
     each point the samples of its window, one aggregate makes all of it.
+    Without ``max_gap`` rates reach back to the sample before, however old;
+    ``previous`` has the times of those, where they are known.
     """
     reach = max(to_micros(history_seconds), to_micros(trend_seconds), to_micros(max_gap or 0)) / 1e6
     near = near_windows(samples, points, by, "as_of", reach)
     if max_gap is None:
-        # Rates of the points themselves reach back to the sample before, however old.
-        before = as_of_times(points, samples, by, "as_of", strict=True, into="ts").select(*by, "ts")
+        before = previous
+        if before is None:
+            before = as_of_times(points, samples, by, "as_of", strict=True, into="ts").select(*by, "ts")
         near = near.unionByName(samples.join(before.distinct(), [*by, "ts"], "left_semi")).distinct()
     rows = window_rows(points, rates(near, by), by, "as_of", reach)
 
@@ -130,13 +134,12 @@ def state_at(
 
     Cursors are reduced to distinct moments, those to distinct samples and
     distinct process batches; windows, trends and tops are made once for each
-    of these, and joined back last. Which sample and batch a moment falls on
-    is computed when this is called, and kept.
+    of these, and joined back last. One sweep over cursors, samples and
+    batches finds which sample and which batch a moment falls on; no job runs
+    before the result is asked for.
     """
-    points = cursors.select(*by, at).distinct()
-    on_sample = as_of_times(points, samples, by, at).filter(F.col("as_of").isNotNull())
-    on_batch = as_of_times(points, processes, by, at, into="batch_ts")
-    moments = settled(on_sample.join(on_batch, [*by, at]))
+    moments = resolve_times(cursors, {"as_of": samples, "batch_ts": processes}, by, at).filter(
+        F.col("as_of").isNotNull()).persist(StorageLevel.DISK_ONLY)
     sampled = sample_views(
         moments.select(*by, "as_of").distinct(), samples, by, max_gap, history_seconds, trend_seconds
     )
@@ -158,8 +161,10 @@ def live_snapshot(
 ) -> DataFrame:
     """The newest state (per series): rates against the sample before it, however old,
     and the top of the newest process batch, whatever its time."""
-    newest = samples.groupBy(*by).agg(F.max("ts").alias("as_of")).filter(F.col("as_of").isNotNull())
-    view = sample_views(newest, samples, by, max_gap=None, trend_seconds=trend_seconds)
+    two = top_per_group(samples.filter(F.col("ts").isNotNull()).select(*by, "ts"), by, [F.desc("ts")], 2)
+    newest = two.filter("rank = 1").select(*by, F.col("ts").alias("as_of"))
+    before = two.filter("rank = 2").select(*by, "ts")
+    view = sample_views(newest, samples, by, max_gap=None, trend_seconds=trend_seconds, previous=before)
     batch = processes.groupBy(*by).agg(F.max("ts").alias("batch_ts")).filter(F.col("batch_ts").isNotNull())
     topped = batch_views(batch, processes, by, top)
     if by:

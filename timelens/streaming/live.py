@@ -93,25 +93,54 @@ def live_view(samples: DataFrame) -> DataFrame:
 # Fixed value: processes shown.
 SHOWN_PROCESSES = 5
 
-_TOP = "host string, ts timestamp, pid int, name string, cpu_pct double, mem_rss long"
+_TOP = "host string, ts timestamp, pid int, name string, cpu_pct double, mem_rss long, revision int"
+_OPEN = "ts timestamp, revision int, pids array<int>, names array<string>, cpus array<double>, rss array<long>"
 
 
 def _heaviest(frames: Iterable[pd.DataFrame], limit: int) -> pd.DataFrame | None:
-    """The first ``limit`` processes of each host's newest tick, or None."""
+    """The first ``limit`` processes of each host's newest tick, or None; of a pid the row with most CPU."""
     kept = None
     for frame in frames:
         if len(frame):
             both = frame if kept is None else pd.concat([kept, frame])
             newest = both[both["ts"] == both.groupby("host")["ts"].transform("max")]
-            kept = newest.sort_values(["cpu_pct", "pid"], ascending=[False, True]).groupby("host").head(limit)
+            order = newest.sort_values(["cpu_pct", "pid", "mem_rss", "name"], ascending=[False, True, False, True])
+            kept = order.drop_duplicates(["host", "pid"]).groupby("host").head(limit)
     return kept
 
 
+def _refresh_top(limit: int, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The open tick with what has come of it since; shown anew if that changes it."""
+    found = _heaviest(frames, limit)
+    if found is None:
+        return
+    columns = ["pid", "name", "cpu_pct", "mem_rss"]
+    revision = 0
+    if state.exists:
+        ts, revision, *held = state.get
+        shown = pd.DataFrame(dict(zip(columns, map(list, held), strict=True)))
+        if found["ts"].iloc[0] < pd.Timestamp(ts):
+            return  # of a tick that another has followed
+        if found["ts"].iloc[0] == pd.Timestamp(ts):
+            shown["host"], shown["ts"] = key[0], found["ts"].iloc[0]
+            found = _heaviest([shown, found[shown.columns]], limit)
+            if found[columns].reset_index(drop=True).astype(object).equals(shown[columns].astype(object)):
+                return
+            revision += 1
+        else:
+            revision = 0
+    state.update((found["ts"].iloc[0].to_pydatetime(), revision, *[found[c].tolist() for c in columns]))
+    yield found.assign(revision=revision)[["host", "ts", *columns, "revision"]]
+
+
 def live_processes(processes: DataFrame, limit: int = SHOWN_PROCESSES) -> DataFrame:
-    """A stream of the ``limit`` processes with most CPU, of each tick newer than the one shown before.
+    """A stream of the ``limit`` processes with most CPU of each host's newest tick.
 
-    A tick's processes come in one micro-batch; rows of it that come later do
-    not change what was shown. Only ``limit`` rows per host leave a task.
+    The state holds the processes shown of the open tick. Rows of it that a later
+    micro-batch brings are merged with them, and if that changes what is
+    shown, the whole tick comes out again as the next ``revision`` (0 is the first). A
+    newer tick closes it. A process that comes twice in a tick counts by its row with most CPU. Only
+    ``limit`` rows per host leave a task, and as many are kept.
     """
     by_host = "host" in processes.columns
     rows = processes.filter(F.col("name").isNotNull()).select(
@@ -125,12 +154,15 @@ def live_processes(processes: DataFrame, limit: int = SHOWN_PROCESSES) -> DataFr
             yield found
 
     def show(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found = _heaviest(frames, limit)
-        if found is None or state.exists and found["ts"].iloc[0] <= pd.Timestamp(state.get[0]):
-            return
-        state.update((found["ts"].iloc[0].to_pydatetime(),))
-        yield found
+        return _refresh_top(limit, key, frames, state)
 
     top = rows.mapInPandas(of_task, rows.schema).groupBy("host").applyInPandasWithState(
-        show, _TOP, "ts timestamp", "append", GroupStateTimeout.NoTimeout)
+        show, _TOP, _OPEN, "append", GroupStateTimeout.NoTimeout)
     return top if by_host else top.drop("host")
+
+
+def newest_revisions(views: DataFrame) -> DataFrame:
+    """Of written views of ticks the last revision of each."""
+    by = [c for c in ("host", "ts") if c in views.columns]
+    last = views.groupBy(*by).agg(F.max("revision").alias("revision"))
+    return views.join(last, [*by, "revision"], "left_semi")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timelens.functions.columns import embedding_text
-from timelens.functions.records import let
 from timelens.operators.events import pending_events
 
 # Reads column `text`, adds column `embedding` (array<float>); NULL or an empty
@@ -24,22 +27,34 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     A stand-in for a model: it needs no network, and texts with the same
     words are near each other. A word's place is that of the first 32 bits of
     its MD5, which any engine computes; a text without words has no vector.
-    """
-
-    slots = F.sequence(F.lit(0), F.lit(dimensions - 1))
 
-    def counts(places: Column) -> Column:
-        return F.transform(slots, lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    Words are counted over the flat word list of an Arrow batch: each different word is
+    hashed once, and one count over (text, place) makes all vectors.
+    """
 
-    def scaled(found: Column) -> Column:
-        squares = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + c * c)
-        return let(F.sqrt(squares), lambda length: F.when(
-            length > 0, F.transform(found, lambda c: (c / length).cast("float"))))
+    @F.arrow_udf("array<float>")
+    def vectors(words: pa.Array) -> pa.Array:
+        words = pa.chunked_array([words]).combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        places = np.array(
+            [int(md5(w.encode()).hexdigest()[:8], 16) % dimensions if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        place = places[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)[place >= 0]
+        counts = np.bincount(row * dimensions + place[place >= 0], minlength=len(lengths) * dimensions)
+        counts = counts.reshape(-1, dimensions).astype(np.float64)
+        length = np.sqrt((counts * counts).sum(axis=1))
+        some = length > 0
+        unit = (counts[some] / length[some, None]).astype(np.float32)
+        ends = np.concatenate([[0], np.cumsum(some)]) * dimensions
+        return pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(unit.ravel()), mask=pa.array(~some))
+
+    # A filter on what a function gives would have it called twice, were it not for this mark.
+    once = vectors.asNondeterministic()
 
     def embed(df: DataFrame) -> DataFrame:
-        words = F.filter(F.split(F.lower("text"), r"\s"), lambda w: w != "")
-        places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions)
-        return df.withColumn("embedding", let(places, lambda p: let(counts(p), scaled)))
+        return df.withColumn("embedding", once(F.split(F.lower("text"), r"\s")))
 
     return embed
 

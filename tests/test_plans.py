@@ -146,3 +146,16 @@ def test_top_k_does_not_sort_everything(stored):
 def test_rates_stay_in_the_jvm_and_off_single_tasks(stored):
     text = plan(ra.rates(stored[1].withColumn("host", F.col("cpu_pct").cast("string")), ["host"]))
     assert "Python" not in text and "SinglePartition" not in text and "NestedLoop" not in text
+
+
+def test_state_at_runs_no_job_before_it_is_asked(spark):
+    cursors = spark.createDataFrame([(at(5),), (at(65),)], "at timestamp")
+    rows = samples(spark, [(0, 1.0), (60, 2.0)])
+    found = processes(spark, [(0, 1, "a", 1.0, 1), (60, 2, "b", 2.0, 1)])
+    spark.sparkContext.setJobGroup("asked", "state_at")
+    try:
+        view = state.state_at(cursors, rows, found)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("asked")
+        assert [r.cpu_pct for r in view.orderBy("at").collect()] == [1.0, 2.0]
+    finally:
+        spark.sparkContext.setJobGroup("tests", "")

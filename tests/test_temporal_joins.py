@@ -121,3 +121,18 @@ def test_no_pair_join_and_no_broken_plans(spark):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_one_sweep_resolves_several_series(spark, strict):
+    rng = random.Random(4)
+    times = {n: [(h, rng.choice([0, 1, 299, 300, 301, 4000, 90_000]) + rng.randint(0, 5)) for h in "abc" for _ in range(9)] for n in ("s", "p")}
+    times["p"] = [t for t in times["p"] if t[0] != "c"] * 2  # none of one host, all rows twice
+    asked = [(h, rng.randint(-5, 5) + rng.choice([0, 300, 4000, 90_000, 200_000])) for h in "abcd" for _ in range(12)] * 2
+    frame = lambda rows, c: spark.createDataFrame([(h, at(t)) for h, t in rows], f"host string, {c} timestamp").repartition(3)
+    got = tj.resolve_times(frame(asked, "at"), {n: frame(t, "ts") for n, t in times.items()}, ["host"], strict=strict).collect()
+    assert len(got) == len(set(asked))
+    want = lambda n, h, t: max((x for k, x in times[n] if k == h and (x < t if strict else x <= t)), default=None)
+    shown = lambda t: None if t is None else at(t)
+    assert {(r.host, r.at): (r.s, r.p) for r in got} == {
+        (h, at(t)): (shown(want("s", h, t)), shown(want("p", h, t))) for h, t in asked}

@@ -18,13 +18,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timelens.operators.ingest import add_tick_sums, first_wins, tick_sums, top_per_tick
 from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform, series_key, with_host
+from timelens.sources.follow import follow_lines
 from timelens.sources.journal import typed_lines
 from timelens.sources.tables import append_events, append_first_wins, append_load, number_rows, read_table
 
-# Seconds between flushes, and before a failed feed starts again.
+# Seconds between flushes, rows that are flushed at once, seconds before a failed feed starts again.
 FLUSH_SECONDS = 2
+FLUSH_ROWS = 200
 RESTART_SECONDS = 5
 
+POLL_SECONDS = 0.2
+"""How often a feed that flushes by rows or time looks for new lines."""
+
 
 def line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Journal export files appearing in a folder: ``value`` and ``arrived``."""
@@ -52,14 +57,15 @@ def start(
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
     once: bool = False,
+    every: float = FLUSH_SECONDS,
 ) -> StreamingQuery:
-    """Run ``write`` on every micro-batch; ``once`` takes what is there and stops.
+    """Run ``write`` on every micro-batch, ``every`` so many seconds; ``once`` takes what is there and stops.
 
     ``checkpoint`` is the feed's own folder, the same at every start, where it
     goes on after a stop or a failure.
     """
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if once else {"processingTime": f"{FLUSH_SECONDS} seconds"}
+    trigger = {"availableNow": True} if once else {"processingTime": f"{round(every * 1000)} milliseconds"}
     return writer.foreachBatch(write).trigger(**trigger).start()
 
 
@@ -81,7 +87,8 @@ def run_forever(begin: Callable[[], StreamingQuery], pause: float = RESTART_SECO
 
 
 def ingest_journal(
-    lines: DataFrame, events_path: str, checkpoint: str, rejects_path: str | None = None, once: bool = False
+    lines: DataFrame, events_path: str, checkpoint: str, rejects_path: str | None = None, once: bool = False,
+    every: float = FLUSH_SECONDS,
 ) -> StreamingQuery:
     """Lines to typed events, appended; rejected lines go to their own folder.
 
@@ -105,7 +112,30 @@ def ingest_journal(
         finally:
             lines_of_batch.unpersist()
 
-    return start(lines, "journal", write, checkpoint, once)
+    return start(lines, "journal", write, checkpoint, once, every)
+
+
+def ingest_flushed(
+    spark: SparkSession, path: str, events_path: str, checkpoint: str, rejects_path: str | None = None,
+    rows: int = FLUSH_ROWS, wait: float = FLUSH_SECONDS, **options,
+) -> StreamingQuery:
+    """Growing journal files to events, a load as soon as ``rows`` lines wait in a file, or the first for ``wait`` seconds.
+
+    A load holds at most ``rows`` lines of each file, as each machine's collector flushes
+    by itself. ``options`` are those of `follow_lines`.
+    """
+    lines = follow_lines(spark, path, rows=rows, wait=wait, **options)
+    return ingest_journal(lines, events_path, checkpoint, rejects_path, every=POLL_SECONDS)
+
+
+def drain(query: StreamingQuery, wait: float = FLUSH_SECONDS) -> None:
+    """Stop a feed once it has written all that is there, also lines that still wait for more."""
+    try:
+        query.processAllAvailable()
+        time.sleep(wait + POLL_SECONDS)
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def _numbered(batch: DataFrame) -> DataFrame:
@@ -115,12 +145,22 @@ def _numbered(batch: DataFrame) -> DataFrame:
     return batch.withColumn("ingest_seq", F.monotonically_increasing_id())
 
 
-def ingest_samples(samples: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def ingest_samples(
+    samples: DataFrame, path: str, checkpoint: str, once: bool = False, within: str | None = None
+) -> StreamingQuery:
     """Samples to the table; of two for one tick the first stays.
 
     An ``ingest_seq`` column of the feed decides which came first; without one
     it is the order of batch, task and row.
+
+    ``within``, an interval such as ``"1 hour"``, is for feeds that may deliver a sample
+    again, but no later than that behind the newest. Ticks seen are then kept in the
+    query's state for that long, and the stored table is never read. A row that comes
+    later than that is dropped and counted in the query's progress; of different rows
+    for one tick in one micro-batch any may stay.
     """
+    if within is not None:
+        return _ingest_bounded(samples, path, checkpoint, once, within)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = _numbered(batch).persist()
@@ -132,6 +172,16 @@ def ingest_samples(samples: DataFrame, path: str, checkpoint: str, once: bool =
     return start(samples, "samples", write, checkpoint, once)
 
 
+def _ingest_bounded(samples: DataFrame, path: str, checkpoint: str, once: bool, within: str) -> StreamingQuery:
+    key = [*series_key(samples), *SAMPLE_KEY]
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_load(conform(batch, SAMPLES), path, batch_id, key)
+
+    return start(timed.dropDuplicatesWithinWatermark(key), "samples", write, checkpoint, once)
+
+
 ARRIVAL = ["load_id", "ingest_seq"]
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timelens.operators.rates import rates
-from timelens.operators.embedding import hashing_embedder
-from timelens.schemas import EVENTS, SAMPLES
-from timelens.sources.tables import append_events, read_table
+from timelens.operators.embedding import hashing_embedder, with_embeddings
+from timelens.schemas import EVENTS, SAMPLES, with_host
+from timelens.sources.tables import append_events, number_rows, read_table
 from timelens.streaming import enrich, feeds, live
 
 
@@ -221,6 +221,71 @@ def test_failed_embeddings_are_tried_with_the_next_batch(spark, tmp_path):
     assert load(1, "more") == [0, 1, 10]
 
 
+def test_the_queue_drains_and_waits(spark, tmp_path, monkeypatch):
+    side, table = str(tmp_path / "side"), str(tmp_path / "events")
+    now, failing, seen = [1_700_000_000], [True], []
+    monkeypatch.setattr(enrich.time, "time_ns", lambda: now[0] * 10**9)
+
+    def moody(texts):
+        seen.append(sorted(r.text for r in texts.collect()))
+        keep = F.lit(not failing[0]) | ~F.col("text").contains("hard")
+        return hashing_embedder(8)(texts).withColumn("embedding", F.when(keep, F.col("embedding")))
+
+    def load(number):
+        append_events(spark.createDataFrame([(10 + number, at(number), 6, "", "", 0, f"m{number}", None)], EVENTS)
+                      if number else spark.createDataFrame([(1, T0, 6, "", "", 0, "hard", None)], EVENTS), table, number)
+        stream = spark.readStream.schema(EVENTS).parquet(table)
+        enrich.embed_stream(stream, side, moody, str(tmp_path / "cp"), once=True, retry=10).awaitTermination()
+        return [(r.event_id, r.attempts, r.next_at.timestamp() - now[0]) for r in enrich.read_queue(spark, side, number).collect()]
+
+    assert load(0) == [(1, 1, 10)]
+    now[0] += 4
+    assert load(1) == [(1, 1, 6)]  # not due yet
+    now[0] += 6
+    assert load(2) == [(1, 2, 20)]
+    now[0], failing[0] = now[0] + 20, False
+    assert load(3) == []
+    assert load(4) == []
+    assert seen == [["hard"], ["m1"], ["hard", "m2"], ["hard", "m3"], ["m4"]]
+    assert enrich.read_embeddings(spark, side).count() == 5
+
+
+def test_numbers_go_on_and_the_ledger_stays_small(spark, tmp_path):
+    table = str(tmp_path / "events")
+
+    def numbers(load, rows):
+        return sorted(r.event_id for r in number_rows(spark.range(rows).repartition(2).persist(), table, load).collect())
+
+    firsts = [numbers(load, 3)[0] for load in range(7)]
+    assert firsts == [0, 3, 6, 9, 12, 15, 18]
+    assert numbers(6, 3) == [18, 19, 20]  # the last load, replayed
+    assert numbers(7, 2) == [21, 22]
+    assert len(list((tmp_path / "events-numbers").glob("slot=*"))) == 3
+
+
+def test_bounded_state_forgets_old_ticks(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "samples")
+    for i in range(6):
+        lines = [sample_line("a", 3600 * i + s, 1.0, 0) for s in range(10)]
+        again = [sample_line("a", 3600 * (i - 1), 1.0, 0)] if i else []
+        late = [sample_line("b", 60, 1.0, 0)] if i in (1, 5) else []  # inside the bound, and far behind it
+        put(folder, str(i), lines + again + late, 900 - 100 * i)
+    query = feeds.ingest_samples(sample_stream(spark, folder), table, str(tmp_path / "cp"), once=True, within="90 minutes")
+    query.awaitTermination()
+    progress = [json.loads(p.json)["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    # ten ticks of each of the four hours that the newest is at most three hours ahead of, and the late one
+    assert max(p["numRowsTotal"] for p in progress) <= 41
+    assert sum(p["numRowsDroppedByWatermark"] for p in progress) == 1
+    rows = [(r.host, r.ts) for r in read_table(spark, table, with_host(SAMPLES)).collect()]
+    assert len(rows) == len(set(rows)) == 61 and ("b", at(60)) in rows
+
+
+def test_the_latest_embedding_counts(spark):
+    events = spark.createDataFrame([(1, T0, 6, "", "", 0, "m", None)], EVENTS)
+    side = spark.createDataFrame([(1, [9.0], 1), (1, [2.0], 3), (1, [5.0], -7)], enrich.SIDE_TABLE.fieldNames())
+    assert [r.embedding for r in with_embeddings(events, side).collect()] == [[2.0]]
+
+
 def test_live_view_without_host_and_with_missing_counters(spark, tmp_path):
     folder = tmp_path / "in"
     big = 9007199254740993

@@ -82,9 +82,11 @@ def embed_pending(
 def with_embeddings(events: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Events with the embedding from the side table, where there is one.
 
-    An event embedded twice, by a feed and a catch-up run, counts once.
+    Of an event embedded more than once the latest load counts, as the side
+    table's ``load_id`` tells; without that column the greatest vector.
     """
-    side = embeddings.groupBy("event_id").agg(F.max("embedding").alias("_side"))
+    last = F.max_by("embedding", "load_id") if "load_id" in embeddings.columns else F.max("embedding")
+    side = embeddings.groupBy("event_id").agg(last.alias("_side"))
     if "embedding" not in events.columns:
         return events.join(side.withColumnRenamed("_side", "embedding"), "event_id", "left")
     return (

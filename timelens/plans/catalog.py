@@ -23,6 +23,7 @@ from timelens.plans import state, tools
 from timelens.schemas import EVENTS, PROCESSES, SAMPLES, conform, with_host
 from timelens.session import configure, shared_dir
 from timelens.sources import adapters as ad
+from timelens.sources.follow import follow_lines
 from timelens.sources.journal import parse_journal
 from timelens.sources.tables import append_events, append_load, read_table
 from timelens.streaming import enrich, feeds, live
@@ -506,6 +507,46 @@ def stream_journal(spark, d):
     )
 
 
+JOURNALS = 16
+
+
+def _journals(spark, d, folder: str) -> None:
+    """The journal lines as a file for each of a fleet's machines, in order."""
+    lines = ad.raw_lines(ad.table(spark, d, "events").withColumn("host", F.pmod("user_id", F.lit(JOURNALS))), "host")
+    (
+        lines.repartition(JOURNALS, "host").sortWithinPartitions("host", "event_id")
+        .select("host", "value").write.partitionBy("host").text(folder)
+    )
+
+
+def _journal_rows(spark, folder: str) -> DataFrame:
+    return read_table(spark, f"{folder}/events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_journal_followed(spark, d):
+    """Files followed by byte position: a first run stops in the middle of them, a second goes on from there."""
+    folder = _folder(spark, "followed")
+    _journals(spark, d, f"{folder}/in")
+    for most in (4001, 1 << 30):
+        feeds.ingest_journal(
+            follow_lines(spark, f"{folder}/in", most_bytes=most), f"{folder}/events", f"{folder}/checkpoint",
+            f"{folder}/rejects", once=True,
+        ).awaitTermination()
+    return _journal_rows(spark, folder).select("ts", "priority", "unit", "source", "pid", "message")
+
+
+@query
+def stream_journal_flushed(spark, d):
+    """Files flushed at 200 lines or after two seconds; with every event, how many its machine has in that load."""
+    folder = _folder(spark, "flushed")
+    _journals(spark, d, f"{folder}/in")
+    feeds.drain(feeds.ingest_flushed(spark, f"{folder}/in", f"{folder}/events", f"{folder}/checkpoint"))
+    rows = _journal_rows(spark, folder).withColumn("host", F.pmod("pid", F.lit(JOURNALS)))
+    sizes = rows.groupBy("host", "load_id").agg(F.count("*").alias("flushed"))
+    return rows.join(sizes, ["host", "load_id"]).select("ts", "host", "unit", "pid", "message", "flushed")
+
+
 @query
 def stored_events_search(spark, d):
     """A search over events stored by day, whose other days are not read."""
@@ -560,6 +601,26 @@ def stream_samples(spark, d):
     )
 
 
+@query
+def stream_samples_bounded(spark, d):
+    """Readings that come again or late, through the feed that lets rows come five days late.
+
+    Every fifth event comes a part late, every thirteenth two parts, every seventh twice.
+    """
+    folder = _folder(spark, "bounded")
+    rows = ad.table(spark, d, "events")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    late = F.when(F.col("event_id") % 13 == 0, 2).when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    part = F.floor(F.col("event_id") * BATCHES / (last + 1))
+    sent = rows.withColumn("part", F.least(part + late, F.lit(BATCHES - 1)))
+    again = sent.filter("event_id % 7 = 0 AND event_id % 13 <> 0").withColumn("part", F.least(F.col("part") + 1, F.lit(BATCHES - 1)))
+    rows = _stream(spark, folder, sent.unionByName(again), "part").select(
+        F.col("event_type").alias("host"), "ts", F.col("value").alias("cpu_pct"), F.col("user_id").alias("mem_used"))
+    feeds.ingest_samples(rows, f"{folder}/t", f"{folder}/checkpoint", once=True, within="5 days").awaitTermination()
+    return read_table(spark, f"{folder}/t", with_host(SAMPLES)).select(
+        "host", F.col("ts").cast("timestamp_ntz").alias("ts"), "cpu_pct", "mem_used")
+
+
 @query
 def stream_processes(spark, d):
     """Readings through the process feed; hours cut across batches keep their ten with most CPU."""

@@ -343,6 +343,20 @@ SQL: dict[str, str] = {
             WHEN 'purchase' THEN 'notice' WHEN 'view' THEN 'info' ELSE 'debug' END AS class,
           CASE WHEN event_type = 'view' THEN props ELSE event_type || ': ' || props END AS text FROM events""",
     "stream_journal": PARSED.replace("SELECT event_id, ts", "SELECT ts"),
+    "stream_journal_followed": PARSED.replace("SELECT event_id, ts", "SELECT ts"),
+    "stream_journal_flushed": """WITH placed AS (SELECT *, user_id % 16 AS machine,
+              (row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1) // 200 AS flush FROM events)
+        SELECT ts, CAST(machine AS INTEGER) AS host, event_type AS unit, CAST(user_id AS INTEGER) AS pid, props AS message,
+          count(*) OVER (PARTITION BY machine, flush) AS flushed
+        FROM placed WHERE NOT (event_type = 'signup' AND value < 10)""",
+    "stream_samples_bounded": f"""WITH {REFRESHES},
+        sent AS (SELECT *, least(batch + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END, 3) AS part
+                 FROM src),
+        -- a refresh drops what lies behind the mark that its predecessor went by
+        marks AS (SELECT part + 2 AS part, max(max(date_trunc('millisecond', ts))) OVER (ORDER BY part) - INTERVAL 5 DAY AS mark
+                  FROM sent GROUP BY part)
+        SELECT event_type AS host, ts, value AS cpu_pct, user_id AS mem_used FROM sent LEFT JOIN marks USING (part)
+        WHERE mark IS NULL OR ts > mark""",
     "stream_samples": """SELECT date_trunc('hour', ts) AS ts, value AS cpu_pct, user_id AS mem_used FROM events
         QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) = 1""",
     "stream_processes": """SELECT date_trunc('hour', ts) AS ts, CAST(event_id AS INTEGER) AS pid, event_type AS name,

@@ -89,8 +89,8 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_lines(events: DataFrame) -> DataFrame:
-    """Journal lines of `events` rows, in the shapes a journal really has.
+def raw_lines(events: DataFrame, *carried: str) -> DataFrame:
+    """Journal lines of `events` rows, in the shapes a journal really has; ``carried`` columns stay with them.
 
     Errors carry a list as message, views numbers instead of digit strings,
     purchases only the second-choice fields, clicks a priority that is no
@@ -125,7 +125,7 @@ def raw_lines(events: DataFrame) -> DataFrame:
         .otherwise(F.col("_signup"))
     )
     return events.withColumn("_signup", signup).select(
-        "event_id", line.alias("value"), F.col("ts").alias("arrived")
+        "event_id", line.alias("value"), F.col("ts").alias("arrived"), *carried
     )
 
 

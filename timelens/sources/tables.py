@@ -31,6 +31,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, days: bool
         return spark.createDataFrame([], full)
 
 
+LEDGER_SLOTS = 3
 LEDGER = T.StructType([T.StructField("base", T.LongType()), T.StructField("rows", T.LongType()), T.StructField(LOAD, T.LongType())])
 
 
@@ -46,19 +47,20 @@ def number_rows(rows: DataFrame, path: str, load_id: int, into: str = "event_id"
 
     Rows are counted per task and the counts summed up, one row per task. The
     load's first number is kept in a ledger next to the table, so that a
-    replayed load gets the same numbers. The rows must not change between the
-    count and the use: persist them.
+    replayed load gets the same numbers. Only the last load is ever replayed:
+    the ledger holds the last ``LEDGER_SLOTS`` loads, each in place of an older
+    one. The rows must not change between the count and the use: persist them.
     """
     spark = rows.sparkSession
     ledger = f"{path.rstrip('/')}-numbers"
     task = F.spark_partition_id().alias("_task")
     counts = rows.groupBy(task).agg(F.count("*").alias("_rows"))
-    loads = read_table(spark, ledger, LEDGER, days=False)
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    base = loads.filter(F.col(LOAD) == load_id).agg(F.max("base")).first()[0]
-    if base is None:
-        base = loads.agg(F.coalesce(F.max(F.col("base") + F.col("rows")), F.lit(0))).first()[0]
-    _replace_load(spark.createDataFrame([(base, total)], "base long, rows long"), ledger, load_id, [LOAD])
+    loads = read_table(spark, ledger, LEDGER, days=False).filter(F.col(LOAD) <= load_id).collect()
+    known = [load.base for load in loads if load[LOAD] == load_id]
+    base = known[0] if known else max((load.base + load.rows for load in loads), default=0)
+    slot = F.lit(load_id % LEDGER_SLOTS).alias("slot")
+    _replace_load(spark.createDataFrame([(base, total)], "base long, rows long").select("*", slot), ledger, load_id, ["slot"])
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))

@@ -155,9 +155,10 @@ def ingest_samples(
 
     ``within``, an interval such as ``"1 hour"``, is for feeds that may deliver a sample
     again, but no later than that behind the newest. Ticks seen are then kept in the
-    query's state for that long, and the stored table is never read. A row that comes
-    later than that is dropped and counted in the query's progress; of different rows
-    for one tick in one micro-batch any may stay.
+    query's state until the newest is twice that ahead, and the stored table is never
+    read. A row that comes later than ``within`` behind the batches before the last one is
+    dropped and counted in the query's progress; of different rows for one tick in
+    one micro-batch any may stay.
     """
     if within is not None:
         return _ingest_bounded(samples, path, checkpoint, once, within)

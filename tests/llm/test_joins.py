@@ -1,8 +1,10 @@
 """Line dedup and near duplicates against brute force, and their defined cases."""
 
+import numpy as np
 import pytest
 
 from timelens.llm import line_dedup, near_duplicates
+from timelens.llm.similar import Sets, digests, distinct_elements
 
 from .conftest import sentence, words
 
@@ -164,3 +166,19 @@ def test_empty_tables(frame):
     assert near_duplicates.find_components(frame([])).collect() == []
     assert near_duplicates.keep_one(frame([])).collect() == []
     assert line_dedup.mark_lines(frame([])).collect() == []
+
+
+def test_elements_of_more_sets_than_a_key_holds():
+    """Five million sets in one slice, and elements that differ in their lowest bits only."""
+    count = 5_000_000
+    of = np.repeat(np.arange(count), 2)
+    elements = np.tile(np.array([7 << 40, 3 << 40], np.uint64), count)
+    got_of, got = distinct_elements(of, elements)
+    assert np.array_equal(got_of, of) and np.array_equal(got, np.tile(np.array([3 << 40, 7 << 40], np.uint64), count))
+    each = np.arange(count)
+    names = digests(Sets(each, each, each, each, got_of, got))
+    assert len(np.unique(names)) == 1
+    near = np.array([9, 8, 9, 8, 9, 5], np.uint64)
+    for of, want_of, want in (([0] * 6, [0, 0, 0], [5, 8, 9]), ([1, 0, 1, 0, 0, 0], [0, 0, 0, 1], [5, 8, 9, 9])):
+        got_of, got = distinct_elements(np.array(of), near)
+        assert (got_of.tolist(), got.tolist()) == (want_of, want)

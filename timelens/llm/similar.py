@@ -26,6 +26,7 @@ from timelens.llm.words import mix, text_slices
 NUMERATOR, DENOMINATOR = 3, 4
 RARITY_BITS = 25
 FLAG_BITS = 22
+SET_BITS = 22  # of a sort key, for the set; the rest is the upper bits of the element
 PIVOT_ROWS = 2000
 """Pairs of one first set that are verified together."""
 
@@ -50,12 +51,26 @@ Fetch = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def distinct_elements(of: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements of each set, ascending within it."""
-    order = np.argsort(of.astype(np.uint64) << np.uint64(42) | elements >> np.uint64(22))
-    of, elements = of[order], elements[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (elements[1:] != elements[:-1])
-    return of[new], elements[new]
+    """Distinct elements of each set, ascending within it.
+
+    One sort by set and the upper bits of the element; by both in full where a slice has
+    more sets than fit beside those bits, or elements that only differ below them.
+    """
+    def sorted_by(order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = of[order], elements[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a, b, new
+
+    if not len(of) or int(of.max()) < 1 << SET_BITS:
+        keys = of.astype(np.uint64) << np.uint64(64 - SET_BITS) | elements >> np.uint64(SET_BITS)
+        order = np.argsort(keys)
+        a, b, new = sorted_by(order)
+        keys = keys[order]
+        if not np.any(new[1:] & (keys[1:] == keys[:-1])):
+            return a[new], b[new]
+    a, b, new = sorted_by(np.lexsort((elements, of)))
+    return a[new], b[new]
 
 
 def digests(sets: Sets) -> np.ndarray:

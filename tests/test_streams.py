@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from timelens.operators.rates import rates
 from timelens.operators.embedding import hashing_embedder, with_embeddings
 from timelens.schemas import EVENTS, SAMPLES, with_host
-from timelens.sources.tables import append_events, number_rows, read_table
+from timelens.sources.tables import append_events, append_load, number_rows, read_table
 from timelens.streaming import enrich, feeds, live
 
 
@@ -185,6 +185,18 @@ def test_a_tick_in_parts_keeps_its_ten(spark, tmp_path):
     assert sorted((r.pid, r.cpu_pct) for r in rows) == sorted(sorted(first.items(), key=lambda p: (-p[1], p[0]))[:10])
 
 
+def test_reads_between_two_ticks_open_their_days_only(spark, tmp_path):
+    table, day = str(tmp_path / "t"), 86400
+    rows = [(at(day * d + s), pid, "p", float(pid), 1, 0) for d in range(4) for s in (0, 5) for pid in range(12)]
+    schema = "ts timestamp, pid int, name string, cpu_pct double, mem_rss long, ingest_seq long"
+    append_load(spark.createDataFrame(rows, schema), table, 0)
+    found = feeds.read_processes(spark, table, start=at(day + 5), end=at(2 * day))
+    assert sorted({r.ts for r in found.collect()}) == [at(day + 5), at(2 * day)] and found.count() == 20
+    assert "PartitionFilters: [isnotnull(date" in found._jdf.queryExecution().toString()
+    assert feeds.read_processes(spark, table, end=at(0)).count() == 10
+    assert feeds.read_built_samples(spark, str(tmp_path / "none"), start=at(0)).count() == 0
+
+
 def test_a_failed_feed_starts_again_where_it_stopped(spark, tmp_path):
     folder, seen, fails = tmp_path / "in", [], [1, 1]
     put(folder, "1", [sample_line("a", 0, 1.0, 1)], 300)

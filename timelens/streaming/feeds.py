@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +21,7 @@ from timelens.operators.ingest import add_tick_sums, first_wins, tick_sums, top_
 from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform, series_key, with_host
 from timelens.sources.follow import follow_lines
 from timelens.sources.journal import typed_lines
-from timelens.sources.tables import append_events, append_first_wins, append_load, number_rows, read_table
+from timelens.sources.tables import DAY, append_events, append_first_wins, append_load, number_rows, read_table
 
 # Seconds between flushes, rows that are flushed at once, seconds before a failed feed starts again.
 FLUSH_SECONDS = 2
@@ -202,10 +203,21 @@ def ingest_processes(processes: DataFrame, path: str, checkpoint: str, once: boo
     return start(processes, "processes", write, checkpoint, once)
 
 
-def read_processes(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """The top processes of every tick; of several readings of a pid the first counts."""
+def _between(rows: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Stored rows of the ticks from ``start`` to ``end``; other days' folders are not read."""
+    for bound, within in ((start, "__ge__"), (end, "__le__")):
+        if bound is not None:
+            at = F.lit(bound).cast("timestamp")
+            rows = rows.filter(getattr(F.col(DAY), within)(F.to_date(at)) & getattr(F.col("ts"), within)(at))
+    return rows
+
+
+def read_processes(
+    spark: SparkSession, path: str, by: Sequence[str] = (), start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """The top processes of every tick, or of those from ``start`` to ``end``; of several readings of a pid the first counts."""
     schema = T.StructType([*PROCESSES.fields, T.StructField("ingest_seq", T.LongType())])
-    rows = read_table(spark, path, with_host(schema) if by else schema)
+    rows = _between(read_table(spark, path, with_host(schema) if by else schema), start, end)
     if "load_id" not in rows.columns:
         rows = rows.withColumn("load_id", F.lit(0).cast("long"))
     arrived = F.struct(*ARRIVAL).alias("arrived")
@@ -230,7 +242,9 @@ def ingest_readings(readings: DataFrame, path: str, checkpoint: str, once: bool
     return start(readings, "readings", write, checkpoint, once)
 
 
-def read_built_samples(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """One sample per tick from the sums of all batches."""
-    parts = read_table(spark, path, with_host(SAMPLES) if by else SAMPLES)
+def read_built_samples(
+    spark: SparkSession, path: str, by: Sequence[str] = (), start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """One sample per tick, or per tick from ``start`` to ``end``, from the sums of all batches."""
+    parts = _between(read_table(spark, path, with_host(SAMPLES) if by else SAMPLES), start, end)
     return add_tick_sums(parts, by).select(*by, *SAMPLES.names)

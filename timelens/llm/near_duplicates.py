@@ -40,8 +40,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
-    DENOMINATOR, NUMERATOR, Fetch, Sets, digests, distinct_elements, prefixes, rarity, texts_by_name, verify,
+    DENOMINATOR, NUMERATOR, Fetch, Sets, digests, distinct_elements, in_slice_once, may_be_similar, prefixes, rarity,
+    shared_prefixes, texts_by_name, verify,
 )
+from timelens.llm.sketch import hit_severally
 from timelens.llm.store import kept
 from timelens.llm.words import NON_SPACE, find_words, mix, shingles, text_slices
 
@@ -66,6 +68,32 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     return Sets(np.arange(n), np.zeros(n, np.int64), offsets[:-1], offsets[1:], of, elements)
 
 
+PRINT = 8
+"""Longs of a document's print."""
+PRINTS = [f"print{i}" for i in range(PRINT)]
+
+
+def set_prints(sets: Sets) -> np.ndarray:
+    """PRINT longs a set: of each bit, the parity of the set's shingles that fall on it.
+
+    Two sets differ in at least as many shingles as their prints in bits.
+    """
+    n, width = len(sets.rows), 64 * PRINT
+    out = np.zeros((n, width // 8), np.uint8)
+    bit = (mix(~sets.elements) % np.uint64(width)).astype(np.int64)
+    for low in range(0, n, 2048):
+        high = min(n, low + 2048)
+        a, b = np.searchsorted(sets.of, [low, high])
+        hits = np.bincount((sets.of[a:b] - low) * width + bit[a:b], minlength=(high - low) * width)
+        out[low:high] = np.packbits((hits & 1).astype(np.uint8).reshape(high - low, width), axis=1)
+    return out.view(np.int64)
+
+
+def _differ(others: list[str]) -> Column:
+    """Bits in which the prints of two documents differ."""
+    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(PRINTS, others, strict=True)), F.lit(0))
+
+
 def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     elements, digest, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
     estimate = np.exp2(ranks[(elements >> np.uint64(64 - bits)).astype(np.int64)] / 8.0)
@@ -89,8 +117,8 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, bucket_bits: int,
                 "places": pa.array([places[x].tobytes() for x in slices], pa.binary())})
 
 
-def _postings(ranks: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles with their set's digest and size, packed by bucket; documents' rows (bucket -1) beside them."""
+def _postings(ranks: np.ndarray, shared: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix shingles of several sets with their set's digest and size, packed by bucket; documents' rows beside them."""
     bits = len(ranks).bit_length() - 1
     for batch in batches:
         names = batch.schema.names
@@ -107,13 +135,10 @@ def _postings(ranks: np.ndarray, bucket_bits: int, batches: Iterator[pa.RecordBa
                 "ids": pa.array([ids.slice(low, high - low).to_pylist()], pa.list_(pa.int64())),
                 "keys": pa.array([keys[low:high].tobytes()], pa.binary()),
                 "digests": pa.array([digest.tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()),
-                "places": pa.array([None], pa.binary())})
+                "places": pa.array([set_prints(sets).tobytes()], pa.binary())})
             of, elements, places = prefixes(sets, ranks)
             # equal sets of the slice are sent once
-            _, first = np.unique(digest, return_index=True)
-            once = np.zeros(len(digest), bool)
-            once[first] = True
-            mine = once[of]
+            mine = in_slice_once(digest)[of] & hit_severally(mix(elements), shared)
             held.append((elements[mine], digest[of[mine]], sizes[of[mine]].astype(np.uint32), places[mine].astype(np.uint32)))
         if held:
             yield from _by_bucket(held, bits, bucket_bits, ranks)
@@ -218,11 +243,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, keys, digest, sizes in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for ids, keys, digest, sizes, prints in zip(*(batch.column(i) for i in range(5)), strict=True):
+            marks = np.frombuffer(prints.as_buffer(), np.int64).reshape(-1, PRINT)
             yield pa.RecordBatch.from_arrays(
                 [ids.values, pa.array(np.frombuffer(keys.as_buffer(), np.int64)), pa.array(np.frombuffer(digest.as_buffer(), np.int64)),
-                 pa.array(np.frombuffer(sizes.as_buffer(), np.uint32).astype(np.int64))],
-                ["doc_id", "name", "digest", "n_shingles"])
+                 pa.array(np.frombuffer(sizes.as_buffer(), np.uint32).astype(np.int64)), *(pa.array(marks[:, i]) for i in range(PRINT))],
+                ["doc_id", "name", "digest", "n_shingles", *PRINTS])
 
 
 def _name() -> Column:
@@ -230,18 +256,19 @@ def _name() -> Column:
 
 
 def find_regions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, name, digest, n_shingles) of all documents, and (region, digest, n, shared) of the first regions:
+    """(doc_id, name, digest, n_shingles, prints) of all documents, and (region, digest, n, shared) of the first regions:
     `shared` is the number of prefix shingles that put the document there."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket_bits = max(4, (2 * tasks - 1).bit_length())
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("name", _name())
-    sent = spark.sparkContext.broadcast(rarity(rows.select("text"), document_sets))
+    ranks = spark.sparkContext.broadcast(rarity(rows.select("text"), document_sets))
+    several = spark.sparkContext.broadcast(shared_prefixes(rows.select("text"), document_sets, ranks))
     packed = kept(
-        rows.mapInArrow(lambda b: _postings(sent.value, bucket_bits, b), _PACKED)
+        rows.mapInArrow(lambda b: _postings(ranks.value, several.value, bucket_bits, b), _PACKED)
         .repartition(tasks, "bucket").mapInArrow(_regions, _PACKED))
-    named = packed.where("hot IS NULL").select("ids", "keys", "digests", "sizes").mapInArrow(
-        _unpack_documents, "doc_id long, name long, digest long, n_shingles long")
+    named = packed.where("hot IS NULL").select("ids", "keys", "digests", "sizes", "places").mapInArrow(
+        _unpack_documents, ", ".join(f"{c} long" for c in ("doc_id", "name", "digest", "n_shingles", *PRINTS)))
     members = packed.where("hot IS NOT NULL").select("region", "keys", "digests", "sizes").mapInArrow(
         _unpack, "region long, digest long, n long, shared long")
     return named, members.groupBy("region", "digest", "n").agg(F.sum("shared").alias("shared"))
@@ -263,15 +290,22 @@ def _open_regions(members: DataFrame) -> DataFrame:
     return kept(members.join(several, "region", "left_semi"))
 
 
-def join_regions(members: DataFrame, fetch: Fetch) -> DataFrame:
-    """(digest, component) of all sets that have a link."""
+def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFrame:
+    """(digest, component) of all sets that have a link; `prints` has a row for each digest."""
     spark = members.sparkSession
     known = spark.createDataFrame([], "a long, b long, shared long, joined long")
     slack = 1e-9
-    members = kept(members)
+    members = kept(members.join(prints, "digest"))
+    marks = [f"pivot_{c}" for c in PRINTS]
+    fit = may_be_similar(F.col("n"), F.col("pivot_n"), F.col("differ"))
+
+    def as_pivot(one: str) -> list[Column]:
+        return [F.col(f"{one}.digest").alias("pivot"), F.col(f"{one}.n").alias("pivot_n"),
+                *[F.col(f"{one}.{c}").alias(m) for c, m in zip(PRINTS, marks, strict=True)]]
+
     pivots = members.groupBy("region").agg(
-        F.min(F.struct(F.col("digest") != F.col("region"), "digest")).alias("p")).select("region", F.col("p.digest").alias("pivot"))
-    near = members.join(pivots, "region").where("digest != pivot")
+        F.min(F.struct(F.col("digest") != F.col("region"), "digest", "n", *PRINTS)).alias("p")).select("region", *as_pivot("p"))
+    near = members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks)).where(fit)
     homes = near.groupBy("digest").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("home"))
     found = kept(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),
                         fetch, document_sets))
@@ -280,33 +314,32 @@ def join_regions(members: DataFrame, fetch: Fetch) -> DataFrame:
     members = _open_regions(members.drop("shared").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
     while not members.isEmpty():
         # digests are hashes: the least is any
-        least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n")).alias("p")).select("region", "p.*")
-        in_order = Window.partitionBy("region").orderBy("digest")
-        pivots = least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS)
-        pivots = pivots.select("region", F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"))
-        near = kept(_pairs(members.join(pivots, "region").where("digest != pivot")
-                              .withColumns({"x": F.col("digest"), "y": F.col("pivot")})).drop("x", "y"))
-        fit = F.least("n", "pivot_n") * DENOMINATOR >= F.greatest("n", "pivot_n") * NUMERATOR
-        pairs = kept(near.where(fit).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n", *PRINTS)).alias("p"))
+        in_order = Window.partitionBy("region").orderBy("p.digest")
+        pivots = least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS).select("region", *as_pivot("p"))
+        near = kept(_pairs(members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks))
+                              .withColumns({"x": F.col("digest"), "y": F.col("pivot"), "fit": fit})).drop("x", "y", "component", *PRINTS, *marks))
+        pairs = kept(near.where("fit").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
         found = kept(verify(pairs, fetch, document_sets))
         known = known.unionAll(found)
         links = names.select(F.col("digest").alias("a"), F.col("component").alias("b")).unionAll(_links(found))
         names = components(links)
-        # distances to pivots: known ones, or what the sizes leave open
-        ratio = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        measured = (near.drop("component").join(known.select("a", "b", (1 - F.col("shared") / F.col("joined")).alias("d")), ["a", "b"], "left")
-                    .select("region", "digest", "n", "pivot", F.coalesce("d", ratio).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+        # distances to pivots: known ones, or what sizes and prints leave open
+        total = F.col("n") + F.col("pivot_n")
+        open_from = F.greatest(1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"), 2 * F.col("differ") / (total + F.col("differ")))
+        measured = (near.join(known.select("a", "b", (1 - F.col("shared") / F.col("joined")).alias("d")), ["a", "b"], "left")
+                    .select("region", "digest", "pivot", F.coalesce("d", open_from).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
                     .join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
                     .join(names.select(F.col("digest").alias("pivot"), F.col("component").alias("cell")), "pivot", "left")
                     .withColumn("mine", F.col("component") == F.coalesce("cell", "pivot")))
         windows = (measured.where("NOT mine").groupBy("region", "pivot")
                    .agg(F.min("low").alias("from"), F.max("high").alias("to")))
         reaches = (F.col("high") >= F.col("from") - EPS - slack) & (F.col("low") <= F.col("to") + EPS + slack)
-        left = (measured.join(windows, ["region", "pivot"], "left")
-                .groupBy("region", "digest", "n", "component")
-                .agg(F.bool_and(~F.col("mine") | F.coalesce(reaches, F.lit(False))).alias("stays"))
-                .where("stays").drop("stays")
-                .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti"))
+        # a pivot, and what of its cell lies outside its window, has no link left
+        done = (measured.where("mine").join(windows, ["region", "pivot"], "left").where(~F.coalesce(reaches, F.lit(False)))
+                .select("region", "digest").unionAll(pivots.select("region", F.col("pivot").alias("digest"))))
+        left = (members.drop("component").join(done.distinct(), ["region", "digest"], "left_anti")
+                .join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
         members = _open_regions(left)
     return names
 
@@ -339,8 +372,9 @@ def find_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
     named, members = find_regions(documents)
     texts = documents.select(F.col("text").cast("string").alias("text")).select(_name().alias("name"), "text")
-    names = join_regions(members, texts_by_name(texts, named.groupBy("digest").agg(F.min("name").alias("name"))))
-    placed = named.join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    prints = named.groupBy("digest").agg(*[F.min(c).alias(c) for c in PRINTS])
+    names = join_regions(members, prints, texts_by_name(texts, named.groupBy("digest").agg(F.min("name").alias("name"))))
+    placed = named.drop(*PRINTS).join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(least, "component", "left")
             .select("doc_id", "n_shingles",

@@ -15,16 +15,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelens.llm.sketch import counter_of, hashed_counts
+from timelens.llm.sketch import counter_of, hashed_counts, several_hits
 from timelens.llm.store import kept
 from timelens.llm.words import mix, text_slices
 
 # similarity NUMERATOR / DENOMINATOR and up
 NUMERATOR, DENOMINATOR = 3, 4
 RARITY_BITS = 25
+SHARED_BITS = 28
 FLAG_BITS = 22
 SET_BITS = 22  # of a sort key, for the set; the rest is the upper bits of the element
 PIVOT_ROWS = 2000
@@ -92,11 +94,14 @@ def rarity(texts: DataFrame, read: ReadSets, most_bits: int = RARITY_BITS) -> np
         for _, _, data, offsets in text_slices(batch.column(0)):
             yield read(data, offsets).elements
 
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(most_bits, max(16, (int(size) // 32).bit_length()))
+    bits = min(most_bits, max(16, (text_bytes(texts) // 32).bit_length()))
     return hashed_counts(texts, elements, bits, _steps, np.uint8)
 
 
+def text_bytes(texts: DataFrame) -> int:
+    return int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
 def prefixes(sets: Sets, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, element, position) of the elements a similar set must share one of, rarest first."""
     bits = len(ranks).bit_length() - 1
@@ -110,6 +115,32 @@ def prefixes(sets: Sets, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return of[early], elements[early], place[early]
 
 
+def in_slice_once(digest: np.ndarray) -> np.ndarray:
+    """One of the sets of each digest."""
+    _, first = np.unique(digest, return_index=True)
+    once = np.zeros(len(digest), bool)
+    once[first] = True
+    return once
+
+
+def shared_prefixes(texts: DataFrame, read: ReadSets, ranks: Broadcast, most_bits: int = SHARED_BITS) -> np.ndarray:
+    """A bit for each counter of `several_hits`: whether prefixes hit it more than once.
+
+    A prefix element whose bit is not set is in the prefix of one set alone and makes no
+    pair. Its counter is that of `mix(element)`: prefixes prefer small hashes. The table has
+    about a counter for every 6 bytes of text, at most 2^most_bits; beyond that elements of
+    one set pass too, which changes no pair.
+    """
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in text_slices(batch.column(0)):
+            sets = read(data, offsets)
+            of, elements, _ = prefixes(sets, ranks.value)
+            yield mix(elements[in_slice_once(digests(sets))[of]])
+
+    bits = min(most_bits, max(16, (text_bytes(texts) // 6).bit_length()))
+    return several_hits(texts, hashes, bits)
+
+
 def flags(ids: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
     """One flag a counter: whether one of the ids (one column of longs) falls on it."""
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -217,3 +248,9 @@ def verify(pairs: DataFrame, fetch: Fetch, read: ReadSets) -> DataFrame:
 
 def similar() -> F.Column:
     return F.col("shared") * DENOMINATOR >= F.col("joined") * NUMERATOR
+
+
+def may_be_similar(n: Column, m: Column, differ: Column) -> Column:
+    """Whether sets of sizes n and m that differ in `differ` elements at least can be similar."""
+    return ((F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR)
+            & ((n + m) * (DENOMINATOR - NUMERATOR) >= differ * (DENOMINATOR + NUMERATOR)))

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
@@ -52,6 +52,9 @@ EPS = 1 - NUMERATOR / DENOMINATOR
 CELLS = 64
 """Components of a region that get a pivot in one round."""
 
+LINKS = 1 << 18
+"""Links that one task takes when components are found."""
+
 CHUNK = 4096
 HELD = 1 << 18
 """Postings a task holds before it hands them on."""
@@ -344,27 +347,40 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
     return names
 
 
+def _star_links(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, kept, in as many partitions as their number asks for; their number and the sum of their hashes.
+
+    What one partition holds is grouped and joined where it is.
+    """
+    seen = Observation()
+    held = kept(links.observe(seen, F.count(F.lit(1)).alias("n"),
+                              F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("mark")))
+    n, mark = seen.get["n"], seen.get["mark"]
+    return held.coalesce(max(1, -(-n // LINKS))), (n, mark)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(digest, component) of all linked sets: every set hooks to the least it can reach.
 
     Each round joins the links of a star's centre among its leaves (the least gets the
     others), so long chains shrink by half or more.
     """
-    edges = kept(links.select("a", "b").where("a != b").distinct())
+    def rows_of(*pairs: tuple[str, str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]))
+
+    edges, before = _star_links(links.select("a", "b").where("a != b").distinct())
     while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(rows_of(("a", "b"), ("b", "a")))
         # every set sends its greater neighbours to its least one
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         # then every set sends its lesser neighbours, and itself, to its least one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
-                 .unionAll(least.select(F.col("m").alias("a"), "b")).where("a != b").distinct())
-        new = kept(small)
-        counts = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first() for x in (edges, new)]
-        edges = new
-        if counts[0] == counts[1]:
+        small = large.join(least, "b").select(rows_of(("m", "a"), ("m", "b"))).where("a != b").distinct()
+        edges, now = _star_links(small)
+        if now == before:
             break
+        before = now
     return edges.select(F.col("b").alias("digest"), F.col("a").alias("component"))
 
 

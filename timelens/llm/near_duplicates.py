@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
@@ -53,7 +53,10 @@ CELLS = 64
 """Components of a region that get a pivot in one round."""
 
 LINKS = 1 << 18
-"""Links that one task takes when components are found."""
+"""Links, or compared pairs, that one task takes at least."""
+
+MEMBERS = 1 << 13
+"""Rows of open regions that one task takes at least."""
 
 CHUNK = 4096
 HELD = 1 << 18
@@ -286,17 +289,31 @@ def _links(found: DataFrame) -> DataFrame:
     return found.where(F.col("shared") * DENOMINATOR >= F.col("joined") * NUMERATOR).select("a", "b")
 
 
-def _open_regions(members: DataFrame) -> DataFrame:
-    """Only the regions that hold several components."""
+def _sized(df: DataFrame, each: int, *more: Column) -> tuple[DataFrame, Row]:
+    """The rows, kept, in partitions for `each` of them; their number `n` and what else is to be summed up.
+
+    Rows that fit one partition are grouped and joined where they are, without a shuffle.
+    """
+    seen = Observation()
+    held = kept(df.observe(seen, F.count(F.lit(1)).alias("n"), *more))
+    found = Row(**seen.get)
+    return held.coalesce(_partitions(found.n, each)), found
+
+
+def _partitions(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
+
+
+def _open_regions(members: DataFrame) -> tuple[DataFrame, int]:
+    """Only the regions that hold several components, and how many rows they have."""
     several = (members.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"))
                .where("one != other").select("region"))
-    return kept(members.join(several, "region", "left_semi"))
+    left, found = _sized(members.join(several, "region", "left_semi"), MEMBERS)
+    return left, found.n
 
 
 def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFrame:
     """(digest, component) of all sets that have a link; `prints` has a row for each digest."""
-    spark = members.sparkSession
-    known = spark.createDataFrame([], "a long, b long, shared long, joined long")
     slack = 1e-9
     members = kept(members.join(prints, "digest"))
     marks = [f"pivot_{c}" for c in PRINTS]
@@ -310,21 +327,24 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
         F.min(F.struct(F.col("digest") != F.col("region"), "digest", "n", *PRINTS)).alias("p")).select("region", *as_pivot("p"))
     near = members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks)).where(fit)
     homes = near.groupBy("digest").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("home"))
-    found = kept(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),
-                        fetch, document_sets))
-    known = known.unionAll(found)
+    found, n = _sized(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),
+                             fetch, document_sets), LINKS)
+    all_known, n_known = found, n.n
     names = components(_links(found))
-    members = _open_regions(members.drop("shared").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
-    while not members.isEmpty():
+    members, n_open = _open_regions(members.drop("shared").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    while n_open:
+        known = all_known.coalesce(_partitions(n_known, LINKS))
         # digests are hashes: the least is any
         least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n", *PRINTS)).alias("p"))
         in_order = Window.partitionBy("region").orderBy("p.digest")
         pivots = least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS).select("region", *as_pivot("p"))
-        near = kept(_pairs(members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks))
-                              .withColumns({"x": F.col("digest"), "y": F.col("pivot"), "fit": fit})).drop("x", "y", "component", *PRINTS, *marks))
+        near, _ = _sized(_pairs(members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks))
+                              .withColumns({"x": F.col("digest"), "y": F.col("pivot"), "fit": fit})).drop("x", "y", "component", *PRINTS, *marks),
+                         MEMBERS * CELLS)
         pairs = kept(near.where("fit").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        found = kept(verify(pairs, fetch, document_sets))
-        known = known.unionAll(found)
+        found, n = _sized(verify(pairs, fetch, document_sets), LINKS)
+        all_known, n_known = all_known.unionAll(found), n_known + n.n
+        known = all_known.coalesce(_partitions(n_known, LINKS))
         links = names.select(F.col("digest").alias("a"), F.col("component").alias("b")).unionAll(_links(found))
         names = components(links)
         # distances to pivots: known ones, or what sizes and prints leave open
@@ -339,24 +359,16 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
                    .agg(F.min("low").alias("from"), F.max("high").alias("to")))
         reaches = (F.col("high") >= F.col("from") - EPS - slack) & (F.col("low") <= F.col("to") + EPS + slack)
         # a pivot, and what of its cell lies outside its window, has no link left
-        done = (measured.where("mine").join(windows, ["region", "pivot"], "left").where(~F.coalesce(reaches, F.lit(False)))
-                .select("region", "digest").unionAll(pivots.select("region", F.col("pivot").alias("digest"))))
-        left = (members.drop("component").join(done.distinct(), ["region", "digest"], "left_anti")
+        done = measured.where("mine").join(windows, ["region", "pivot"], "left").where(~F.coalesce(reaches, F.lit(False)))
+        left = (members.drop("component").join(done.select("region", "digest"), ["region", "digest"], "left_anti")
+                .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti")
                 .join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
-        members = _open_regions(left)
+        members, n_open = _open_regions(left)
     return names
 
 
-def _star_links(links: DataFrame) -> tuple[DataFrame, tuple]:
-    """The links, kept, in as many partitions as their number asks for; their number and the sum of their hashes.
-
-    What one partition holds is grouped and joined where it is.
-    """
-    seen = Observation()
-    held = kept(links.observe(seen, F.count(F.lit(1)).alias("n"),
-                              F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("mark")))
-    n, mark = seen.get["n"], seen.get["mark"]
-    return held.coalesce(max(1, -(-n // LINKS))), (n, mark)
+def _star_links(links: DataFrame) -> tuple[DataFrame, Row]:
+    return _sized(links, LINKS, F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("mark"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ differ by EPS at most: a document of the cell whose distance lies outside the wi
 of those outside the cell has no link left to find, nor has the pivot itself. The
 others, the boundary, are the next region, until it has a single component. Documents
 that are far apart fall away in one round, and a group of near copies costs one
-distance each.
+distance each. Sizes and prints (parities of shingles) bound a distance from below;
+where that leaves no link, the texts are not compared and the bound goes into the window.
 
 Links are exact; components are their transitive closure, found by hooking every
 set to the least of its neighbours until nothing changes. Equal sets are one from the

@@ -21,6 +21,15 @@ def cursors(spark, rows):
     return spark.createDataFrame([(i, h, at(t)) for i, (h, t) in enumerate(rows)], "id long, host string, at timestamp")
 
 
+def test_as_of_gives_a_cursor_one_of_several_rows_of_a_moment(spark):
+    rows = series(spark, [("a", 0, 7), ("a", 0, 9), ("a", 0, 8), ("b", 0, 1)])
+    asked = cursors(spark, [("a", 1), ("b", 1), ("a", 0)])
+    got = tj.as_of_join(asked, rows.withColumn("w", -F.col("v")), ["host"], how="inner")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(0, 9), (1, 1), (2, 9)]
+    got = tj.as_of_join(asked, rows.withColumn("w", -F.col("v")), ["host"], tie=["w"])
+    assert sorted((r.id, r.v) for r in got.collect()) == [(0, 7), (1, 1), (2, 7)]
+
+
 def random_case(seed):
     rng = random.Random(seed)
     times = {(rng.choice("ab"), rng.choice([rng.randrange(0, 40), rng.randrange(0, 20000)])) for _ in range(80)}

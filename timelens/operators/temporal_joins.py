@@ -83,12 +83,14 @@ def as_of_join(
     tolerance: Duration | None = None,
     strict: bool = False,
     width: Duration = WIDTH,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Each cursor with the series row as of its moment; that row's time is ``as_of``.
 
-    ``series`` must be unique by ``(by, ts)``. Cursors without such a row have
-    NULLs (``how="left"``) or are dropped (``how="inner"``). With a
-    ``tolerance``, rows older than that before the cursor do not count.
+    Of series rows with one ``(by, ts)`` a cursor gets the last by ``tie`` (by all that can
+    be compared, if not given). Cursors without a row have NULLs (``how="left"``) or are
+    dropped (``how="inner"``). With a ``tolerance``, rows older than that before the cursor
+    do not count.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -103,10 +105,20 @@ def as_of_join(
             elapsed_seconds(F.col(at), F.col("as_of")) <= to_micros(tolerance) / 1e6
         )
     return cursors.join(resolved, [*by, at], how).join(
-        series.withColumnRenamed(ts, "as_of"), [*by, "as_of"], how
+        _last_of_moment(series, by, ts, tie).withColumnRenamed(ts, "as_of"), [*by, "as_of"], how
     )
 
 
+def _last_of_moment(series: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+    """One row per ``(by, ts)``; the sort that finds it is the one of the merge join behind."""
+    order = list(tie) or [
+        f.name for f in series.schema.fields
+        if f.name not in (*by, ts) and f.dataType.typeName() not in ("map", "variant")]
+    if not order:
+        return series.dropDuplicates([*by, ts])
+    return top_per_group(series, [*by, ts], [F.desc(c) for c in order], 1, rank="_nth").drop("_nth")
+
+
 def top_as_of(
     cursors: DataFrame,
     batches: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from timelens.operators import events as ev, rates as ra, system as sy
 from timelens.operators.embedding import embed_pending, hashing_embedder, with_embeddings
-from timelens.plans import state, tools
+from timelens.plans import catalog, state, tools
 
 
 def plan(df):
@@ -159,3 +160,16 @@ def test_state_at_runs_no_job_before_it_is_asked(spark):
         assert [r.cpu_pct for r in view.orderBy("at").collect()] == [1.0, 2.0]
     finally:
         spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_state_ends_are_those_of_the_whole_windows(spark):
+    rng = random.Random(3)
+    times = sorted({rng.choice([rng.randrange(0, 300), rng.randrange(0, 3000)]) for _ in range(120)})
+    rows = samples(spark, [(t, rng.randrange(100), *[rng.randrange(10**6) for _ in range(4)]) for t in times])
+    asked = spark.createDataFrame([(i, at(rng.randrange(-5, 3200))) for i in range(200)], "id long, at timestamp")
+    procs = processes(spark, [(0, 1, "a", 1, 1)])
+    whole = state.state_at(asked, rows, procs, max_gap=20, history_seconds=40, trend_seconds=90)
+    ends = state.state_at(asked, rows, procs, max_gap=20, history_seconds=40, trend_seconds=90, whole=False)
+    key = lambda view: sorted(tuple(map(str, r)) for r in catalog._flat(view, "id", "at").collect())
+    assert key(ends) == key(whole)
+    assert "collect_list(_point" not in ends._jdf.queryExecution().toString()

@@ -15,6 +15,7 @@ from timelens.operators.rates import (
     HISTORY_GAP, HISTORY_SECONDS, TREND_SECONDS, near_windows, peak_of, rates, scaled,
     window_rows, within_gap,
 )
+from timelens.operators.running import with_window_ends
 from timelens.operators.system import metric_order
 from timelens.operators.temporal_joins import as_of_times, resolve_times
 from timelens.operators.topk import top_per_group
@@ -106,6 +107,53 @@ def sample_views(
     )
 
 
+WINDOW_ENDS = ["history_n", "history_first", "trend_n", "trend_from", "disk_last", "net_last"]
+
+
+def sample_ends(
+    points: DataFrame,
+    samples: DataFrame,
+    by: Sequence[str],
+    max_gap: Duration = HISTORY_GAP,
+    history_seconds: Duration = HISTORY_SECONDS,
+    trend_seconds: Duration = TREND_SECONDS,
+) -> DataFrame:
+    """`sample_views` with sizes and ends (`WINDOW_ENDS`) in place of the arrays ``history`` and ``trends``.
+
+    Both windows are made for every sample near a point by running values, so the work grows with
+    samples and points, and not with their product. A window's samples but its oldest are those
+    whose predecessor lies in it too.
+    """
+    reach = max(to_micros(history_seconds), to_micros(trend_seconds), to_micros(max_gap)) / 1e6
+    own_columns = [c for c in samples.columns if c not in (*by, "ts")]
+    rated = rates(near_windows(samples, points, by, "as_of", reach), by)
+    known = with_window_ends(rated, by, "ts", history_seconds, ["cpu_pct"], []).select(
+        *rated.columns, F.col("_n").alias("history_n"), F.col("_first_cpu_pct").alias("history_first"))
+    known = with_window_ends(known, by, "ts", trend_seconds, ["prev_ts"], ["disk_rate", "net_rate"], since="prev_ts")
+    at_points = known.withColumnRenamed("ts", "as_of").join(points, [*by, "as_of"], "left_semi")
+    one = top_per_group(at_points, [*by, "as_of"], [F.desc(c) for c in own_columns], 1, rank="_nth")
+    enough, restarted = F.col("_n") >= 1, F.col("prev_ts") >= shifted(F.col("as_of"), -to_micros(trend_seconds) / 1e6)
+
+    def peak(rate: str) -> Column:
+        return F.greatest(F.col(f"_peak_{rate}").cast("double"), F.lit(0.0))
+
+    def last(rate: str) -> Column:
+        value = F.when(restarted, F.col(rate)).otherwise(F.lit(0)).cast("double")
+        return F.when(enough, scaled(value, peak(rate)))
+
+    return one.select(
+        *by, "as_of", *own_columns, *[within_gap(c, max_gap, "as_of").alias(c) for c in RATE_NAMES],
+        mem_pct(F.col("mem_used"), F.col("mem_total")).alias("mem_pct"),
+        percent_band(F.col("cpu_pct")).alias("cpu_band"),
+        F.col("history_n").cast("int").alias("history_n"), "history_first",
+        F.when(enough, F.col("_n") + 1).otherwise(F.lit(0)).cast("int").alias("trend_n"),
+        F.col("_first_prev_ts").alias("trend_from"),
+        last("disk_rate").alias("disk_last"), last("net_rate").alias("net_last"),
+        F.when(enough, peak("disk_rate")).otherwise(F.lit(0.0)).alias("disk_peak"),
+        F.when(enough, peak("net_rate")).otherwise(F.lit(0.0)).alias("net_peak"),
+    )
+
+
 def batch_views(points: DataFrame, processes: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     """Per ``(by, batch_ts)`` the top processes by CPU, as one array in rank order."""
     wanted = points.select(*by, F.col("batch_ts").alias("ts")).distinct()
@@ -129,9 +177,13 @@ def state_at(
     history_seconds: Duration = HISTORY_SECONDS,
     trend_seconds: Duration = TREND_SECONDS,
     top: int = TOP_SHOWN,
+    whole: bool = True,
 ) -> DataFrame:
     """The state of the system at every cursor; cursors before the first sample have none.
 
+    Without ``whole`` it has `WINDOW_ENDS`, which take no more work for wider windows, in
+    place of the arrays ``history`` and ``trends``; ``max_gap`` is then not None.
+
     Cursors are reduced to distinct moments, those to distinct samples and
     distinct process batches; windows, trends and tops are made once for each
     of these, and joined back last. One sweep over cursors, samples and
@@ -140,7 +192,8 @@ def state_at(
     """
     moments = resolve_times(cursors, {"as_of": samples, "batch_ts": processes}, by, at).filter(
         F.col("as_of").isNotNull()).persist(StorageLevel.DISK_ONLY)
-    sampled = sample_views(
+    view = sample_views if whole else sample_ends
+    sampled = view(
         moments.select(*by, "as_of").distinct(), samples, by, max_gap, history_seconds, trend_seconds
     )
     topped = batch_views(moments.filter(F.col("batch_ts").isNotNull()), processes, by, top)

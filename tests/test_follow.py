@@ -128,6 +128,23 @@ def test_flush_by_rows_or_time(tmp_path, monkeypatch):
     assert reader.latestOffset() is same
 
 
+def test_what_piled_up_is_flushed_many_loads_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 45), ("b", 23), ("c", 4)):
+        write(tmp_path / "in" / name, *[message(f"{name}{i}") for i in range(n)])
+    query = feeds.ingest_flushed(
+        spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "cp"), rows=5, wait=0.3)
+    feeds.drain(query, 0.3)
+    assert len([p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit()]) <= 3
+    rows = read_table(spark, str(tmp_path / "t"), EVENTS).select("load_id", "message").collect()
+    assert len({r.message for r in rows}) == len(rows) == 72
+    loads = {}
+    for r in rows:
+        loads.setdefault((r.message[0], r.load_id), []).append(int(r.message[1:]))
+    assert {(name, min(at) // 5, len(at)) for (name, _), at in loads.items()} == {
+        *[("a", k, 5) for k in range(9)], *[("b", k, 5) for k in range(4)], ("b", 4, 3), ("c", 0, 4)}
+
+
 def test_a_batch_is_cut_by_bytes(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

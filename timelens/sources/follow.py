@@ -45,6 +45,7 @@ FOLLOWED = T.StructType([
     T.StructField("arrived", T.TimestampType()),
     T.StructField("file", T.StringType()),
     T.StructField("position", T.LongType()),
+    T.StructField("flush", T.LongType()),
 ])
 
 
@@ -55,6 +56,7 @@ class Range(InputPartition):
     start: int
     end: int
     seen: int  # microseconds
+    alone: bool = True  # all that the batch has of the file
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str]:
@@ -128,6 +130,11 @@ def behind_lines(source, start: int, size: int, rows: int) -> tuple[int, int]:
         block = source.read(min(1 << 18, size - at))
         if not block:
             break
+        ends = block.count(b"\n")
+        if found + ends <= rows:
+            found, end = found + ends, at + block.rfind(b"\n") + 1 if ends else end
+            at += len(block)
+            continue
         place = -1
         while found < rows and (place := block.find(b"\n", place + 1)) >= 0:
             found, end = found + 1, at + place + 1
@@ -146,13 +153,14 @@ class FollowReader(DataSourceStreamReader):
         self.path = options["path"].rstrip("/")
         self.begin = options.get("begin", "start")
         self.rows = int(options.get("rows", 0))
+        self.flushes = int(options.get("flushes", 1))
         self.wait = float(options.get("wait", 0))
         self.bytes = int(options.get("bytes", 1 << 30))
         self.long_lines = options.get("long_lines", "skip")
         if self.begin not in ("start", "now") or self.long_lines not in ("skip", "fail"):
             raise ValueError("begin is 'start' or 'now', long_lines 'skip' or 'fail'")
-        if self.rows < 0 or self.wait < 0 or self.bytes < 1:
-            raise ValueError("rows and wait are not negative, bytes is 1 or more")
+        if self.rows < 0 or self.wait < 0 or self.bytes < 1 or self.flushes < 1:
+            raise ValueError("rows and wait are not negative, bytes and flushes 1 or more")
         self.at: dict | None = None
         self.waiting: dict[str, float] = {}
 
@@ -170,7 +178,14 @@ class FollowReader(DataSourceStreamReader):
         with system.open_input_file(f"{folder}/{name}") as source:
             if not self.rows:
                 return min(last_line_end(source, start, size), start + self.bytes)
-            end, found = behind_lines(source, start, size, self.rows)
+            near = min(size, start + SPLIT)
+            end, found = behind_lines(source, start, near, self.rows * self.flushes)
+            if found > self.rows:
+                if found % self.rows:
+                    end, _ = behind_lines(source, start, near, found - found % self.rows)
+                found = self.rows
+            elif found < self.rows and near < size:
+                end, found = behind_lines(source, start, size, self.rows)
         if found == self.rows or not found:
             self.waiting.pop(name, None)
             return end
@@ -210,21 +225,26 @@ class FollowReader(DataSourceStreamReader):
         for name, stop in end["files"].items():
             begin = start["files"].get(name, 0)
             begin = 0 if stop < begin else begin
-            ranges += [Range(name, at, min(at + SPLIT, stop), end["seen"]) for at in range(begin, stop, SPLIT)]
+            ranges += [Range(name, at, min(at + SPLIT, stop), end["seen"], stop - begin <= SPLIT) for at in range(begin, stop, SPLIT)]
         return ranges
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, folder = _located(self.path)
         schema = pa.schema([("value", pa.string()), ("arrived", pa.timestamp("us", "UTC")),
-                            ("file", pa.string()), ("position", pa.int64())])
+                            ("file", pa.string()), ("position", pa.int64()), ("flush", pa.int64())])
+        before = 0
         with system.open_input_file(f"{folder}/{partition.file}") as source:
             for begins, lines in whole_lines(source, partition.start, partition.end):
                 if self.long_lines == "fail" and None in lines:
                     place = begins[lines.index(None)]
                     raise ValueError(f"line above {LONGEST_LINE} bytes at byte {place} of {partition.file}")
+                # a batch that takes more than one range of a file takes one flush of it
+                flush = (before + np.arange(len(lines))) // self.rows if self.rows and partition.alone else np.zeros(len(lines), np.int64)
+                before += len(lines)
                 yield pa.record_batch([
                     _texts(lines), pa.array(np.full(len(lines), partition.seen), pa.timestamp("us", "UTC")),
-                    pa.array([partition.file] * len(lines)), pa.array(begins, pa.int64())], schema)
+                    pa.array([partition.file] * len(lines)), pa.array(begins, pa.int64()),
+                    pa.array(flush, pa.int64())], schema)
 
 
 class FollowSource(DataSource):
@@ -243,19 +263,21 @@ class FollowSource(DataSource):
 
 def follow_lines(
     spark: SparkSession, path: str, begin: str = "start", rows: int = 0, wait: float = 0.0,
-    most_bytes: int = 1 << 30, long_lines: str = "skip",
+    most_bytes: int = 1 << 30, long_lines: str = "skip", flushes: int = 1,
 ) -> DataFrame:
-    """Lines of the growing files below a folder: ``value, arrived, file, position``.
+    """Lines of the growing files below a folder: ``value, arrived, file, position, flush``.
 
     ``arrived`` is when the batch of the line was planned. ``begin="now"`` passes over what
     the files hold when the query is first started. With ``rows`` a batch takes at most so
     many lines of each file, and fewer only once the first of them has waited ``wait``
-    seconds; else it takes what there is, at most ``most_bytes`` of each file. A query that
+    seconds; else it takes what there is, at most ``most_bytes`` of each file. Of a file that
+    has more waiting, a batch takes up to ``flushes`` times ``rows`` lines, in full flushes and
+    at most 32 MB of more than one; ``flush`` numbers them from 0 in each file and batch. A query that
     runs once and stops sees one batch: give it no ``wait`` and no ``rows``.
     """
     spark.dataSource.register(FollowSource)
     return (
         spark.readStream.format("journal_follow").option("path", path).option("begin", begin)
         .option("rows", str(rows)).option("wait", str(wait)).option("bytes", str(most_bytes))
-        .option("long_lines", long_lines).load()
+        .option("long_lines", long_lines).option("flushes", str(flushes)).load()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from timelens.operators.ingest import first_wins
@@ -35,7 +35,7 @@ LEDGER_SLOTS = 3
 LEDGER = T.StructType([T.StructField("base", T.LongType()), T.StructField("rows", T.LongType()), T.StructField(LOAD, T.LongType())])
 
 
-def _replace_load(rows: DataFrame, path: str, load_id: int, by: Sequence[str]) -> None:
+def _replace_load(rows: DataFrame, path: str, load_id: int | Column, by: Sequence[str]) -> None:
     (
         rows.withColumn(LOAD, F.lit(load_id).cast("long")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -92,6 +92,12 @@ def append_load(rows: DataFrame, path: str, load_id: int, key: Sequence[str] = (
     _replace_load(_by_day(rows, key), path, load_id, [DAY, LOAD])
 
 
+def append_loads(rows: DataFrame, path: str, key: Sequence[str] = ("ts",)) -> None:
+    """Append the loads that a column ``load_id`` names, each a file a day; writing them again replaces them."""
+    dealt = rows.withColumn(DAY, F.to_date("ts")).repartition(LOAD)
+    _replace_load(dealt.sortWithinPartitions(DAY, LOAD, *key), path, F.col(LOAD), [DAY, LOAD])
+
+
 def append_events(events: DataFrame, path: str, load_id: int) -> None:
     append_load(events, path, load_id)
 

@@ -21,17 +21,23 @@ from timelens.operators.ingest import add_tick_sums, first_wins, tick_sums, top_
 from timelens.schemas import EVENTS, PROCESS_KEY, PROCESSES, SAMPLE_KEY, SAMPLES, conform, series_key, with_host
 from timelens.sources.follow import follow_lines
 from timelens.sources.journal import typed_lines
-from timelens.sources.tables import DAY, append_events, append_first_wins, append_load, number_rows, read_table
+from timelens.sources.tables import DAY, append_events, append_first_wins, append_load, append_loads, number_rows, read_table
 
 # Seconds between flushes, rows that are flushed at once, seconds before a failed feed starts again.
 FLUSH_SECONDS = 2
 FLUSH_ROWS = 200
 RESTART_SECONDS = 5
 
+FLUSHES = 256
+"""Flushes of each file that one micro-batch takes of what has piled up, each a load of its own."""
+
 POLL_SECONDS = 0.2
 """How often a feed that flushes by rows or time looks for new lines."""
 
 
+LOADED_EVENTS = T.StructType([*EVENTS.fields, T.StructField("load_id", T.LongType())])
+
+
 def line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Journal export files appearing in a folder: ``value`` and ``arrived``."""
     reader = spark.readStream
@@ -89,23 +95,28 @@ def run_forever(begin: Callable[[], StreamingQuery], pause: float = RESTART_SECO
 
 def ingest_journal(
     lines: DataFrame, events_path: str, checkpoint: str, rejects_path: str | None = None, once: bool = False,
-    every: float = FLUSH_SECONDS,
+    every: float = FLUSH_SECONDS, flushes: int = 1,
 ) -> StreamingQuery:
     """Lines to typed events, appended; rejected lines go to their own folder.
 
     Lines are numbered in the order of arrival, without gaps or limits.
     Duplicates are kept, as equal lines are separate events. A replayed batch
-    gets the same numbers and overwrites itself.
+    gets the same numbers and overwrites itself. With ``flushes`` above 1 a batch is that
+    many loads, told apart by the lines' ``flush``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         lines_of_batch = batch.persist()
         try:
             typed = typed_lines(number_rows(lines_of_batch, events_path, batch_id)).persist()
-            append_events(conform(typed.filter("accepted"), EVENTS), events_path, batch_id)
+            load = F.lit(batch_id) if flushes == 1 else F.lit(batch_id * flushes) + F.col("flush")
+            if flushes == 1:
+                append_events(conform(typed.filter("accepted"), EVENTS), events_path, batch_id)
+            else:
+                append_loads(conform(typed.filter("accepted").withColumn("load_id", load), LOADED_EVENTS), events_path)
             if rejects_path:
                 (
-                    typed.filter(~F.col("accepted")).select("value", "arrived", F.lit(batch_id).alias("load_id"))
+                    typed.filter(~F.col("accepted")).select("value", "arrived", load.alias("load_id"))
                     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                     .partitionBy("load_id").parquet(rejects_path)
                 )
@@ -123,10 +134,11 @@ def ingest_flushed(
     """Growing journal files to events, a load as soon as ``rows`` lines wait in a file, or the first for ``wait`` seconds.
 
     A load holds at most ``rows`` lines of each file, as each machine's collector flushes
-    by itself. ``options`` are those of `follow_lines`.
+    by itself. What has piled up in a file is written `FLUSHES` loads at a time. ``options``
+    are those of `follow_lines`.
     """
-    lines = follow_lines(spark, path, rows=rows, wait=wait, **options)
-    return ingest_journal(lines, events_path, checkpoint, rejects_path, every=POLL_SECONDS)
+    lines = follow_lines(spark, path, rows=rows, wait=wait, flushes=FLUSHES, **options)
+    return ingest_journal(lines, events_path, checkpoint, rejects_path, every=POLL_SECONDS, flushes=FLUSHES)
 
 
 def drain(query: StreamingQuery, wait: float = FLUSH_SECONDS) -> None:

@@ -345,3 +345,21 @@ def test_a_tick_cut_over_batches_is_shown_whole_in_the_end(spark, tmp_path):
     put(folder, "6", [process_line("a", 60, 2, 3.0)], 50)  # the state outlives a restart
     run()
     assert {(r.pid, r.revision) for r in spark.read.parquet(out).filter("revision = 2").collect()} == {(2, 2), (1, 2), (5, 2)}
+
+
+def test_parts_of_several_files_are_one_batch_each(spark, tmp_path):
+    from timelens.plans import catalog
+
+    rows = spark.range(0, 1000, numPartitions=5).withColumnRenamed("id", "event_id")
+    few = spark.createDataFrame([(i,) for i in (0, 1, 9)], "event_id long").repartition(5)
+    for name, given in (("many", rows), ("few", few)):
+        files = catalog._written(spark, str(tmp_path / name), given, "event_id", "parquet")
+        assert files == 5
+        assert len(list((tmp_path / name).glob("part-*"))) == 4 * files
+        stream = catalog._stream(spark, str(tmp_path / f"{name}-stream"), given)
+        seen = {}
+        stream.writeStream.option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).foreachBatch(
+            lambda batch, n: seen.update({n: sorted(r[0] for r in batch.collect())})).start().awaitTermination()
+        ids = sorted(r[0] for r in given.collect())
+        last = ids[-1] + 1
+        assert seen == {k: [i for i in ids if i * 4 // last == k] for k in range(4)}

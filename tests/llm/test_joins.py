@@ -182,3 +182,37 @@ def test_elements_of_more_sets_than_a_key_holds():
     for of, want_of, want in (([0] * 6, [0, 0, 0], [5, 8, 9]), ([1, 0, 1, 0, 0, 0], [0, 0, 0, 1], [5, 8, 9, 9])):
         got_of, got = distinct_elements(np.array(of), near)
         assert (got_of.tolist(), got.tolist()) == (want_of, want)
+
+
+def test_long_lines_that_share_a_token_are_told_apart_by_wider_parities():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in [0, *rng.choice(np.arange(1, 2000), 149, replace=False)]) for _ in range(60)]
+    near = texts[0].split(" ")
+    texts.append(" ".join([*near[:-10], *(f"v{k}" for k in range(10))]))
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    sets = line_dedup.line_sets(data, np.array([0, len(data)]))
+    n = len(sets.rows)
+    words, width = line_dedup.parities(sets)
+    assert n == 61 and (width == line_dedup.WIDE).all()
+    columns = [np.zeros(n, np.uint64), digests(sets), sets.sizes, np.zeros(n, np.int64), words, np.zeros(n, np.int64), np.arange(n)]
+    met = line_dedup._Meeting(columns)
+    got = [(met.numbers[y], met.numbers[x]) for a, b in met.pairs(None, 2) for y, x in zip(a, b)]
+    assert got == [(60, 0)]
+
+
+@pytest.mark.parametrize("spare", [0, 256])
+def test_a_set_whose_first_pairs_fail_has_others(frame, monkeypatch, spare):
+    """Doubtful pairs are kept beside the first ones, and with none kept the second pass has them all."""
+    passes = []
+    monkeypatch.setattr(line_dedup, "KEPT", 1)
+    monkeypatch.setattr(line_dedup, "SPARE", spare)
+    monkeypatch.setattr(line_dedup._Meeting, "likely", lambda self, i, j: np.zeros(len(i), bool))
+    monkeypatch.setattr(line_dedup._Meeting, "passing", lambda self, i, j: np.ones(len(i), bool))
+    prefix_tokens = line_dedup.flags
+    monkeypatch.setattr(line_dedup, "flags", lambda *a, **k: passes.append(1) or prefix_tokens(*a, **k))
+    base = [f"t{k}" for k in range(24)]
+    rows = [(i, " ".join(base[:18] + [f"u{i}_{k}" for k in range(6)])) for i in range(12)]
+    rows += [(50 + i, " ".join(base[:21] + [f"u{i}_{k}" for k in range(3)])) for i in range(12)]
+    got = line_dedup.mark_lines(frame(rows)).collect()
+    assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == expected_lines(rows)
+    assert bool(passes) == (spare == 0)

@@ -8,9 +8,10 @@ a hash). Lines of any length take part; only those without words stay as they ar
 Lines of equal tokens are one set, which stays at its first place. Sets are joined by
 prefixes: tokens are ordered by rarity, and matching sets share one of their rarest
 quarter and one. Sets that meet at a token pass the length filter, the positional
-filter (tokens behind the shared one must still allow the overlap) and a filter on 64
-parity bits of the sets (each token in one set alone changes one bit at most). Of the
-earlier sets that pass, every set keeps the KEPT first, and these pairs are verified
+filter (tokens behind the shared one must still allow the overlap) and a filter on
+parity bits of the sets (each token in one set alone changes one bit at most; long sets
+have more bits). Of the earlier sets that pass, every set keeps the KEPT first of those
+that by their bits look sure to match, or SPARE if none does, and these pairs are verified
 on the texts. A set whose kept pairs all fail, and that had more, gets all its pairs
 verified in a second pass. So a group of similar lines costs some pairs a line, and
 no pair that could decide is left out.
@@ -28,6 +29,7 @@ lowered. Lines end at \\n only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
 LEAST_WORDS = 1
 RARITY_BITS = 22
 KEPT = 2
+SPARE = 256
+"""Pairs of a set of which none looks sure to match."""
 HELD = 1 << 18
 """Postings a task holds before it hands them on."""
 
@@ -51,6 +55,10 @@ CROWD = 256
 PAIRS = 1 << 18
 """Pairs filtered at once."""
 
+WIDTHS, WIDE_FROM = (1, 2, 4), (64, 100)
+"""Words of parity bits of sets, and the tokens from which on sets have the second and third number of them."""
+WIDE = WIDTHS[-1]
+
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -68,7 +76,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     found = find_words(data, offsets, NON_SPACE)
     rows, starts = line_starts(data, offsets)
     # of lines that begin at one place, the last is the one with words
-    line = np.searchsorted(starts, found.starts, "right") - 1
+    line = np.repeat(np.arange(len(starts)), np.diff(np.append(np.searchsorted(found.starts, starts), len(found.starts))))
     of, elements = distinct_elements(line, found.hashes)
     sizes = np.bincount(of, minlength=len(rows))
     filled = np.flatnonzero(sizes >= LEAST_WORDS)
@@ -81,12 +89,32 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     return Sets(rows[filled], filled - firsts[rows[filled]], starts[filled], ends[filled], place[of], elements)
 
 
-def parities(sets: Sets) -> np.ndarray:
-    """64 bits a set, each the parity of its tokens with that bit."""
-    bits = np.uint64(1) << (mix(sets.elements) & np.uint64(63))
-    total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)])
-    cuts = np.searchsorted(sets.of, np.arange(len(sets.rows) + 1))
-    return total[cuts[1:]] ^ total[cuts[:-1]]
+def parities(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of the sets, WIDE words each, and how many of the words count.
+
+    Of 64 * WIDE bits, each is the parity of the set's tokens that fall on it. Small sets have
+    them folded to fewer words, the others 0; a fold of bits is the parity of both's tokens.
+    """
+    bit, width = mix(sets.elements), widths(sets.sizes)
+    words = np.empty((len(width), WIDE), np.uint64)
+    if not len(width):
+        return words, width
+    starts = np.searchsorted(sets.of, np.arange(len(width)))  # no set is empty
+    one = np.uint64(1) << (bit & np.uint64(63))
+    of = (bit >> np.uint64(6)).astype(np.uint8) & np.uint8(WIDE - 1)
+    for w in range(WIDE):
+        words[:, w] = np.bitwise_xor.reduceat(one * (of == w), starts)
+    for size in WIDTHS[:-1]:
+        small = np.flatnonzero(width == size)
+        for w in range(size, WIDE):
+            words[small, w % size] ^= words[small, w]
+        words[small, size:] = 0
+    return words, width
+
+
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """Words of parity bits by the size of a set: the more tokens may differ, the more bits tell."""
+    return np.array(WIDTHS)[np.searchsorted(WIDE_FROM, sizes, "right")]
 
 
 _PACKED = ("bucket int, kind int, ids array<long>, row_keys binary, n_lines binary, rows binary, numbers binary, digests binary, "
@@ -102,13 +130,20 @@ def _packed(rows: list[dict]) -> pa.RecordBatch:
 def _by_bucket(held: list[tuple[np.ndarray, ...]], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-    # prefixes prefer small hashes, so buckets take another one
-    bucket = mix(columns[0]) >> np.uint64(64 - bucket_bits)
+    elements, *columns, words = [np.concatenate(x) for x in zip(*held, strict=True)]
+    # prefixes prefer small hashes, so buckets take another one; tokens of a bucket go by its next 32 bits, and
+    # tokens that share these meet more sets than they need
+    mixed = mix(elements)
+    bucket = mixed >> np.uint64(64 - bucket_bits)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
-    names = ("keys", "digests", "sizes", "places", "bits", "docs", "numbers")
-    rows = [{"bucket": b, "kind": 1} | {n: c[order[cuts[b]:cuts[b + 1]]].tobytes() for n, c in zip(names, columns, strict=True)}
+    columns = [(mixed << np.uint64(bucket_bits) >> np.uint64(32)).astype(np.uint32), *columns]
+    columns = [c[order] for c in columns]
+    words, width = words[order], widths(columns[2])
+    counted = np.arange(WIDE) < width[:, None]
+    names = ("keys", "digests", "sizes", "places", "docs", "numbers")
+    rows = [{"bucket": b, "kind": 1, "bits": words[cuts[b]:cuts[b + 1]][counted[cuts[b]:cuts[b + 1]]].tobytes()}
+            | {n: c[cuts[b]:cuts[b + 1]].tobytes() for n, c in zip(names, columns, strict=True)}
             for b in np.flatnonzero(np.diff(cuts)).tolist()]
     if rows:
         yield _packed(rows)
@@ -125,7 +160,7 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
                 yield from _by_bucket(held, bucket_bits)
                 held = []
             sets = line_sets(data, offsets)
-            digest, sizes, bits = digests(sets), sets.sizes, parities(sets)
+            digest, sizes, bits = digests(sets), sets.sizes, parities(sets)[0]
             if tokens is None:
                 present = batch.column(2).slice(low, high - low).is_valid().to_numpy(zero_copy_only=False)
                 n_lines = np.bincount(line_starts(data, offsets)[0], minlength=high - low) * present
@@ -144,8 +179,8 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
             if tokens is not None:
                 mine &= flagged(elements.view(np.int64), tokens)
             of = of[mine]
-            held.append((elements[mine], digest[of], sizes[of].astype(np.uint32), places[mine].astype(np.uint32), bits[of],
-                         docs[of], numbers[of].astype(np.uint32)))
+            held.append((elements[mine], digest[of], sizes[of].astype(np.uint32), places[mine].astype(np.uint32),
+                         docs[of], numbers[of].astype(np.uint32), bits[of]))
         yield from _by_bucket(held, bucket_bits)
 
 
@@ -155,30 +190,77 @@ class _Meeting:
     def __init__(self, columns: list[np.ndarray]):
         keys, digest, sizes, places, bits, docs, numbers = columns
         # each set once a token, at its first place
-        order = np.lexsort((numbers, docs, digest, keys))
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[order][1:] != keys[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-        order = order[new]
-        order = order[np.lexsort((sizes[order], keys[order]))]
-        self.keys, self.digest, self.bits = keys[order], digest[order], bits[order]
+        order = np.lexsort((digest, keys))
+        again = (keys[order][1:] == keys[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+        if again.any():
+            some = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+            mine = order[some]
+            order[some] = mine[np.lexsort((numbers[mine], docs[mine], digest[mine], keys[mine]))]
+        order = order[np.concatenate([[True], ~again])] if len(order) else order
+        group = np.cumsum(np.concatenate([[0], keys[order][1:] != keys[order][:-1]])) if len(order) else order
+        # by (token, size)
+        order = order[np.argsort(group << 32 | sizes[order].astype(np.int64), kind="stable")]
+        self.keys, self.digest = keys[order], digest[order]
         self.sizes, self.places = sizes[order].astype(np.int64), places[order].astype(np.int64)
         self.docs, self.numbers = docs[order], numbers[order]
-        rank = np.empty(len(order), np.int64)
-        rank[np.lexsort((self.digest, numbers[order], docs[order]))] = np.arange(len(order))
-        self.rank = rank
+        self.words = bits.reshape(len(bits), -1)[order] if len(order) else bits.reshape(0, WIDE)
+        self.width = np.minimum(widths(self.sizes), self.words.shape[1])
+        self.bits = np.bitwise_xor.reduce(self.words, axis=1)
         self.starts = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]])) if len(order) else np.zeros(0, np.int64)
         self.ends = np.append(self.starts[1:], len(order))
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Of all entries, by place."""
+        rank = np.empty(len(self.keys), np.int64)
+        rank[self.order(np.arange(len(rank)))] = np.arange(len(rank))
+        return rank
+
+    def order(self, rows: np.ndarray, *above: np.ndarray) -> np.ndarray:
+        """What sorts rows by place, within what is `above` (the last counts first)."""
+        return np.lexsort((self.digest[rows], self.numbers[rows], self.docs[rows], *above))
+
+    def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether i is at an earlier place than j."""
+        return (self.docs[i] < self.docs[j]) | (self.docs[i] == self.docs[j]) & (
+            (self.numbers[i] < self.numbers[j]) | (self.numbers[i] == self.numbers[j]) & (self.digest[i] < self.digest[j]))
+
     def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least, most = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
         total = least + most
         overlap = -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
         behind = np.minimum(self.sizes[i] - self.places[i], self.sizes[j] - self.places[j])
         differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
-        return (least * DENOMINATOR >= most * NUMERATOR) & (behind >= overlap) & (differ <= total - 2 * overlap)
+        good = (least * DENOMINATOR >= most * NUMERATOR) & (behind >= overlap) & (differ <= total - 2 * overlap)
+        # wider parity bits of those that are left
+        left = np.flatnonzero(good)
+        differ, _ = self.differ(i[left], j[left])
+        good[left] = differ <= (total - 2 * overlap)[left]
+        return good
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many parity bits sets differ, folded to what both have, and how many bits these are."""
+        shared = np.minimum(self.width[i], self.width[j])
+        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
+        for size in WIDTHS[1:]:
+            wide = np.flatnonzero(shared >= size)
+            if not len(wide):
+                break
+            changed = self.words[i[wide]] ^ self.words[j[wide]]
+            folded = np.bitwise_xor.reduce(changed.reshape(len(wide), -1, size), axis=1)
+            differ[wide] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        return differ, 64 * shared
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs that pass look sure to match: by their parity bits they differ in half the tokens they may, at most."""
+        differ, bits = self.differ(i, j)
+        total = self.sizes[i] + self.sizes[j]
+        estimate = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-9))
+        return 2 * estimate <= total + 2 * (-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
 
     def pairs(self, wanted: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set.
+        """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set,
+        or SPARE and one more where none is likely.
 
         With `wanted`, all pairs whose later set is wanted.
         """
@@ -187,7 +269,7 @@ class _Meeting:
             return
         crowd = self.ends - self.starts > CROWD
         for a, b in zip(self.starts[crowd].tolist(), self.ends[crowd].tolist(), strict=True):
-            yield from self._blocks(np.arange(a, b)[np.argsort(self.rank[a:b])], least)
+            yield from self._blocks(np.arange(a, b)[self.order(np.arange(a, b))], least)
         group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
         mine = np.flatnonzero(~crowd[group]) if len(group) else group
         # partners behind i: larger sets within the length filter
@@ -203,7 +285,7 @@ class _Meeting:
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             good = self.passing(i, j)
             i, j = i[good], j[good]
-            swap = self.rank[i] < self.rank[j]
+            swap = self.before(i, j)
             yield np.where(swap, j, i), np.where(swap, i, j)
             low = high
 
@@ -222,14 +304,14 @@ class _Meeting:
             n = count[low:high]
             i = np.repeat(mine[low:high], n)
             j = np.arange(len(i)) + np.repeat(start[low:high] - (np.cumsum(n) - n), n)
-            good = self.rank[j] < self.rank[i]
-            i, j = i[good], j[good]
             good = self.passing(i, j)
+            i, j = i[good], j[good]
+            good = self.rank[j] < self.rank[i]
             yield i[good], j[good]
             low = high
 
     def _blocks(self, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        going, found = np.arange(1, len(group)), np.zeros(len(group), np.int64)
+        going, found, sure = np.arange(1, len(group)), np.zeros(len(group), np.int64), np.zeros(len(group), bool)
         low, size = 0, 32
         while low < len(group) - 1 and len(going):
             high = min(len(group), low + size)
@@ -238,14 +320,29 @@ class _Meeting:
                 y, x = np.repeat(some, high - low), np.tile(np.arange(low, high), len(some))
                 y, x = y[x < y], x[x < y]
                 good = self.passing(group[y], group[x])
-                found += np.bincount(y[good], minlength=len(group))
-                yield group[y[good]], group[x[good]]
-            going = going[(found[going] <= least) & (going > high)]
+                y, x = y[good], x[good]
+                found += np.bincount(y, minlength=len(group))
+                sure[y[self.likely(group[y], group[x])]] = True
+                yield group[y], group[x]
+            going = going[(found[going] <= np.where(sure[going], least, max(least, SPARE))) & (going > high)]
             low, size = high, min(size * 2, 512)
 
 
+def _read_postings(rows: list[list]) -> list[np.ndarray]:
+    """Keys (bucket and token), digests, sizes, places, words of parity bits, documents and lines of packed postings."""
+    types = (np.uint32, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32)
+    buckets, *packed = zip(*rows, strict=True)
+    keys, digest, sizes, places, bits, docs, numbers = (
+        np.concatenate([np.frombuffer(b, t) for b in c]) for c, t in zip(packed, types, strict=True))
+    of = np.repeat(np.array(buckets, np.uint64), [b.size // 4 for b in packed[0]])
+    counted = np.arange(WIDE) < widths(sizes)[:, None]
+    words = np.zeros(counted.shape, np.uint64)
+    words[counted] = bits
+    return [of << np.uint64(32) | keys, digest, sizes, places, words, docs, numbers]
+
+
 def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 2) as sets' digests: y in `digests`, x in `keys`, whether y had more in `bits`."""
+    """Candidate pairs (kind 2) as sets' digests: y in `digests`, x in `keys`; in `bits` whether y had more (1), and the pair is doubtful (2)."""
     rows = []
     for batch in batches:
         kinds = batch.column(1).to_numpy()
@@ -253,37 +350,39 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
         if len(passing):
             yield batch.take(pa.array(passing))
         for i in np.flatnonzero(kinds == 1).tolist():
-            rows.append([batch.column(_NAMES.index(n))[i].as_buffer() for n in ("keys", "digests", "sizes", "places", "bits", "docs", "numbers")])
+            rows.append([batch.column(0)[i].as_py(), *(
+                batch.column(_NAMES.index(n))[i].as_buffer() for n in ("keys", "digests", "sizes", "places", "bits", "docs", "numbers"))])
     if not rows:
         return
-    types = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32)
-    met = _Meeting([np.concatenate([np.frombuffer(b, t) for b in c]) for c, t in zip(zip(*rows, strict=True), types, strict=True)])
+    met = _Meeting(_read_postings(rows))
     rows.clear()
     more = np.zeros(0, np.int64)
 
     def reduced(later: np.ndarray, earlier: np.ndarray, more: np.ndarray):
         """Distinct pairs, of each later set the first ones; `more` gets the sets that lose some."""
         y, x = met.digest[later], met.digest[earlier]
-        order = np.lexsort((met.rank[earlier], x, y))
+        order = np.lexsort((x, y))
         later, earlier, y, x = later[order], earlier[order], y[order], x[order]
         new = np.ones(len(y), bool)
         new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1])
         later, earlier, y = later[new], earlier[new], y[new]
         if wanted is None:
-            order = np.lexsort((met.rank[earlier], y))
-            later, earlier, y = later[order], earlier[order], y[order]
-            place = np.arange(len(y)) - np.searchsorted(y, y)
-            more = np.unique(np.concatenate([more, y[place >= KEPT]]))
-            later, earlier = later[place < KEPT], earlier[place < KEPT]
+            doubtful = ~met.likely(later, earlier)
+            order = met.order(earlier, doubtful, y)
+            later, earlier, y, doubtful = later[order], earlier[order], y[order], doubtful[order]
+            first = np.searchsorted(y, y)
+            mine = np.arange(len(y)) - first < np.where(doubtful[first], max(KEPT, SPARE), KEPT)
+            more = np.unique(np.concatenate([more, y[~mine]]))
+            later, earlier = later[mine], earlier[mine]
         return later, earlier, more
 
     def packed(later: np.ndarray, earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
         y, x = met.digest[later], met.digest[earlier]
-        lost = np.isin(y, more)
+        marks = np.isin(y, more) | (~met.likely(later, earlier)).astype(np.uint8) << 1
         for low in range(0, len(y), 1 << 16):
             part = slice(low, low + (1 << 16))
             yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
-                            "bits": lost[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
+                            "bits": marks[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
                             "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
 
     none = np.zeros(0, np.int64)
@@ -306,8 +405,9 @@ def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for y, x, more, doc, number in zip(*(batch.column(i) for i in range(5)), strict=True):
             ids = [pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (y, x, doc, number)]
-            lost = pa.array(np.frombuffer(more.as_buffer(), np.uint8).astype(bool))
-            yield pa.RecordBatch.from_arrays([*ids, lost], ["y", "x", "doc", "number", "more"])
+            marks = np.frombuffer(more.as_buffer(), np.uint8)
+            flags_of = [pa.array((marks & bit).astype(bool)) for bit in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, *flags_of], ["y", "x", "doc", "number", "more", "doubtful"])
 
 
 def _unpack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +428,13 @@ def _unpack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "row_key", "n_lines"])
 
 
-def _prefix_tokens(ranks: np.ndarray, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column(2)):
-            sets = line_sets(data, offsets)
-            mine = flagged(digests(sets), wanted)
-            of, elements, _ = prefixes(sets, ranks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(elements[mine[of]]).view(np.int64))], ["token"])
+def _prefix_tokens(ranks: np.ndarray, wanted: np.ndarray, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Prefix tokens of the wanted sets."""
+    for _, _, data, offsets in text_slices(batch.column(0)):
+        sets = line_sets(data, offsets)
+        mine = flagged(digests(sets), wanted)
+        of, elements, _ = prefixes(sets, ranks)
+        yield np.unique(elements[mine[of]]).view(np.int64)
 
 
 def _row_key() -> F.Column:
@@ -345,7 +445,7 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row_key, n_lines) of all rows, and (row_key, removed): the sorted numbers of lines that go, from 0."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = max(4, (2 * tasks - 1).bit_length())
+    bucket_bits = max(4, (8 * tasks - 1).bit_length())  # several a task, so that tasks are even
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
     texts = rows.select("text")
@@ -359,15 +459,16 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def pairs_of(packed: DataFrame) -> DataFrame:
         return (packed.where("kind = 2").select("digests", "keys", "bits", "docs", "numbers")
-                .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean")
-                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("doc", "number", "x")).alias("place")))
+                .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean, doubtful boolean")
+                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("doubtful", "doc", "number", "x")).alias("place")))
 
     packed = met(None, None)
-    # of what the tasks kept, the first pairs of all
-    firsts = Window.partitionBy("y").orderBy("place")
-    asked = kept(pairs_of(packed).withColumn("nth", F.row_number().over(firsts))
-                 .withColumn("more", F.max(F.col("more") | (F.col("nth") > KEPT)).over(Window.partitionBy("y")))
-                 .where(F.col("nth") <= KEPT).select("y", "x", "more"))
+    # of what the tasks kept, the first pairs of all, likely ones before others
+    of_set = Window.partitionBy("y")
+    most = F.when(F.min("place.doubtful").over(of_set), max(KEPT, SPARE)).otherwise(KEPT)
+    asked = kept(pairs_of(packed).withColumn("nth", F.row_number().over(of_set.orderBy("place"))).withColumn("most", most)
+                 .withColumn("more", F.max(F.col("more") | (F.col("nth") > F.col("most"))).over(of_set))
+                 .where("nth <= most").select("y", "x", "more"))
     names = [F.col("y").alias("a"), F.col("x").alias("b")]
     checked = kept(verify(asked.select(*names), fetch, line_sets))
     matched = checked.where(similar()).select(F.col("a").alias("digest")).distinct()
@@ -375,7 +476,7 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not unsure.isEmpty():
         wanted = flags(unsure)
         sent = spark.sparkContext.broadcast(wanted)
-        tokens = flags(rows.mapInArrow(lambda b: _prefix_tokens(ranks.value, sent.value, b), "token long"))
+        tokens = flags(texts, ids_of=lambda b: _prefix_tokens(ranks.value, sent.value, b))
         again = (pairs_of(met(tokens, wanted)).select(*names).join(unsure.select(F.col("digest").alias("a")), "a", "left_semi")
                  .join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         more = verify(kept(again), fetch, line_sets)

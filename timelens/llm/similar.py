@@ -141,12 +141,20 @@ def shared_prefixes(texts: DataFrame, read: ReadSets, ranks: Broadcast, most_bit
     return several_hits(texts, hashes, bits)
 
 
-def flags(ids: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
-    """One flag a counter: whether one of the ids (one column of longs) falls on it."""
+def _first_column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy()
+
+
+def flags(rows: DataFrame, bits: int = FLAG_BITS, ids_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _first_column) -> np.ndarray:
+    """One flag a counter: whether one of the ids (one column of longs, or `ids_of` batches of rows) falls on it.
+
+    `ids_of` runs in the tasks that count, so that they need no second Python worker beside them.
+    """
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield mix(batch.column(0).to_numpy().view(np.uint64))
+        for ids in ids_of(batch):
+            yield mix(ids.view(np.uint64))
 
-    return hashed_counts(ids, hashes, bits, lambda counts: counts > 0, np.bool_)
+    return hashed_counts(rows, hashes, bits, lambda counts: counts > 0, np.bool_)
 
 
 def flagged(ids: np.ndarray, held: np.ndarray) -> np.ndarray:

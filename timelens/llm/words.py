@@ -82,7 +82,9 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     power, inverse = _power(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * power[:len(data)], out=sums[1:])
+    np.take(_BYTE, data, out=sums[1:], mode="clip")
+    sums[1:] *= power[:len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
@@ -92,8 +94,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64))
-    low = LOWER[data]
-    word = inside[low]
+    low = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    word = np.frombuffer(low.tobytes().translate(inside.tobytes()), bool)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     after = np.empty(n, bool)
@@ -104,7 +106,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
     before[-1] = False
     np.logical_and(word[1:], ~edge[1:n], out=before[:-1])
     ends = np.flatnonzero(word & ~before) + 1
-    return Words(np.searchsorted(offsets, starts, "right") - 1, starts, ends, hash_ranges(low, starts, ends))
+    counts = np.diff(np.searchsorted(starts, offsets))
+    return Words(np.repeat(np.arange(len(counts)), counts), starts, ends, hash_ranges(low, starts, ends))
 
 
 _PLACE = mix(np.arange(1000, 1064, dtype=np.uint64) * _BASE) | np.uint64(1)

@@ -1,5 +1,7 @@
 """Line dedup and near duplicates against brute force, and their defined cases."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -56,6 +58,33 @@ def test_components_of_a_crowd_of_near_copies_and_a_chain(frame, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+def test_members_that_fit_no_other_of_their_region_leave_it(frame, monkeypatch):
+    rng = random.Random(4)
+    long = [sentence(rng, 1200) for _ in range(6)]
+    near = long[0].split(" ")
+    near[5:15] = [f"edit{k}" for k in range(10)]
+    texts = [*long, " ".join(near)]
+    blobs = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    sets = near_duplicates.document_sets(data, np.cumsum([0, *map(len, blobs)]))
+    prints = near_duplicates.set_prints(sets)
+    schema = "region long, digest long, n long, " + ", ".join(f"{c} long" for c in near_duplicates.PRINTS)
+    rows = [(r, i, int(sets.sizes[i]), *map(int, prints[i])) for r, some in ((1, range(7)), (2, range(1, 6)), (3, (0, 6))) for i in some]
+    members = frame(rows, schema)
+    monkeypatch.setattr(near_duplicates, "MET", 6)  # region 1 is larger
+    got = sorted((r[0], r[1]) for r in near_duplicates._partnered(members).collect())
+    assert got == [*((1, i) for i in range(7)), (3, 0), (3, 6)]
+
+
+def test_further_links_join_components(frame):
+    schema = "a long, b long"
+    first, more = [(9, 2), (2, 5), (7, 8), (20, 21)], [(8, 5), (30, 31), (9, 5), (31, -4)]
+    names = near_duplicates.with_links(near_duplicates.components(frame(first, schema)), frame(more, schema))
+    assert sorted(map(tuple, names.collect())) == [(5, 2), (7, 2), (8, 2), (9, 2), (21, 20), (30, -4), (31, -4)]
+    assert sorted(map(tuple, near_duplicates.with_links(names, frame([(7, 9)], schema)).collect())) == sorted(map(tuple, names.collect()))
+    assert "Generate" not in near_duplicates.components(frame(first, schema))._jdf.queryExecution().toString()
+
+
 def test_components_split_hot_shingles(docs, frame, monkeypatch):
     monkeypatch.setattr(near_duplicates, "HOT", 4)
     monkeypatch.setattr(near_duplicates, "CHUNK", 3)

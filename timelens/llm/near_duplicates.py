@@ -19,6 +19,7 @@ others, the boundary, are the next region, until it has a single component. Docu
 that are far apart fall away in one round, and a group of near copies costs one
 distance each. Sizes and prints (parities of shingles) bound a distance from below;
 where that leaves no link, the texts are not compared and the bound goes into the window.
+A document of a region of up to MET that by these bounds fits no other of it leaves it at once.
 
 Links are exact; components are their transitive closure, found by hooking every
 set to the least of its neighbours until nothing changes. Equal sets are one from the
@@ -59,6 +60,9 @@ LINKS = 1 << 18
 MEMBERS = 1 << 13
 """Rows of open regions that one task takes at least."""
 
+MET = 512
+"""Documents of a region up to which all of its pairs are looked at by prints."""
+
 CHUNK = 4096
 HELD = 1 << 18
 """Postings a task holds before it hands them on."""
@@ -75,8 +79,8 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     return Sets(np.arange(n), np.zeros(n, np.int64), offsets[:-1], offsets[1:], of, elements)
 
 
-PRINT = 8
-"""Longs of a document's print."""
+PRINT = 16
+"""Longs of a document's print: enough bits to tell apart documents of 1,500 shingles."""
 PRINTS = [f"print{i}" for i in range(PRINT)]
 
 
@@ -313,10 +317,60 @@ def _open_regions(members: DataFrame) -> tuple[DataFrame, int]:
     return left, found.n
 
 
+def _fit(n: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which of some sets may be similar to another of them, by sizes and prints (see `may_be_similar`)."""
+    out = np.zeros(len(n), bool)
+    for low in range(0, len(n), 64):
+        rows = np.arange(low, min(len(n), low + 64))
+        m = n[rows][:, None]
+        differ = np.bitwise_count(prints[rows][:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+        fit = ((np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR)
+               & ((n + m) * (DENOMINATOR - NUMERATOR) >= differ * (DENOMINATOR + NUMERATOR)))
+        fit[np.arange(len(rows)), rows] = False
+        out[rows] = fit.any(axis=1)
+    return out
+
+
+def _fit_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come by region, without those that fit no other of their region."""
+    def left(rows: pa.RecordBatch) -> pa.RecordBatch:
+        region, n = (rows.column(rows.schema.names.index(c)).to_numpy() for c in ("region", "n"))
+        prints = np.stack([rows.column(rows.schema.names.index(c)).to_numpy() for c in PRINTS], axis=1).view(np.uint64)
+        cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])).tolist()
+        fit = np.concatenate([_fit(n[a:b], prints[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return rows.filter(pa.array(fit))
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([*waiting, batch])
+        region = rows.column(rows.schema.names.index("region")).to_numpy()
+        # the last region may go on
+        cut = len(region) - int(np.argmax(region[::-1] != region[-1])) if region[0] != region[-1] else 0
+        waiting = [rows.slice(cut)]
+        if cut:
+            yield left(rows.slice(0, cut))
+    if waiting:
+        yield left(waiting[0])
+
+
+def _partnered(members: DataFrame) -> DataFrame:
+    """The members of regions, kept, without those that cannot link within their region.
+
+    All pairs of a region of up to MET documents are looked at in one task, by sizes and prints;
+    larger regions are left as they are.
+    """
+    columns, members = members.columns, kept(members)
+    counted = members.join(members.groupBy("region").agg(F.count("*").alias("met")), "region")
+    small = counted.where(F.col("met") <= MET).select(*columns).repartition("region").sortWithinPartitions("region")
+    return kept(small.mapInArrow(_fit_members, small.schema).unionAll(counted.where(F.col("met") > MET).select(*columns)))
+
+
 def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFrame:
     """(digest, component) of all sets that have a link; `prints` has a row for each digest."""
     slack = 1e-9
-    members = kept(members.join(prints, "digest"))
+    members = _partnered(members.join(prints, "digest"))
     marks = [f"pivot_{c}" for c in PRINTS]
     fit = may_be_similar(F.col("n"), F.col("pivot_n"), F.col("differ"))
 
@@ -346,8 +400,12 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
         found, n = _sized(verify(pairs, fetch, document_sets), LINKS)
         all_known, n_known = all_known.unionAll(found), n_known + n.n
         known = all_known.coalesce(_partitions(n_known, LINKS))
-        links = names.select(F.col("digest").alias("a"), F.col("component").alias("b")).unionAll(_links(found))
-        names = components(links)
+        names = with_links(names, _links(found))
+        # of regions that are one component now, nothing is left to find
+        members, n_open = _open_regions(members.drop("component").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+        if not n_open:
+            break
+        near = near.join(members.select("region").distinct(), "region", "left_semi")
         # distances to pivots: known ones, or what sizes and prints leave open
         total = F.col("n") + F.col("pivot_n")
         open_from = F.greatest(1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"), 2 * F.col("differ") / (total + F.col("differ")))
@@ -361,9 +419,8 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
         reaches = (F.col("high") >= F.col("from") - EPS - slack) & (F.col("low") <= F.col("to") + EPS + slack)
         # a pivot, and what of its cell lies outside its window, has no link left
         done = measured.where("mine").join(windows, ["region", "pivot"], "left").where(~F.coalesce(reaches, F.lit(False)))
-        left = (members.drop("component").join(done.select("region", "digest"), ["region", "digest"], "left_anti")
-                .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti")
-                .join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+        left = (members.join(done.select("region", "digest"), ["region", "digest"], "left_anti")
+                .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti"))
         members, n_open = _open_regions(left)
     return names
 
@@ -372,24 +429,35 @@ def _star_links(links: DataFrame) -> tuple[DataFrame, Row]:
     return _sized(links, LINKS, F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("mark"))
 
 
+def with_links(names: DataFrame, links: DataFrame) -> DataFrame:
+    """`names`, the (digest, component) of `components`, after further links: only those between components are run over."""
+    ends = links
+    for c in ("a", "b"):
+        ends = (ends.join(names.select(F.col("digest").alias(c), "component"), c, "left")
+                .withColumn(c, F.coalesce("component", c)).drop("component"))
+    moved = components(ends)
+    if moved.isEmpty():
+        return names
+    to = moved.select(F.col("digest").alias("component"), F.col("component").alias("to"))
+    held, _ = _sized(names.join(to, "component", "left").select("digest", F.coalesce("to", "component").alias("component")).unionAll(moved), LINKS)
+    return held
+
+
 def components(links: DataFrame) -> DataFrame:
     """(digest, component) of all linked sets: every set hooks to the least it can reach.
 
     Each round joins the links of a star's centre among its leaves (the least gets the
     others), so long chains shrink by half or more.
     """
-    def rows_of(*pairs: tuple[str, str]) -> Column:
-        return F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]))
-
-    edges, before = _star_links(links.select("a", "b").where("a != b").distinct())
+    edges, before = _star_links(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     while True:
-        both = edges.select(rows_of(("a", "b"), ("b", "a")))
-        # every set sends its greater neighbours to its least one
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
+        # a is less than b: every set sends its greater neighbours to its least one, which is among its lesser ones
+        least = edges.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+        large = edges.join(least, "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
         # then every set sends its lesser neighbours, and itself, to its least one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(rows_of(("m", "a"), ("m", "b"))).where("a != b").distinct()
+        small = (large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+                 .unionAll(least.select(F.col("m").alias("a"), "b")).distinct())
         edges, now = _star_links(small)
         if now == before:
             break

@@ -143,3 +143,12 @@ def test_default_embedder_ranks_shared_words_first(spark):
     full = em.with_embeddings(df, em.embed_pending(df, embedder))
     q = em.embed_query(spark, embedder, "disk failure")
     assert [r.event_id for r in semantic.semantic_search(full, q, None, 2).collect()] == [3, 1]
+
+
+def test_cells_are_not_packed_into_one_task(spark):
+    rows = spark.range(64).select("id", F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("v"))
+    found = semantic.semantic_search_many(
+        rows.select(F.col("id").alias("query_id"), F.col("v").alias("vector")),
+        rows.select(F.col("id").alias("event_id"), F.col("v").alias("embedding")), 3, 4, 3)
+    assert found._jdf.queryExecution().toString().count(", 18), REPARTITION_BY_NUM") >= 2
+    assert found.count() == 64 * 3

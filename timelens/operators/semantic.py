@@ -158,6 +158,7 @@ def _best_of_pairs(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     """The best k of every query over the pairs of blocks that follow each other, one matrix product a pair."""
     open_, query_ids = None, np.zeros(0, np.int64)
     best: list[tuple[np.ndarray, np.ndarray]] = []
+    least = np.zeros(0, np.float32)  # score to reach, once k are kept
 
     def found() -> pa.RecordBatch:
         counts = [len(ids) for _, ids in best]
@@ -176,17 +177,18 @@ def _best_of_pairs(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                 query_ids = np.frombuffer(batch.column(2)[row].as_buffer(), "<i8")
                 matrix = np.frombuffer(batch.column(3)[row].as_buffer(), "<f4").reshape(-1, dimension).astype(np.float64)
                 best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(query_ids)
+                least = np.full(len(query_ids), -np.inf, np.float32)
             ids = np.frombuffer(batch.column(4)[row].as_buffer(), "<i8")
             vectors = np.frombuffer(batch.column(5)[row].as_buffer(), "<f4").reshape(-1, dimension)
             scores = cosine_scores(vectors, matrix)
-            for q in range(len(query_ids)):
+            for q in np.flatnonzero(scores.max(axis=1) >= least):
                 held, names = best[q]
-                if len(held) == k and scores[q].max() < held[-1]:
-                    continue
                 top = _best(scores[q], ids, k)
                 held, names = np.concatenate([held, scores[q][top]]), np.concatenate([names, ids[top]])
                 keep = _best(held, names, k)
                 best[q] = held[keep], names[keep]
+                if len(keep) == k:
+                    least[q] = held[keep[-1]]
     if open_ is not None:
         yield found()
 
@@ -217,7 +219,10 @@ def semantic_search_many(
         everywhere.alias("_column"))
     there = _blocks(vector(events, "event_id", "embedding"), block).select(
         "dimension", "ids", "rows", dealt.alias("_column"), everywhere.alias("_row"))
-    pairs = asked.join(there.hint("merge"), ["dimension", "_row", "_column"]).select(
+    # a cell is much work for few bytes: with partitions of a set number, several are not packed into one task
+    cell = ["dimension", "_row", "_column"]
+    asked, there = (side.repartition(2 * wide * wide, *cell) for side in (asked, there))
+    pairs = asked.join(there.hint("merge"), cell).select(
         "dimension", "block", "query_ids", "queries", "ids", "rows")
     found = pairs.mapInArrow(lambda batches: _best_of_pairs(k, batches), "query_id long, event_id long, score float")
     ranked = top_per_group(found, ["query_id"], [F.desc("score"), F.asc("event_id")], k)

@@ -76,6 +76,23 @@ def test_members_that_fit_no_other_of_their_region_leave_it(frame, monkeypatch):
     assert got == [*((1, i) for i in range(7)), (3, 0), (3, 6)]
 
 
+def test_members_that_fit_their_own_component_only_leave_their_region(frame):
+    schema = "region long, digest long, n long, component long, " + ", ".join(f"{c} long" for c in near_duplicates.PRINTS)
+    alike = [0] * near_duplicates.PRINT
+    other = [-1] * near_duplicates.PRINT
+    rows = [(1, 10, 100, 10, *alike), (1, 11, 100, 10, *alike), (1, 12, 100, 12, *other),
+            (2, 20, 100, 20, *alike), (2, 21, 100, 20, *other), (2, 22, 100, 22, *alike)]
+    got = near_duplicates._partnered(frame(rows, schema))
+    assert got.columns == schema.replace(" long", "").split(", ")
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(2, 20), (2, 22)]
+
+
+def test_regions_of_one_group_are_merged(frame):
+    rows = [(r, d, 50, 1) for r, some in ((7, (1, 2, 3)), (8, (2, 3, 4)), (9, (3, 4)), (5, (5, 6))) for d in some]
+    got = near_duplicates._merged(frame(rows, "region long, digest long, n long, shared long")).collect()
+    assert sorted(map(tuple, got)) == [(3, 1, 50, 1), (3, 2, 50, 2), (3, 3, 50, 3), (3, 4, 50, 2), (6, 5, 50, 1), (6, 6, 50, 1)]
+
+
 def test_further_links_join_components(frame):
     schema = "a long, b long"
     first, more = [(9, 2), (2, 5), (7, 8), (20, 21)], [(8, 5), (30, 31), (9, 5), (31, -4)]

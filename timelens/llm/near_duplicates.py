@@ -10,16 +10,17 @@ document that meets most others; regions with the same pivot are one. At first e
 is compared with the pivot it shares most prefix shingles with, its Voronoi cell's.
 
 Then regions are joined recursively. In each round, every region that holds documents
-of several components gets a pivot for each of up to CELLS of them, and all distances
-from the region's documents to the pivots are computed; a distance of EPS or less is a
-link. A pivot's component is its cell. By the triangle inequality the distances of linked documents to any pivot
-differ by EPS at most: a document of the cell whose distance lies outside the window
-of those outside the cell has no link left to find, nor has the pivot itself. The
-others, the boundary, are the next region, until it has a single component. Documents
-that are far apart fall away in one round, and a group of near copies costs one
-distance each. Sizes and prints (parities of shingles) bound a distance from below;
-where that leaves no link, the texts are not compared and the bound goes into the window.
-A document of a region of up to MET that by these bounds fits no other of it leaves it at once.
+of several components gets a pivot for each of up to CELLS of them, the largest, whose
+component is its cell. A distance of EPS or less to a pivot is a link; sizes and prints
+(parities of shingles) bound a distance from below, and where that leaves no link, or both
+are of one component, the texts are not compared. Pivots have no link left to find then.
+Of the WINDOWS largest cells all distances to the pivot are taken, or their bounds: by the
+triangle inequality the distances of linked documents to any pivot differ by EPS at most, so
+a document of the cell whose distance lies outside the window of those outside the cell has no
+link left either. The others, the boundary, are the next region, until it has a single
+component. A document of a region of up to MET that by the bounds fits none of another
+component leaves it in any round. Documents that are far apart fall away in one round, and a
+group of near copies costs one distance each.
 
 Links are exact; components are their transitive closure, found by hooking every
 set to the least of its neighbours until nothing changes. Equal sets are one from the
@@ -54,13 +55,16 @@ EPS = 1 - NUMERATOR / DENOMINATOR
 CELLS = 64
 """Components of a region that get a pivot in one round."""
 
+WINDOWS = 2
+"""Of these the largest, whose cells get windows."""
+
 LINKS = 1 << 18
 """Links, or compared pairs, that one task takes at least."""
 
 MEMBERS = 1 << 13
 """Rows of open regions that one task takes at least."""
 
-MET = 512
+MET = 2048
 """Documents of a region up to which all of its pairs are looked at by prints."""
 
 CHUNK = 4096
@@ -309,16 +313,8 @@ def _partitions(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def _open_regions(members: DataFrame) -> tuple[DataFrame, int]:
-    """Only the regions that hold several components, and how many rows they have."""
-    several = (members.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"))
-               .where("one != other").select("region"))
-    left, found = _sized(members.join(several, "region", "left_semi"), MEMBERS)
-    return left, found.n
-
-
-def _fit(n: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Which of some sets may be similar to another of them, by sizes and prints (see `may_be_similar`)."""
+def _fit(n: np.ndarray, prints: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which of some sets may be similar to one of another component, by sizes and prints (see `may_be_similar`)."""
     out = np.zeros(len(n), bool)
     for low in range(0, len(n), 64):
         rows = np.arange(low, min(len(n), low + 64))
@@ -326,18 +322,17 @@ def _fit(n: np.ndarray, prints: np.ndarray) -> np.ndarray:
         differ = np.bitwise_count(prints[rows][:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
         fit = ((np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR)
                & ((n + m) * (DENOMINATOR - NUMERATOR) >= differ * (DENOMINATOR + NUMERATOR)))
-        fit[np.arange(len(rows)), rows] = False
-        out[rows] = fit.any(axis=1)
+        out[rows] = (fit & (component[rows][:, None] != component)).any(axis=1)
     return out
 
 
 def _fit_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that come by region, without those that fit no other of their region."""
+    """Rows that come by region, without those that fit none of another component in their region."""
     def left(rows: pa.RecordBatch) -> pa.RecordBatch:
-        region, n = (rows.column(rows.schema.names.index(c)).to_numpy() for c in ("region", "n"))
+        region, n, component = (rows.column(rows.schema.names.index(c)).to_numpy() for c in ("region", "n", "component"))
         prints = np.stack([rows.column(rows.schema.names.index(c)).to_numpy() for c in PRINTS], axis=1).view(np.uint64)
         cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])).tolist()
-        fit = np.concatenate([_fit(n[a:b], prints[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        fit = np.concatenate([_fit(n[a:b], prints[a:b], component[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         return rows.filter(pa.array(fit))
 
     waiting: list[pa.RecordBatch] = []
@@ -356,23 +351,45 @@ def _fit_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partnered(members: DataFrame) -> DataFrame:
-    """The members of regions, kept, without those that cannot link within their region.
+    """The members of regions without those that cannot link with another component of their region.
 
     All pairs of a region of up to MET documents are looked at in one task, by sizes and prints;
-    larger regions are left as they are.
+    larger regions of several components are left as they are. Without `component` every document is one.
+    """
+    columns = members.columns
+    members = kept(members if "component" in columns else members.withColumn("component", F.col("digest")))
+    several = (members.groupBy("region").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("met"))
+               .where("one != other").select("region", "met"))
+    counted = members.join(several, "region")
+    small = counted.where(F.col("met") <= MET).drop("met").repartition("region").sortWithinPartitions("region")
+    return small.mapInArrow(_fit_members, small.schema).unionByName(counted.where(F.col("met") > MET).drop("met")).select(*columns)
+
+
+def _open_regions(members: DataFrame) -> tuple[DataFrame, int]:
+    """Only the regions that hold several components, their members that may link, and how many rows these are."""
+    left, found = _sized(_partnered(members), MEMBERS)
+    return left, found.n
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """(region, digest, n, shared) with each region under that of its documents that meets most others in all regions.
+
+    Tasks name regions by what they hold, so one group of near copies has several at first.
     """
-    columns, members = members.columns, kept(members)
-    counted = members.join(members.groupBy("region").agg(F.count("*").alias("met")), "region")
-    small = counted.where(F.col("met") <= MET).select(*columns).repartition("region").sortWithinPartitions("region")
-    return kept(small.mapInArrow(_fit_members, small.schema).unionAll(counted.where(F.col("met") > MET).select(*columns)))
+    members = kept(members)
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    met = members.join(sizes, "region").groupBy("digest").agg(F.sum("size").alias("met"))
+    named = members.join(met, "digest").groupBy("region").agg(F.max_by("digest", F.struct("met", "digest")).alias("to"))
+    return (members.join(named, "region").groupBy(F.col("to").alias("region"), "digest", "n").agg(F.sum("shared").alias("shared")))
 
 
 def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFrame:
     """(digest, component) of all sets that have a link; `prints` has a row for each digest."""
     slack = 1e-9
-    members = _partnered(members.join(prints, "digest"))
+    members = kept(_partnered(_merged(members).join(prints, "digest")))
     marks = [f"pivot_{c}" for c in PRINTS]
-    fit = may_be_similar(F.col("n"), F.col("pivot_n"), F.col("differ"))
+    differ = _differ(marks)
+    may = may_be_similar(F.col("n"), F.col("pivot_n"), differ)
 
     def as_pivot(one: str) -> list[Column]:
         return [F.col(f"{one}.digest").alias("pivot"), F.col(f"{one}.n").alias("pivot_n"),
@@ -380,7 +397,7 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
 
     pivots = members.groupBy("region").agg(
         F.min(F.struct(F.col("digest") != F.col("region"), "digest", "n", *PRINTS)).alias("p")).select("region", *as_pivot("p"))
-    near = members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks)).where(fit)
+    near = members.join(pivots, "region").where("digest != pivot").where(may)
     homes = near.groupBy("digest").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("home"))
     found, n = _sized(verify(kept(_pairs(homes.select(F.col("digest").alias("x"), F.col("home").alias("y"))).select("a", "b").distinct()),
                              fetch, document_sets), LINKS)
@@ -390,12 +407,15 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
     while n_open:
         known = all_known.coalesce(_partitions(n_known, LINKS))
         # digests are hashes: the least is any
-        least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n", *PRINTS)).alias("p"))
-        in_order = Window.partitionBy("region").orderBy("p.digest")
-        pivots = least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS).select("region", *as_pivot("p"))
-        near, _ = _sized(_pairs(members.join(pivots, "region").where("digest != pivot").withColumn("differ", _differ(marks))
-                              .withColumns({"x": F.col("digest"), "y": F.col("pivot"), "fit": fit})).drop("x", "y", "component", *PRINTS, *marks),
-                         MEMBERS * CELLS)
+        least = members.groupBy("region", "component").agg(F.min(F.struct("digest", "n", *PRINTS)).alias("p"), F.count("*").alias("size"))
+        in_order = Window.partitionBy("region").orderBy(F.desc("size"), "p.digest")
+        pivots = (least.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= CELLS)
+                  .select(F.col("region").alias("in"), F.col("component").alias("cell"), (F.col("nth") <= WINDOWS).alias("wide"), *as_pivot("p")))
+        # only what can link two cells, and all distances to the pivots of the largest
+        meets = (F.col("region") == F.col("in")) & (F.col("digest") != F.col("pivot")) & (F.col("wide") | may & (F.col("component") != F.col("cell")))
+        near, _ = _sized(_pairs(members.join(pivots, meets)
+                                .withColumns({"differ": differ, "x": F.col("digest"), "y": F.col("pivot"), "fit": may}))
+                         .drop("in", "x", "y", "component", "cell", *PRINTS, *marks), MEMBERS * CELLS)
         pairs = kept(near.where("fit").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
         found, n = _sized(verify(pairs, fetch, document_sets), LINKS)
         all_known, n_known = all_known.unionAll(found), n_known + n.n
@@ -405,7 +425,7 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
         members, n_open = _open_regions(members.drop("component").join(names, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
         if not n_open:
             break
-        near = near.join(members.select("region").distinct(), "region", "left_semi")
+        near = near.where("wide").join(members.select("region").distinct(), "region", "left_semi")
         # distances to pivots: known ones, or what sizes and prints leave open
         total = F.col("n") + F.col("pivot_n")
         open_from = F.greatest(1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"), 2 * F.col("differ") / (total + F.col("differ")))
@@ -420,7 +440,7 @@ def join_regions(members: DataFrame, prints: DataFrame, fetch: Fetch) -> DataFra
         # a pivot, and what of its cell lies outside its window, has no link left
         done = measured.where("mine").join(windows, ["region", "pivot"], "left").where(~F.coalesce(reaches, F.lit(False)))
         left = (members.join(done.select("region", "digest"), ["region", "digest"], "left_anti")
-                .join(pivots.select("region", F.col("pivot").alias("digest")), ["region", "digest"], "left_anti"))
+                .join(pivots.select(F.col("in").alias("region"), F.col("pivot").alias("digest")), ["region", "digest"], "left_anti"))
         members, n_open = _open_regions(left)
     return names
 

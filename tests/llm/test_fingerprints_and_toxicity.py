@@ -124,6 +124,19 @@ def test_gradients_match_differences(model):
             assert abs((up - down) / (2 * step) - grad[at]) < 2e-3
 
 
+def test_the_driver_does_not_train(frame, monkeypatch):
+    import os
+    rows, driver, train = toxic_corpus(60), os.getpid(), toxicity.train
+
+    def elsewhere(texts, marks):
+        assert os.getpid() != driver
+        return train(texts, marks)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    trained = toxicity.train_on(frame([(d, t) for d, t, _ in rows]), frame([(d, y) for d, _, y in rows], "doc_id long, toxic int"), 30)
+    assert trained.weights and 0 < trained.base_rate < 1
+
+
 def test_tables(frame):
     rows = toxic_corpus(60)
     documents = frame([(d, t, 0.5) for d, t, _ in rows] + [(None, None, 0.5), (7, rows[7][1], 0.5)], "doc_id long, text string, toxicity double")

@@ -385,10 +385,29 @@ def train_on(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         known.where("toxic = 0").orderBy(key, "doc_id").limit(sample_rows // 2))
     # `sample_rows` rows of two numbers
     rows = (documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .join(F.broadcast(sample), "doc_id").toArrow())
-    texts, marks, ids = (rows[c].to_pylist() for c in ("text", "toxic", "doc_id"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i], marks[i]))
-    return train([texts[i] for i in order], np.array([marks[i] for i in order], np.float32))
+            .join(F.broadcast(sample), "doc_id").repartition(1))
+    found = rows.mapInArrow(_train_rows, "name string, kind string, shape array<long>, held binary").toArrow().to_pylist()
+    return _unpack_model(found) if found else train([], np.zeros(0, np.float32))
+
+
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arrays of the model trained on all rows, in a task so that the driver needs no memory for it."""
+    rows = [r for batch in batches for r in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
+    rows.sort()
+    model = train([text for _, text, _ in rows], np.array([toxic for *_, toxic in rows], np.float32))
+    arrays = {f"{which}.{k}": v for which in ("words", "grams") for k, v in getattr(model, which)._asdict().items()}
+    arrays |= {f"weights.{k}": v for k, v in model.weights.items()} | {"base_rate": np.array(model.base_rate)}
+    yield pa.RecordBatch.from_pydict({
+        "name": pa.array(list(arrays), pa.string()), "kind": pa.array([v.dtype.str for v in arrays.values()], pa.string()),
+        "shape": pa.array([list(v.shape) for v in arrays.values()], pa.list_(pa.int64())),
+        "held": pa.array([v.tobytes() for v in arrays.values()], pa.binary())})
+
+
+def _unpack_model(rows: list[dict]) -> Model:
+    arrays = {r["name"]: np.frombuffer(r["held"], r["kind"]).reshape(r["shape"]) for r in rows}
+    words, grams = (Vocabulary(*(arrays[f"{which}.{k}"] for k in Vocabulary._fields)) for which in ("words", "grams"))
+    weights = {k.removeprefix("weights."): v for k, v in arrays.items() if k.startswith("weights.")}
+    return Model(words, grams, weights, float(arrays["base_rate"]))
 
 
 RESULT = {"toxicity": T.DoubleType(), "n_windows": T.LongType(), "top_word": T.LongType()}

@@ -24,6 +24,8 @@ other columns, and repeated rows, are kept.
 
 from __future__ import annotations
 
+import os
+import traceback
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -391,13 +393,37 @@ def train_on(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The arrays of the model trained on all rows, in a task so that the driver needs no memory for it."""
+    """The arrays of the model trained on all rows, in a task so that the driver needs no memory for it.
+
+    It trains in a process of its own: a Python worker goes on to other tasks and would keep the memory.
+    """
     rows = [r for batch in batches for r in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
     rows.sort()
-    model = train([text for _, text, _ in rows], np.array([toxic for *_, toxic in rows], np.float32))
+    end, begin = os.pipe()
+    child = os.fork()
+    if not child:
+        failed = True
+        try:
+            batch = _pack_model(train([text for _, text, _ in rows], np.array([toxic for *_, toxic in rows], np.float32)))
+            with os.fdopen(begin, "wb") as sink, pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            failed = False
+        except BaseException:
+            traceback.print_exc()
+        finally:
+            os._exit(failed)
+    os.close(begin)
+    with os.fdopen(end, "rb") as source:
+        held = source.read()
+    if os.waitpid(child, 0)[1]:
+        raise RuntimeError("training failed, see the executor's log")
+    yield from pa.ipc.open_stream(held)
+
+
+def _pack_model(model: Model) -> pa.RecordBatch:
     arrays = {f"{which}.{k}": v for which in ("words", "grams") for k, v in getattr(model, which)._asdict().items()}
     arrays |= {f"weights.{k}": v for k, v in model.weights.items()} | {"base_rate": np.array(model.base_rate)}
-    yield pa.RecordBatch.from_pydict({
+    return pa.RecordBatch.from_pydict({
         "name": pa.array(list(arrays), pa.string()), "kind": pa.array([v.dtype.str for v in arrays.values()], pa.string()),
         "shape": pa.array([list(v.shape) for v in arrays.values()], pa.list_(pa.int64())),
         "held": pa.array([v.tobytes() for v in arrays.values()], pa.binary())})

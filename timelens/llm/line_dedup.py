@@ -10,7 +10,7 @@ prefixes: tokens are ordered by rarity, and matching sets share one of their rar
 quarter and one. Sets that meet at a token pass the length filter, the positional
 filter (tokens behind the shared one must still allow the overlap) and a filter on
 parity bits of the sets (each token in one set alone changes one bit at most; long sets
-have more bits). Of the earlier sets that pass, every set keeps the KEPT first of those
+have more bits). Of the earlier sets that pass, every set keeps the KEPT most alike of those
 that by their bits look sure to match, or SPARE if none does, and these pairs are verified
 on the texts. A set whose kept pairs all fail, and that had more, gets all its pairs
 verified in a second pass. So a group of similar lines costs some pairs a line, and
@@ -45,11 +45,14 @@ from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
 LEAST_WORDS = 1
 RARITY_BITS = 22
 KEPT = 2
-SPARE = 256
+SPARE = 96
 """Pairs of a set of which none looks sure to match."""
 HELD = 1 << 18
 """Postings a task holds before it hands them on."""
 
+SURE, MOST_UNLIKE = 24, 127
+"""Steps up to which a pair looks sure to match, and the last step; the fewer, the earlier it is verified."""
+
 CROWD = 256
 """Sets at a token from which on they are compared in blocks."""
 PAIRS = 1 << 18
@@ -89,6 +92,13 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
     return Sets(rows[filled], filled - firsts[rows[filled]], starts[filled], ends[filled], place[of], elements)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> Sets:
+    """All words as the elements of one set, repeated ones too: enough to tell rare tokens from frequent ones."""
+    found = find_words(data, offsets, NON_SPACE)
+    none = np.zeros(0, np.int64)
+    return Sets(none, none, none, none, none, found.hashes)
+
+
 def parities(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Parity bits of the sets, WIDE words each, and how many of the words count.
 
@@ -188,7 +198,11 @@ class _Meeting:
     """Sets at tokens, ordered by (token, size), with all that the filters need."""
 
     def __init__(self, columns: list[np.ndarray]):
-        keys, digest, sizes, places, bits, docs, numbers = columns
+        # a set alone at a token meets none
+        order = np.argsort(columns[0])
+        again = columns[0][order][1:] == columns[0][order][:-1]
+        several = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])] if len(order) else order
+        keys, digest, sizes, places, bits, docs, numbers = (c[several] for c in columns)
         # each set once a token, at its first place
         order = np.lexsort((digest, keys))
         again = (keys[order][1:] == keys[order][:-1]) & (digest[order][1:] == digest[order][:-1])
@@ -251,12 +265,17 @@ class _Meeting:
             differ[wide] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
         return differ, 64 * shared
 
-    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether pairs that pass look sure to match: by their parity bits they differ in half the tokens they may, at most."""
+    def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How unlike pairs are that pass, by their parity bits: SURE steps for half the tokens they may differ in."""
         differ, bits = self.differ(i, j)
         total = self.sizes[i] + self.sizes[j]
         estimate = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-9))
-        return 2 * estimate <= total + 2 * (-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+        may = total + 2 * (-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+        return np.minimum(np.ceil(SURE * 2 * estimate / np.maximum(may, 0.5)), MOST_UNLIKE).astype(np.int64)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs that pass look sure to match: by their parity bits they differ in half the tokens they may, at most."""
+        return self.unlike(i, j) <= SURE
 
     def pairs(self, wanted: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(later, earlier) of pairs that pass; of crowded tokens the first `least` and one more of each set,
@@ -342,7 +361,7 @@ def _read_postings(rows: list[list]) -> list[np.ndarray]:
 
 
 def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 2) as sets' digests: y in `digests`, x in `keys`; in `bits` whether y had more (1), and the pair is doubtful (2)."""
+    """Candidate pairs (kind 2) as sets' digests: y in `digests`, x in `keys`; in `bits` whether y had more (1), and twice how unlike the pair is."""
     rows = []
     for batch in batches:
         kinds = batch.column(1).to_numpy()
@@ -367,18 +386,18 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
         new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1])
         later, earlier, y = later[new], earlier[new], y[new]
         if wanted is None:
-            doubtful = ~met.likely(later, earlier)
-            order = met.order(earlier, doubtful, y)
-            later, earlier, y, doubtful = later[order], earlier[order], y[order], doubtful[order]
+            unlike = met.unlike(later, earlier)
+            order = met.order(earlier, unlike, y)
+            later, earlier, y, unlike = later[order], earlier[order], y[order], unlike[order]
             first = np.searchsorted(y, y)
-            mine = np.arange(len(y)) - first < np.where(doubtful[first], max(KEPT, SPARE), KEPT)
+            mine = np.arange(len(y)) - first < np.where(unlike[first] > SURE, max(KEPT, SPARE), KEPT)
             more = np.unique(np.concatenate([more, y[~mine]]))
             later, earlier = later[mine], earlier[mine]
         return later, earlier, more
 
     def packed(later: np.ndarray, earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
         y, x = met.digest[later], met.digest[earlier]
-        marks = np.isin(y, more) | (~met.likely(later, earlier)).astype(np.uint8) << 1
+        marks = np.isin(y, more) | met.unlike(later, earlier) << 1
         for low in range(0, len(y), 1 << 16):
             part = slice(low, low + (1 << 16))
             yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
@@ -406,8 +425,8 @@ def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for y, x, more, doc, number in zip(*(batch.column(i) for i in range(5)), strict=True):
             ids = [pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (y, x, doc, number)]
             marks = np.frombuffer(more.as_buffer(), np.uint8)
-            flags_of = [pa.array((marks & bit).astype(bool)) for bit in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, *flags_of], ["y", "x", "doc", "number", "more", "doubtful"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array((marks & 1).astype(bool)), pa.array((marks >> 1).astype(np.int32))],
+                                             ["y", "x", "doc", "number", "more", "unlike"])
 
 
 def _unpack_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +469,7 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
     texts = rows.select("text")
     fetch = texts_by_digest(texts, line_sets)
-    ranks = spark.sparkContext.broadcast(rarity(texts, line_sets, RARITY_BITS))
+    ranks = spark.sparkContext.broadcast(rarity(texts, _words, RARITY_BITS))
 
     def met(tokens: np.ndarray | None, wanted: np.ndarray | None) -> DataFrame:
         both = spark.sparkContext.broadcast((tokens, wanted))
@@ -459,13 +478,13 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def pairs_of(packed: DataFrame) -> DataFrame:
         return (packed.where("kind = 2").select("digests", "keys", "bits", "docs", "numbers")
-                .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean, doubtful boolean")
-                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("doubtful", "doc", "number", "x")).alias("place")))
+                .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean, unlike int")
+                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("unlike", "doc", "number", "x")).alias("place")))
 
     packed = met(None, None)
-    # of what the tasks kept, the first pairs of all, likely ones before others
+    # of what the tasks kept, the most alike pairs of all
     of_set = Window.partitionBy("y")
-    most = F.when(F.min("place.doubtful").over(of_set), max(KEPT, SPARE)).otherwise(KEPT)
+    most = F.when(F.min("place.unlike").over(of_set) > SURE, max(KEPT, SPARE)).otherwise(KEPT)
     asked = kept(pairs_of(packed).withColumn("nth", F.row_number().over(of_set.orderBy("place"))).withColumn("most", most)
                  .withColumn("more", F.max(F.col("more") | (F.col("nth") > F.col("most"))).over(of_set))
                  .where("nth <= most").select("y", "x", "more"))

@@ -198,11 +198,7 @@ class _Meeting:
     """Sets at tokens, ordered by (token, size), with all that the filters need."""
 
     def __init__(self, columns: list[np.ndarray]):
-        # a set alone at a token meets none
-        order = np.argsort(columns[0])
-        again = columns[0][order][1:] == columns[0][order][:-1]
-        several = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])] if len(order) else order
-        keys, digest, sizes, places, bits, docs, numbers = (c[several] for c in columns)
+        keys, digest, sizes, places, bits, docs, numbers = columns
         # each set once a token, at its first place
         order = np.lexsort((digest, keys))
         again = (keys[order][1:] == keys[order][:-1]) & (digest[order][1:] == digest[order][:-1])
@@ -348,7 +344,8 @@ class _Meeting:
 
 
 def _read_postings(rows: list[list]) -> list[np.ndarray]:
-    """Keys (bucket and token), digests, sizes, places, words of parity bits, documents and lines of packed postings."""
+    """Keys (bucket and token), digests, sizes, places, words of parity bits, documents and lines of packed postings
+    of tokens that several have."""
     types = (np.uint32, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32)
     buckets, *packed = zip(*rows, strict=True)
     keys, digest, sizes, places, bits, docs, numbers = (
@@ -357,7 +354,12 @@ def _read_postings(rows: list[list]) -> list[np.ndarray]:
     counted = np.arange(WIDE) < widths(sizes)[:, None]
     words = np.zeros(counted.shape, np.uint64)
     words[counted] = bits
-    return [of << np.uint64(32) | keys, digest, sizes, places, words, docs, numbers]
+    keys = of << np.uint64(32) | keys
+    # a set alone at a token meets none
+    order = np.argsort(keys)
+    again = keys[order][1:] == keys[order][:-1]
+    several = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])] if len(order) else order
+    return [c[several] for c in (keys, digest, sizes, places, words, docs, numbers)]
 
 
 def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

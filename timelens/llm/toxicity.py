@@ -387,24 +387,20 @@ def train_on(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         known.where("toxic = 0").orderBy(key, "doc_id").limit(sample_rows // 2))
     # `sample_rows` rows of two numbers
     rows = (documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .join(F.broadcast(sample), "doc_id").repartition(1))
-    found = rows.mapInArrow(_train_rows, "name string, kind string, shape array<long>, held binary").toArrow().to_pylist()
-    return _unpack_model(found) if found else train([], np.zeros(0, np.float32))
+            .join(F.broadcast(sample), "doc_id").toArrow())
+    return _unpack_model(_train_apart(rows))
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The arrays of the model trained on all rows, in a task so that the driver needs no memory for it.
-
-    It trains in a process of its own: a Python worker goes on to other tasks and would keep the memory.
-    """
-    rows = [r for batch in batches for r in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
-    rows.sort()
+def _train_apart(rows: pa.Table) -> list[dict]:
+    """The arrays of the model trained on the rows, in a process of its own, so that the driver keeps no memory of it."""
     end, begin = os.pipe()
     child = os.fork()
     if not child:
         failed = True
         try:
-            batch = _pack_model(train([text for _, text, _ in rows], np.array([toxic for *_, toxic in rows], np.float32)))
+            texts, marks, ids = (rows[c].to_pylist() for c in ("text", "toxic", "doc_id"))
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i], marks[i]))
+            batch = _pack_model(train([texts[i] for i in order], np.array([marks[i] for i in order], np.float32)))
             with os.fdopen(begin, "wb") as sink, pa.ipc.new_stream(sink, batch.schema) as writer:
                 writer.write_batch(batch)
             failed = False
@@ -416,8 +412,8 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with os.fdopen(end, "rb") as source:
         held = source.read()
     if os.waitpid(child, 0)[1]:
-        raise RuntimeError("training failed, see the executor's log")
-    yield from pa.ipc.open_stream(held)
+        raise RuntimeError("training failed, see the log")
+    return pa.ipc.open_stream(held).read_all().to_pylist()
 
 
 def _pack_model(model: Model) -> pa.RecordBatch:

@@ -150,3 +150,10 @@ def test_differencing_is_near_equal_and_raises_the_count():
 
 def test_no_documents_no_pieces(frame):
     assert pack.digest_pieces(pack.pack_documents(frame([]), BPE)).collect() == []
+
+
+def test_checksums_need_no_second_python_worker(frame):
+    found = pack.digest_pieces(pack.pack_documents(frame([(1, "one two"), (2, None)]), BPE))
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert found.schema["ids_crc32"].dataType.simpleString() == "bigint"
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -246,15 +245,9 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 0, c
         lambda batches: _pack(tokenizer_path, end_id, capacity, grain, group_windows, batches), PIECES)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.schema.names.index("ids")
-        sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(place)], pa.int64())
-        columns = [sums if i == place else c for i, c in enumerate(batch.columns)]
-        yield pa.RecordBatch.from_arrays(columns, [("ids_crc32" if n == "ids" else n) for n in batch.schema.names])
-
-
 def digest_pieces(pieces: DataFrame) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    schema = T.StructType([T.StructField("ids_crc32", T.LongType()) if f.name == "ids" else f for f in pieces.schema])
-    return pieces.mapInArrow(_digest, schema)
+    """The pieces with a checksum in place of their ids.
+
+    Spark makes it, so that no second Python worker stands beside the one that packs.
+    """
+    return pieces.select(*[F.crc32("ids").alias("ids_crc32") if c == "ids" else c for c in pieces.columns])

@@ -262,3 +262,33 @@ def test_a_set_whose_first_pairs_fail_has_others(frame, monkeypatch, spare):
     got = line_dedup.mark_lines(frame(rows)).collect()
     assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == expected_lines(rows)
     assert bool(passes) == (spare == 0)
+
+
+@pytest.mark.parametrize("listed", [0, 512])
+def test_few_unsure_sets_meet_the_lines_of_every_slice(frame, monkeypatch, listed):
+    """The second pass of a few sets looks for no tokens, that of more does; both have all pairs."""
+    scans = []
+    monkeypatch.setattr(line_dedup, "KEPT", 1)
+    monkeypatch.setattr(line_dedup, "SPARE", 0)
+    monkeypatch.setattr(line_dedup, "LISTED", listed, raising=False)
+    monkeypatch.setattr(line_dedup._Meeting, "passing", lambda self, i, j: np.ones(len(i), bool))
+    flags = line_dedup.flags
+    monkeypatch.setattr(line_dedup, "flags", lambda *a, **k: scans.append("ids_of" in k) or flags(*a, **k))
+    base = [f"t{k}" for k in range(24)]
+    rows = [(i, "\n".join(["two words", " ".join(base[:18] + [f"u{i}_{k}" for k in range(6)])])) for i in range(12)]
+    rows += [(50 + i, " ".join(base[:21] + [f"u{i}_{k}" for k in range(3)])) for i in range(12)]
+    rows += [(None, " ".join(base[:21] + ["u0_0", "u0_1"])), (70, " ".join(f"w{k}" for k in range(150)))]
+    got = line_dedup.mark_lines(frame(rows)).collect()
+    assert sorted(((r[0] is not None, r[0] or 0), r[1], r[2]) for r in got) == expected_lines(rows)
+    assert scans and any(scans) == (not listed)
+
+
+def test_texts_of_sets_are_read_at_one_place(frame):
+    rows = [(i, f"{i}\nthe same line é\n\n the SAME line é ") for i in range(9)] + [(9, None), (10, ""), (10, "a\n"), (11, "a")]
+    keyed = frame(rows).selectExpr("doc_id", "xxhash64(doc_id, text, 2) AS row_key", "text")
+    packed = keyed.mapInArrow(lambda b: line_dedup._send(np.zeros(1 << 16, np.uint8), 4, None, b), line_dedup._PACKED)
+    data = np.frombuffer("the same line é\na\n7".encode(), np.uint8)
+    ids = digests(line_dedup.line_sets(data, np.array([0, len(data)]))).tolist()
+    found, asked = line_dedup.line_texts(keyed, packed)(frame([(i,) for i in ids], "digest long"))
+    texts = sorted(r["text"] for r in found.join(asked, "name").collect())
+    assert [t.lower().strip() for t in texts] == ["7", "a", "the same line é"]

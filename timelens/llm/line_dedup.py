@@ -12,9 +12,11 @@ filter (tokens behind the shared one must still allow the overlap) and a filter
 parity bits of the sets (each token in one set alone changes one bit at most; long sets
 have more bits). Of the earlier sets that pass, every set keeps the KEPT most alike of those
 that by their bits look sure to match, or SPARE if none does, and these pairs are verified
-on the texts. A set whose kept pairs all fail, and that had more, gets all its pairs
-verified in a second pass. So a group of similar lines costs some pairs a line, and
-no pair that could decide is left out.
+on the texts, which are read at one place each. A set whose kept pairs all fail, and that
+had more, gets all its pairs verified in a second pass: up to LISTED such sets meet the
+lines of every slice, as the first pass kept them, by the filters on sizes and parity bits;
+more of them meet by their tokens again. So a group of similar lines costs some pairs a
+line, and no pair that could decide is left out.
 
 A passage's many copies are one set; what is sent of it is once a slice of documents
 and token. The sets at a frequent token are compared in blocks, earliest first, and
@@ -33,11 +35,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelens.llm.similar import (
-    DENOMINATOR, NUMERATOR, Sets, digests, distinct_elements, flagged, flags, prefixes, rarity, similar, texts_by_digest, verify,
+    DENOMINATOR, NUMERATOR, Fetch, Sets, digests, distinct_elements, flagged, flags, prefixes, rarity, similar, texts_by_place, verify,
 )
 from timelens.llm.store import kept
 from timelens.llm.words import NON_SPACE, find_words, mix, text_slices
@@ -47,6 +50,8 @@ RARITY_BITS = 22
 KEPT = 2
 SPARE = 96
 """Pairs of a set of which none looks sure to match."""
+LISTED = 512
+"""Sets left unsure up to which the second pass reads no documents."""
 HELD = 1 << 18
 """Postings a task holds before it hands them on."""
 
@@ -144,9 +149,9 @@ def _by_bucket(held: list[tuple[np.ndarray, ...]], bucket_bits: int) -> Iterator
     # prefixes prefer small hashes, so buckets take another one; tokens of a bucket go by its next 32 bits, and
     # tokens that share these meet more sets than they need
     mixed = mix(elements)
-    bucket = mixed >> np.uint64(64 - bucket_bits)
+    bucket = (mixed >> np.uint64(64 - bucket_bits)).astype(np.min_scalar_type((1 << bucket_bits) - 1))
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits))])
     columns = [(mixed << np.uint64(bucket_bits) >> np.uint64(32)).astype(np.uint32), *columns]
     columns = [c[order] for c in columns]
     words, width = words[order], widths(columns[2])
@@ -170,7 +175,7 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
                 yield from _by_bucket(held, bucket_bits)
                 held = []
             sets = line_sets(data, offsets)
-            digest, sizes, bits = digests(sets), sets.sizes, parities(sets)[0]
+            digest, sizes, (bits, width) = digests(sets), sets.sizes, parities(sets)
             if tokens is None:
                 present = batch.column(2).slice(low, high - low).is_valid().to_numpy(zero_copy_only=False)
                 n_lines = np.bincount(line_starts(data, offsets)[0], minlength=high - low) * present
@@ -178,7 +183,8 @@ def _send(ranks: np.ndarray, bucket_bits: int, tokens: np.ndarray | None, batche
                     "bucket": int(mix(keys[low:low + 1].view(np.uint64))[0]) & (1 << bucket_bits) - 1, "kind": 0,
                     "ids": ids.slice(low, high - low).to_pylist(), "row_keys": keys[low:high].tobytes(),
                     "n_lines": n_lines.astype(np.int64).tobytes(), "rows": sets.rows.astype(np.uint32).tobytes(),
-                    "numbers": sets.numbers.astype(np.uint32).tobytes(), "digests": digest.tobytes()}])
+                    "numbers": sets.numbers.astype(np.uint32).tobytes(), "digests": digest.tobytes(),
+                    "sizes": sizes.astype(np.uint32).tobytes(), "bits": bits[np.arange(WIDE) < width[:, None]].tobytes()}])
             docs, numbers = order_ids[low:high][sets.rows], sets.numbers
             of, elements, places = prefixes(sets, ranks)
             order = np.lexsort((numbers, docs, digest))
@@ -212,6 +218,7 @@ class _Meeting:
         order = order[np.argsort(group << 32 | sizes[order].astype(np.int64), kind="stable")]
         self.keys, self.digest = keys[order], digest[order]
         self.sizes, self.places = sizes[order].astype(np.int64), places[order].astype(np.int64)
+        self.small = self.sizes.astype(np.int32)
         self.docs, self.numbers = docs[order], numbers[order]
         self.words = bits.reshape(len(bits), -1)[order] if len(order) else bits.reshape(0, WIDE)
         self.width = np.minimum(widths(self.sizes), self.words.shape[1])
@@ -236,16 +243,17 @@ class _Meeting:
             (self.numbers[i] < self.numbers[j]) | (self.numbers[i] == self.numbers[j]) & (self.digest[i] < self.digest[j]))
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # most pairs fail by one word of parity bits; the other filters are for those that are left
+        total = self.small[i] + self.small[j]
+        may = total - 2 * ((NUMERATOR * total + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR))
+        good = np.bitwise_count(self.bits[i] ^ self.bits[j]) <= may
+        left = np.flatnonzero(good)
+        i, j, may = i[left], j[left], may[left]
         least, most = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-        total = least + most
-        overlap = -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
         behind = np.minimum(self.sizes[i] - self.places[i], self.sizes[j] - self.places[j])
-        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
-        good = (least * DENOMINATOR >= most * NUMERATOR) & (behind >= overlap) & (differ <= total - 2 * overlap)
-        # wider parity bits of those that are left
-        left = np.flatnonzero(good)
-        differ, _ = self.differ(i[left], j[left])
-        good[left] = differ <= (total - 2 * overlap)[left]
+        fits = (least * DENOMINATOR >= most * NUMERATOR) & (2 * behind >= least + most - may)
+        differ, _ = self.differ(i, j)
+        good[left] = fits & (differ <= may)
         return good
 
     def differ(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,6 +351,14 @@ class _Meeting:
             low, size = high, min(size * 2, 512)
 
 
+def _counted_words(sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Parity bits of which only the words that count were sent."""
+    counted = np.arange(WIDE) < widths(sizes)[:, None]
+    words = np.zeros(counted.shape, np.uint64)
+    words[counted] = bits
+    return words
+
+
 def _read_postings(rows: list[list]) -> list[np.ndarray]:
     """Keys (bucket and token), digests, sizes, places, words of parity bits, documents and lines of packed postings
     of tokens that several have."""
@@ -351,9 +367,7 @@ def _read_postings(rows: list[list]) -> list[np.ndarray]:
     keys, digest, sizes, places, bits, docs, numbers = (
         np.concatenate([np.frombuffer(b, t) for b in c]) for c, t in zip(packed, types, strict=True))
     of = np.repeat(np.array(buckets, np.uint64), [b.size // 4 for b in packed[0]])
-    counted = np.arange(WIDE) < widths(sizes)[:, None]
-    words = np.zeros(counted.shape, np.uint64)
-    words[counted] = bits
+    words = _counted_words(sizes, bits)
     keys = of << np.uint64(32) | keys
     # a set alone at a token meets none
     order = np.argsort(keys)
@@ -362,6 +376,16 @@ def _read_postings(rows: list[list]) -> list[np.ndarray]:
     return [c[several] for c in (keys, digest, sizes, places, words, docs, numbers)]
 
 
+def _packed_pairs(met: _Meeting, later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    y, x = met.digest[later], met.digest[earlier]
+    marks = np.isin(y, more) | met.unlike(later, earlier) << 1
+    for low in range(0, len(y), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
+                        "bits": marks[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
+                        "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
+
+
 def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (kind 2) as sets' digests: y in `digests`, x in `keys`; in `bits` whether y had more (1), and twice how unlike the pair is."""
     rows = []
@@ -397,15 +421,6 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
             later, earlier = later[mine], earlier[mine]
         return later, earlier, more
 
-    def packed(later: np.ndarray, earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
-        y, x = met.digest[later], met.digest[earlier]
-        marks = np.isin(y, more) | met.unlike(later, earlier) << 1
-        for low in range(0, len(y), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            yield _packed([{"bucket": 0, "kind": 2, "digests": y[part].tobytes(), "keys": x[part].tobytes(),
-                            "bits": marks[part].astype(np.uint8).tobytes(), "docs": met.docs[earlier][part].tobytes(),
-                            "numbers": met.numbers[earlier][part].astype(np.int64).tobytes()}])
-
     none = np.zeros(0, np.int64)
     waiting, size = [(none, none)], 0
     for later, earlier in met.pairs(wanted, KEPT):
@@ -415,11 +430,90 @@ def _meet(wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Itera
             later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
             if wanted is not None:
                 # all pairs go on, so none has to wait
-                yield from packed(later, earlier)
+                yield from _packed_pairs(met, later, earlier, more)
                 later, earlier = none, none
             waiting, size = [(later, earlier)], len(later)
     later, earlier, more = reduced(*(np.concatenate(c) for c in zip(*waiting, strict=True)), more)
-    yield from packed(later, earlier)
+    yield from _packed_pairs(met, later, earlier, more)
+
+
+_LINE_COLUMNS = ("ids", "rows", "numbers", "digests", "sizes", "bits")
+
+
+def _line_columns(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """Digests, sizes, words of parity bits, documents and lines of the sets of each slice; columns as in _LINE_COLUMNS."""
+    for ids, rows, numbers, digest, sizes, bits in zip(*(batch.column(i) for i in range(6)), strict=True):
+        docs = ids.values.fill_null(int(NO_ID)).to_numpy()[np.frombuffer(rows.as_buffer(), np.uint32)]
+        held = np.frombuffer(sizes.as_buffer(), np.uint32)
+        yield [np.frombuffer(digest.as_buffer(), np.int64), held, _counted_words(held, np.frombuffer(bits.as_buffer(), np.uint64)),
+               docs, np.frombuffer(numbers.as_buffer(), np.uint32)]
+
+
+def _listed(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that the filters need of the wanted sets."""
+    for batch in batches:
+        for digest, sizes, words, docs, numbers in _line_columns(batch):
+            mine = np.flatnonzero(flagged(digest, wanted))
+            if len(mine):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digest[mine]), pa.array(docs[mine]), pa.array(numbers[mine].astype(np.int64)),
+                     pa.array(sizes[mine].astype(np.int64)), pa.array([w.tobytes() for w in words[mine]], pa.binary())],
+                    ["digest", "doc", "number", "size", "bits"])
+
+
+def _beside(wanted: np.ndarray, few: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (kind 2) of `few` wanted sets, columns as of a slice, and all earlier ones of the lines of every slice."""
+    for batch in batches:
+        for columns in _line_columns(batch):
+            digest, sizes, words, docs, numbers = (np.concatenate(c) for c in zip(columns, few, strict=True))
+            met = _Meeting([np.zeros(len(digest), np.uint64), digest, sizes, np.zeros(len(digest), np.uint32), words, docs, numbers])
+            for later, earlier in met.pairs(wanted, KEPT):
+                yield from _packed_pairs(met, later, earlier, np.zeros(0, np.int64))
+
+
+def _line_names(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """A name for each line of a row with a key."""
+    return mix(mix(keys.view(np.uint64)) + numbers.astype(np.uint64)).view(np.int64)
+
+
+def _names_of(held: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of the lines whose sets are flagged."""
+    for batch in batches:
+        for keys, rows, numbers, digest in zip(*(batch.column(i) for i in range(4)), strict=True):
+            ids = np.frombuffer(digest.as_buffer(), np.int64)
+            mine = np.flatnonzero(flagged(ids, held))
+            if len(mine):
+                of = np.frombuffer(keys.as_buffer(), np.int64)[np.frombuffer(rows.as_buffer(), np.uint32)[mine]]
+                names = _line_names(of, np.frombuffer(numbers.as_buffer(), np.uint32)[mine])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(names)], ["digest", "name"])
+
+
+def _lines_named(held: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines whose names are flagged."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        for low, high, data, offsets in text_slices(batch.column(1)):
+            rows, starts = line_starts(data, offsets)
+            firsts = np.searchsorted(rows, np.arange(high - low))
+            names = _line_names(keys[low:high][rows], np.arange(len(rows)) - firsts[rows])
+            mine = np.flatnonzero(flagged(names, held))
+            if len(mine):
+                last = np.append(rows[1:] != rows[:-1], True)
+                ends = np.where(last, offsets[1:][rows], np.append(starts[1:], 0) - 1)
+                texts = [data[a:b].tobytes().decode() for a, b in zip(starts[mine], ends[mine], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array(texts, pa.string())], ["name", "text"])
+
+
+def line_texts(rows: DataFrame, packed: DataFrame) -> Fetch:
+    """Fetches the texts of sets from one line each, as `packed` tells of the lines of `rows`; no words are looked for."""
+    def names_of(held: Broadcast) -> DataFrame:
+        return packed.where("kind = 0").select("row_keys", "rows", "numbers", "digests").mapInArrow(
+            lambda batches: _names_of(held.value, batches), "digest long, name long")
+
+    def texts_of(held: Broadcast) -> DataFrame:
+        return rows.select("row_key", "text").mapInArrow(lambda batches: _lines_named(held.value, batches), "name long, text string")
+
+    return texts_by_place(names_of, texts_of)
 
 
 def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,8 +564,7 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", _row_key().alias("row_key"), "text")
     texts = rows.select("text")
-    fetch = texts_by_digest(texts, line_sets)
-    ranks = spark.sparkContext.broadcast(rarity(texts, _words, RARITY_BITS))
+    ranks = spark.sparkContext.broadcast(rarity(texts, _words, RARITY_BITS, RARITY_BITS))
 
     def met(tokens: np.ndarray | None, wanted: np.ndarray | None) -> DataFrame:
         both = spark.sparkContext.broadcast((tokens, wanted))
@@ -481,9 +574,23 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def pairs_of(packed: DataFrame) -> DataFrame:
         return (packed.where("kind = 2").select("digests", "keys", "bits", "docs", "numbers")
                 .mapInArrow(_unpack_pairs, "y long, x long, doc long, number long, more boolean, unlike int")
-                .groupBy("y", "x").agg(F.max("more").alias("more"), F.min(F.struct("unlike", "doc", "number", "x")).alias("place")))
+                .groupBy("y", "x").agg(F.max("more").alias("more"), *[F.min(c).alias(c) for c in ("unlike", "doc", "number")])
+                .select("y", "x", "more", F.struct("unlike", "doc", "number", "x").alias("place")))
+
+    def met_in_slices(wanted: np.ndarray) -> DataFrame:
+        """As `met`, of the sets left unsure, from the lines that the first pass kept."""
+        lines = packed.where("kind = 0").select(*_LINE_COLUMNS)
+        sent = spark.sparkContext.broadcast(wanted)
+        found = (lines.mapInArrow(lambda b: _listed(sent.value, b), "digest long, doc long, number long, size long, bits binary")
+                 .join(unsure, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc", "number", "size", "bits")).alias("set"))
+                 .select("digest", "set.*").toArrow())
+        digest, docs, numbers, sizes = (found[c].to_numpy() for c in ("digest", "doc", "number", "size"))
+        words = np.frombuffer(b"".join(found["bits"].to_pylist()), np.uint64).reshape(-1, WIDE)
+        few = spark.sparkContext.broadcast([digest, sizes.astype(np.uint32), words, docs, numbers.astype(np.uint32)])
+        return kept(lines.mapInArrow(lambda b: _beside(sent.value, few.value, b), _PACKED))
 
     packed = met(None, None)
+    fetch = line_texts(rows, packed)
     # of what the tasks kept, the most alike pairs of all
     of_set = Window.partitionBy("y")
     most = F.when(F.min("place.unlike").over(of_set) > SURE, max(KEPT, SPARE)).otherwise(KEPT)
@@ -494,11 +601,15 @@ def find_repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = kept(verify(asked.select(*names), fetch, line_sets))
     matched = checked.where(similar()).select(F.col("a").alias("digest")).distinct()
     unsure = kept(asked.where("more").select(F.col("y").alias("digest")).distinct().join(matched, "digest", "left_anti"))
-    if not unsure.isEmpty():
+    n_unsure = unsure.count()
+    if n_unsure:
         wanted = flags(unsure)
-        sent = spark.sparkContext.broadcast(wanted)
-        tokens = flags(texts, ids_of=lambda b: _prefix_tokens(ranks.value, sent.value, b))
-        again = (pairs_of(met(tokens, wanted)).select(*names).join(unsure.select(F.col("digest").alias("a")), "a", "left_semi")
+        if n_unsure <= LISTED:
+            second = met_in_slices(wanted)
+        else:
+            sent = spark.sparkContext.broadcast(wanted)
+            second = met(flags(texts, ids_of=lambda b: _prefix_tokens(ranks.value, sent.value, b)), wanted)
+        again = (pairs_of(second).select(*names).join(unsure.select(F.col("digest").alias("a")), "a", "left_semi")
                  .join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         more = verify(kept(again), fetch, line_sets)
         matched = matched.unionAll(more.where(similar()).select(F.col("a").alias("digest"))).distinct()

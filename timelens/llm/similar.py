@@ -85,16 +85,17 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(8 * np.log2(counts.astype(np.float64) + 1)), 255).astype(np.uint8)
 
 
-def rarity(texts: DataFrame, read: ReadSets, most_bits: int = RARITY_BITS) -> np.ndarray:
+def rarity(texts: DataFrame, read: ReadSets, most_bits: int = RARITY_BITS, least_bits: int = 16) -> np.ndarray:
     """A byte for each counter: more for elements of more sets, 8 steps for twice as many.
 
-    The table has about a counter for every 32 bytes of text, at most 2^most_bits.
+    The table has about a counter for every 32 bytes of text, at least 2^least_bits and at most 2^most_bits; texts
+    are not measured where these are one.
     """
     def elements(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in text_slices(batch.column(0)):
             yield read(data, offsets).elements
 
-    bits = min(most_bits, max(16, (text_bytes(texts) // 32).bit_length()))
+    bits = most_bits if least_bits >= most_bits else min(most_bits, max(least_bits, (text_bytes(texts) // 32).bit_length()))
     return hashed_counts(texts, elements, bits, _steps, np.uint8)
 
 
@@ -161,25 +162,16 @@ def flagged(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[counter_of(mix(ids.view(np.uint64)), len(held).bit_length() - 1)]
 
 
-def _wanted(read: ReadSets, held: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of flagged sets, each once a slice."""
-    for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column(0)):
-            sets = read(data, offsets)
-            ids, first = np.unique(digests(sets), return_index=True)
-            mine = flagged(ids, held)
-            ids, first = ids[mine], first[mine]
-            texts = [data[a:b].tobytes().decode() for a, b in zip(sets.starts[first], sets.ends[first], strict=True)]
-            if texts:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string())], ["name", "text"])
+def texts_by_place(names_of: Callable[[Broadcast], DataFrame], texts_of: Callable[[Broadcast], DataFrame]) -> Fetch:
+    """Fetches the texts of sets from one place each.
 
-
-def texts_by_digest(texts: DataFrame, read: ReadSets) -> Fetch:
-    """Fetches the texts of sets by reading all sets of `texts` anew."""
+    Of flagged digests `names_of` has (digest, name) of all their places, of flagged names `texts_of` has (name, text).
+    """
     def fetch(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sent = texts.sparkSession.sparkContext.broadcast(flags(asked.select("digest")))
-        found = texts.mapInArrow(lambda batches: _wanted(read, sent.value, batches), "name long, text string")
-        return found, asked.withColumnRenamed("digest", "name")
+        context = asked.sparkSession.sparkContext
+        names = names_of(context.broadcast(flags(asked.select("digest")))).groupBy("digest").agg(F.min("name").alias("name"))
+        asked = kept(asked.join(names, "digest").drop("digest"))
+        return texts_of(context.broadcast(flags(asked.select("name")))), asked
 
     return fetch
 

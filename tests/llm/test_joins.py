@@ -292,3 +292,18 @@ def test_texts_of_sets_are_read_at_one_place(frame):
     found, asked = line_dedup.line_texts(keyed, packed)(frame([(i,) for i in ids], "digest long"))
     texts = sorted(r["text"] for r in found.join(asked, "name").collect())
     assert [t.lower().strip() for t in texts] == ["7", "a", "the same line é"]
+
+
+def test_sets_that_repeat_at_a_token_stay_at_their_first_place():
+    rng = np.random.default_rng(2)
+    n = 3000
+    keys, digest = rng.integers(0, 40, n).astype(np.uint64), rng.integers(0, 30, n)
+    sizes = (digest % 7 + 5).astype(np.uint32)
+    docs, numbers = rng.integers(0, 500, n), rng.integers(0, 9, n).astype(np.uint32)
+    met = line_dedup._Meeting([keys, digest, sizes, np.zeros(n, np.uint32), np.zeros(n, np.uint64), docs, numbers])
+    want = {}
+    for k, d, *place in zip(keys.tolist(), digest.tolist(), docs.tolist(), numbers.tolist()):
+        want[k, d] = min(want.get((k, d), place), place)
+    got = list(zip(met.keys.tolist(), met.digest.tolist()))
+    assert len(got) == len(want) and dict(zip(got, zip(met.docs.tolist(), met.numbers.tolist()))) == {k: tuple(v) for k, v in want.items()}
+    assert list(zip(met.keys.tolist(), met.sizes.tolist())) == sorted(zip(met.keys.tolist(), met.sizes.tolist()))

@@ -206,14 +206,19 @@ class _Meeting:
     def __init__(self, columns: list[np.ndarray]):
         keys, digest, sizes, places, bits, docs, numbers = columns
         # each set once a token, at its first place
-        order = np.lexsort((digest, keys))
+        joint = mix(keys) + digest.view(np.uint64)
+        order = np.argsort(joint)
+        alike = joint[order][1:] == joint[order][:-1]
+        if (alike & ((keys[order][1:] != keys[order][:-1]) | (digest[order][1:] != digest[order][:-1]))).any():
+            order = np.lexsort((digest, keys))
         again = (keys[order][1:] == keys[order][:-1]) & (digest[order][1:] == digest[order][:-1])
         if again.any():
             some = np.concatenate([again, [False]]) | np.concatenate([[False], again])
             mine = order[some]
-            order[some] = mine[np.lexsort((numbers[mine], docs[mine], digest[mine], keys[mine]))]
+            run = np.cumsum(np.concatenate([[0], ~again]))[some]
+            order[some] = mine[np.lexsort((numbers[mine], docs[mine], run))]
         order = order[np.concatenate([[True], ~again])] if len(order) else order
-        group = np.cumsum(np.concatenate([[0], keys[order][1:] != keys[order][:-1]])) if len(order) else order
+        _, group = np.unique(keys[order], return_inverse=True)
         # by (token, size)
         order = order[np.argsort(group << 32 | sizes[order].astype(np.int64), kind="stable")]
         self.keys, self.digest = keys[order], digest[order]
@@ -246,14 +251,14 @@ class _Meeting:
         # most pairs fail by one word of parity bits; the other filters are for those that are left
         total = self.small[i] + self.small[j]
         may = total - 2 * ((NUMERATOR * total + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR))
-        good = np.bitwise_count(self.bits[i] ^ self.bits[j]) <= may
-        left = np.flatnonzero(good)
-        i, j, may = i[left], j[left], may[left]
-        least, most = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-        behind = np.minimum(self.sizes[i] - self.places[i], self.sizes[j] - self.places[j])
-        fits = (least * DENOMINATOR >= most * NUMERATOR) & (2 * behind >= least + most - may)
-        differ, _ = self.differ(i, j)
-        good[left] = fits & (differ <= may)
+        left = np.flatnonzero(np.bitwise_count(self.bits[i] ^ self.bits[j]) <= may)
+        y, x, may = i[left], j[left], may[left]
+        least, most = np.minimum(self.sizes[y], self.sizes[x]), np.maximum(self.sizes[y], self.sizes[x])
+        behind = np.minimum(self.sizes[y] - self.places[y], self.sizes[x] - self.places[x])
+        fits = np.flatnonzero((least * DENOMINATOR >= most * NUMERATOR) & (2 * behind >= least + most - may))
+        differ, _ = self.differ(y[fits], x[fits])
+        good = np.zeros(len(i), bool)
+        good[left[fits[differ <= may[fits]]]] = True
         return good
 
     def differ(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,12 +266,17 @@ class _Meeting:
         shared = np.minimum(self.width[i], self.width[j])
         differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
         for size in WIDTHS[1:]:
-            wide = np.flatnonzero(shared >= size)
+            wide = np.flatnonzero(shared == size)
             if not len(wide):
-                break
+                continue
             changed = self.words[i[wide]] ^ self.words[j[wide]]
-            folded = np.bitwise_xor.reduce(changed.reshape(len(wide), -1, size), axis=1)
-            differ[wide] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+            counts = np.zeros(len(wide), np.int64)
+            for w in range(size):
+                folded = changed[:, w].copy()
+                for other in range(w + size, changed.shape[1], size):
+                    folded ^= changed[:, other]
+                counts += np.bitwise_count(folded)
+            differ[wide] = counts
         return differ, 64 * shared
 
     def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
